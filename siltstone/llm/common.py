@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.shipping import ship
+
 #: Bytes that `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` takes after lower-casing A-Z; all others become spaces.
 ALNUM_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -36,6 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: lineage ends there."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_root(spark).rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,6 +52,7 @@ def clean_scratch(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -73,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
 
 def per_row(df: DataFrame, keep: list[str], text: str, out: str, row: Callable[[bytes], tuple]) -> DataFrame:
     """Map each row's text (null: empty) to the columns of `out`, in Arrow batches; `keep` columns stay in front."""
+    ship(df.sparkSession)
     spark_schema = df.select(*keep).schema
     names = [x.split()[0] for x in out.split(",")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in spark_schema] + [out])
