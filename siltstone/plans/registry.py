@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siltstone.plans import audits, corpus, evaluation, pairs, quality, relational, scans  # noqa: F401
+from siltstone.plans.base import ORACLES, QUERIES  # noqa: F401
