@@ -3,9 +3,9 @@
 Categories are predicted in order; the model of each category sees the word features and the probabilities of the
 earlier categories. In training those probabilities are out-of-fold (`FOLDS` folds by text); in prediction they
 come from the models fitted on all training rows. Training takes a bounded sample of labelled rows
-(`TRAIN_ROWS`, lowest hash of the id first, one row for each text). Features are the presence of the words most
-associated with any category (`MAX_WORDS` at most, chi-square of at least `MIN_CHI2` in `MIN_DOCS` texts), and
-four shape features. Prediction covers all rows and whole texts.
+(`TRAIN_ROWS`, lowest hash of the id first, one row for each text). Features are the presence of the words and word
+beginnings (`PREFIX_BYTES` long) most associated with any category (`MAX_WORDS` at most, chi-square of at least
+`MIN_CHI2` in `MIN_DOCS` texts), and four shape features. Prediction covers all rows and whole texts.
 
 Edge cases: null text counts as empty; rows without labels are only predicted; null labels are left out of
 training; with no labelled rows, or one class, the category has its smoothed base rate; repeated rows are predicted
@@ -24,9 +24,19 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import alnum_words, stored, utf8
 
 TRAIN_ROWS, MAX_WORDS, MIN_DOCS, MIN_CHI2, FOLDS, RIDGE, STEPS = 6000, 1000, 5, 24.0, 3, 2.0, 300
+PREFIX_BYTES = (5, 6, 7)
 SYMBOLS = b"#*$%&|<>!"
 
 
+def terms(words: list[bytes]) -> set[bytes]:
+    """Distinct words and their beginnings, these marked by a star."""
+    once = set(words)
+    out = set(once)
+    for k in PREFIX_BYTES:
+        out.update([w[:k] + b"*" for w in once if len(w) > k])
+    return out
+
+
 def shape_features(raw: bytes, n_words: int) -> list[float]:
     size = max(1, len(raw))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
@@ -84,7 +94,7 @@ class Chain:
     def predict(self, raw: bytes) -> list[float]:
         words = alnum_words(raw)
         shape = np.array(shape_features(raw, len(words)))
-        got = [len(shape) + self.ids[w] for w in self.keys.intersection(words)]
+        got = [len(shape) + self.ids[w] for w in self.keys.intersection(terms(words))]
         out: list[float] = []
         for w in self.weights:
             z = float(w[: len(shape)] @ shape) + float(w[got].sum())
@@ -109,7 +119,7 @@ def train(df: DataFrame, labels: DataFrame, chain: dict[str, Column], doc_id: st
                 [
                     pa.array([zlib.crc32(x) for x in raws], pa.int64()),
                     pa.array([shape_features(x, len(w)) for x, w in zip(raws, split, strict=True)], pa.list_(pa.float64())),
-                    pa.array([sorted(set(w)) for w in split], pa.list_(pa.binary())),
+                    pa.array([sorted(terms(w)) for w in split], pa.list_(pa.binary())),
                     *(batch.column(f"y{j}") for j in range(len(names))),
                 ],
                 names=["h", "shape", "words", *(f"y{j}" for j in range(len(names)))],
