@@ -1 +1,406 @@
-"""Queries."""
+"""Pair datasets: dimension joins, exclusions, best rows, stratified choices, folds, matchings, mixtures, sets.
+
+The star tables stand in for annotations: lineitem rows are boxes, part and supplier are dimensions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from siltstone.functions.hashing import stable_hash
+from siltstone.operators import corpus as co
+from siltstone.operators import sampling as sa
+from siltstone.plans.base import query
+
+C = F.col
+
+
+def h(*parts):
+    return stable_hash(F.lit("s1"), *(C(p) for p in parts))
+
+
+H = lambda *p: "sha256('s1|' || " + " || '|' || ".join(p) + ")"
+
+
+@query("j7_dimension_lookup", "SELECT coalesce(p_brand, 'unmatched') AS brand, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) ON l_partkey = p_partkey GROUP BY 1")
+def j7(t, spark):
+    dim = co.small(t("part").where("p_partkey % 10 <> 0").select("p_partkey", "p_brand"))
+    return t("lineitem").join(dim, C("l_partkey") == C("p_partkey"), "left").groupBy(F.coalesce("p_brand", F.lit("unmatched")).alias("brand")).agg(F.count("*").alias("n"))
+
+
+@query("j8_fact_metadata", "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def j8(t, spark):
+    orders = t("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
+    return t("lineitem").join(orders, C("l_orderkey") == C("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("j9_exclusion", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def j9(t, spark):
+    used = t("orders").where("o_totalprice > 300000").select(C("o_custkey").alias("c_custkey"))
+    return t("customer").join(used, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("j12_overlap", f"WITH d AS (SELECT doc_id, {H('text')} AS x FROM documents) SELECT count(DISTINCT a.x) AS shared FROM d a JOIN d b USING (x) WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1")
+def j12(t, spark):
+    d = t("documents").select("doc_id", h("text").alias("x"))
+    return d.where("doc_id % 2 = 0").select("x").intersect(d.where("doc_id % 2 = 1").select("x")).agg(F.count("*").alias("shared"))
+
+
+@query("j13_split_disjoint", "WITH s AS (SELECT l_partkey AS k, l_returnflag AS split FROM lineitem GROUP BY ALL) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.split < b.split GROUP BY 1, 2")
+def j13(t, spark):
+    s = t("lineitem").select(C("l_partkey").alias("k"), C("l_returnflag").alias("split")).distinct()
+    a, b = s.withColumnRenamed("split", "split_a"), s.withColumnRenamed("split", "split_b")
+    return a.join(b, "k").where("split_a < split_b").groupBy("split_a", "split_b").agg(F.count("*").alias("shared"))
+
+
+@query("j15_decisions", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 <> 1")
+def j15(t, spark):
+    """Manifest and decisions must hold the same ids; accepted rows stay."""
+    decisions = t("supplier").select(C("s_suppkey").alias("k"), F.when(C("s_suppkey") % 3 == 1, "reject").otherwise("accept").alias("decision"))
+    both = t("supplier").join(decisions, C("s_suppkey") == C("k"), "full_outer")
+    if both.where("s_suppkey IS NULL OR k IS NULL").limit(1).count():
+        raise ValueError("manifest and decisions hold different ids")
+    return both.where("decision = 'accept'").select("s_suppkey", "s_nationkey")
+
+
+@query("j16_event_alignment", "SELECT a.step, a.n AS clicks, b.n AS views FROM (SELECT event_id // 200 AS step, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) a JOIN (SELECT event_id // 200 AS step, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) b USING (step)")
+def j16(t, spark):
+    tag = lambda k, n: t("events").where(C("event_type") == k).groupBy(F.floor(C("event_id") / 200).alias("step")).agg(F.count("*").alias(n))
+    return tag("click", "clicks").join(tag("view", "views"), "step")
+
+
+@query("j17_pair_by_rank", f"""WITH a AS (SELECT p_brand AS cls, p_partkey AS a_id, row_number() OVER (PARTITION BY p_brand ORDER BY {H("p_partkey")}) AS rn FROM part WHERE p_size % 2 = 0), b AS (SELECT p_brand AS cls, p_partkey AS b_id, row_number() OVER (PARTITION BY p_brand ORDER BY {H("p_partkey")}) AS rn FROM part WHERE p_size % 2 = 1)
+SELECT cls, rn::INT AS rn, a_id, b_id FROM a JOIN b USING (cls, rn)""")
+def j17(t, spark):
+    side = lambda odd, name: t("part").where(C("p_size") % 2 == odd).select(C("p_brand").alias("cls"), C("p_partkey").alias(name))
+    return sa.pair_by_rank(side(0, "a_id"), side(1, "b_id"), ["cls"], h("a_id"), h("b_id"))
+
+
+@query("j18_greedy_match", None)
+def j18(t, spark):
+    """Sequential inside a class: no SQL; tests replay it."""
+    side = lambda odd, name: t("part").where(C("p_size") % 2 == odd).select(C("p_brand").alias("cls"), C("p_partkey").alias(name))
+    return sa.greedy_match(side(0, "a_id"), side(1, "b_id"), "cls", "a_id", "b_id", 20)
+
+
+@query("j19_control", f"WITH x AS (SELECT c.c_custkey, s.s_suppkey, row_number() OVER (PARTITION BY c.c_custkey ORDER BY {H('c.c_custkey', 's.s_suppkey')}) AS r FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE s.s_suppkey % 7 <> 0) SELECT c_custkey, s_suppkey FROM x WHERE r = 1")
+def j19(t, spark):
+    """The row of least hash from the pool of the same class, excluded ids left out."""
+    pool = t("supplier").where("s_suppkey % 7 <> 0").select("s_suppkey", C("s_nationkey").alias("c_nationkey"))
+    rows = t("customer").select("c_custkey", "c_nationkey").join(pool, "c_nationkey")
+    return rows.groupBy("c_custkey").agg(F.min_by("s_suppkey", h("c_custkey", "s_suppkey")).alias("s_suppkey"))
+
+
+BOX = "(SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 2 AS x1, least(l_discount * 2 + l_tax * 5 + 0.01, 1.2) AS x2, l_tax * 4 AS y1, l_tax * 4 + l_quantity / 100 AS y2 FROM lineitem)"
+
+
+def boxes(t):
+    d, x, q = C("l_discount"), C("l_tax"), C("l_quantity")
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (d * 2).alias("x1"), F.least(d * 2 + x * 5 + 0.01, F.lit(1.2)).alias("x2"), (x * 4).alias("y1"), (x * 4 + q / 100).alias("y2"))
+
+
+@query("p20_box_geometry", f"""SELECT l_orderkey, l_linenumber, printf('%.6f', x1) || ',' || printf('%.6f', y1) AS key, round((x2 - x1) * (y2 - y1), 9) AS area, floor(least((y1 + y2) / 2, 0.999999) * 14)::BIGINT * 14 + floor(least((x1 + x2) / 2, 0.999999) * 14)::BIGINT AS patch,
+round(greatest(x1 - (x2 - x1) * 0.1, 0), 9) AS ex1, round(least(x2 + (x2 - x1) * 0.1, 1), 9) AS ex2 FROM {BOX} WHERE x1 >= 0 AND y1 >= 0 AND x2 <= 1 AND y2 <= 1 AND x1 < x2 AND y1 < y2""")
+def p20(t, spark):
+    """Valid boxes: key, area, centre patch of a 14 x 14 grid, expanded and clipped sides."""
+    valid = boxes(t).where("x1 >= 0 AND y1 >= 0 AND x2 <= 1 AND y2 <= 1 AND x1 < x2 AND y1 < y2")
+    w = C("x2") - C("x1")
+    cell = lambda a, b: F.floor(F.least((C(a) + C(b)) / 2, F.lit(0.999999)) * 14)
+    return valid.select(
+        "l_orderkey", "l_linenumber", F.format_string("%.6f,%.6f", "x1", "y1").alias("key"), F.round(w * (C("y2") - C("y1")), 9).alias("area"), (cell("y1", "y2") * 14 + cell("x1", "x2")).alias("patch"),
+        F.round(F.greatest(C("x1") - w * 0.1, F.lit(0.0)), 9).alias("ex1"), F.round(F.least(C("x2") + w * 0.1, F.lit(1.0)), 9).alias("ex2"),
+    )
+
+
+GRID = f"(SELECT l_orderkey, l_linenumber, floor(x1 * 14)::BIGINT AS cx, floor(y1 * 14)::BIGINT AS cy, (l_orderkey + l_linenumber) % 14 AS px, l_orderkey % 14 AS py, floor(least(x2, 0.999) * 14)::BIGINT AS dx, floor(least(y2, 0.999) * 14)::BIGINT AS dy FROM {BOX})"
+
+
+def grid(t):
+    f = lambda c: F.floor(c * 14)
+    return boxes(t).select(
+        "l_orderkey", "l_linenumber", f(C("x1")).alias("cx"), f(C("y1")).alias("cy"), ((C("l_orderkey") + C("l_linenumber")) % 14).alias("px"), (C("l_orderkey") % 14).alias("py"),
+        f(F.least(C("x2"), F.lit(0.999))).alias("dx"), f(F.least(C("y2"), F.lit(0.999))).alias("dy"),
+    )
+
+
+@query("p26_grid_targets", f"SELECT l_orderkey, l_linenumber, greatest(abs(px - cx), abs(py - cy)) AS error, greatest(abs(px - cx), abs(py - cy)) <= 1 AS within_one, px BETWEEN cx AND dx AND py BETWEEN cy AND dy AS inside FROM {GRID}")
+def p26(t, spark):
+    error = F.greatest(F.abs(C("px") - C("cx")), F.abs(C("py") - C("cy")))
+    inside = C("px").between(C("cx"), C("dx")) & C("py").between(C("cy"), C("dy"))
+    return grid(t).select("l_orderkey", "l_linenumber", error.alias("error"), (error <= 1).alias("within_one"), inside.alias("inside"))
+
+
+@query("a26_point_metrics", f"WITH g AS (SELECT *, l_orderkey % 4 = 0 AS stopped, greatest(abs(px - cx), abs(py - cy)) AS e FROM {GRID}) SELECT l_linenumber, count(*) AS n, round(avg((NOT stopped)::INT), 9) AS pointed, round(avg(CASE WHEN NOT stopped THEN (e = 0)::INT END), 9) AS exact, round(avg(CASE WHEN stopped THEN 14 ELSE e END), 9) AS mean_error FROM g GROUP BY 1")
+def a26(t, spark):
+    """Point or stop: a miss counts as an error of 14."""
+    error = F.greatest(F.abs(C("px") - C("cx")), F.abs(C("py") - C("cy")))
+    g = grid(t).select("l_linenumber", (C("l_orderkey") % 4 == 0).alias("stopped"), error.alias("e"))
+    mean = lambda c: F.round(F.avg(c), 9)
+    return g.groupBy("l_linenumber").agg(F.count("*").alias("n"), mean((~C("stopped")).cast("int")).alias("pointed"), mean(F.when(~C("stopped"), (C("e") == 0).cast("int"))).alias("exact"), mean(F.when(C("stopped"), 14).otherwise(C("e"))).alias("mean_error"))
+
+
+@query("p27_patch_action", f"SELECT l_orderkey, l_linenumber, greatest(cx - 2, 0) AS left_cell, least(cx + 3, 14) AS right_cell, CASE WHEN dx - cx > 4 THEN 'stop' WHEN dy - cy > 2 THEN 'zoom' ELSE 'point' END AS action FROM {GRID}")
+def p27(t, spark):
+    action = F.when(C("dx") - C("cx") > 4, "stop").when(C("dy") - C("cy") > 2, "zoom").otherwise("point")
+    return grid(t).select("l_orderkey", "l_linenumber", F.greatest(C("cx") - 2, F.lit(0)).alias("left_cell"), F.least(C("cx") + 3, F.lit(14)).alias("right_cell"), action.alias("action"))
+
+
+@query("p28_scene_query", "SELECT p_partkey, (p_size * 7) % 10 < (p_size * 3) % 10 AS left_of, list_count(list_filter([p_size % 3, (p_size + 1) % 3, (p_size * 2) % 3], lambda x: x = 1)) AS ones, p_size % 3 = (p_size * 2) % 3 AS same FROM part")
+def p28(t, spark):
+    """A scene is a map from object to position and colour; queries compare places, match colours and count."""
+    s = C("p_size")
+    obj = lambda n, x, c: F.struct(F.lit(n).alias("key"), F.struct(x.alias("x"), c.alias("c")).alias("value"))
+    scene = F.map_from_entries(F.array(obj("a", s * 7 % 10, s % 3), obj("b", s * 3 % 10, (s + 1) % 3), obj("c", s, s * 2 % 3)))
+    m = t("part").select("p_partkey", scene.alias("m"))
+    at = lambda k: C("m")[k]
+    return m.select("p_partkey", (at("a")["x"] < at("b")["x"]).alias("left_of"), F.size(F.filter(F.map_values("m"), lambda v: v["c"] == 1)).cast("long").alias("ones"), (at("a")["c"] == at("c")["c"]).alias("same"))
+
+
+@query("p24_learning_rate", "SELECT step, round(CASE WHEN step < 172 THEN 4e-5 ELSE 4e-6 + 0.5 * (4e-5 - 4e-6) * (1 + cos(pi() * (step - 172) / (2000 - 1 - 172))) END, 15) AS rate FROM (SELECT unnest(range(2000)) AS step)")
+def p24(t, spark):
+    """Hold, then cosine, over 2000 steps."""
+    cosine = F.lit(4e-6) + 0.5 * (4e-5 - 4e-6) * (1 + F.cos(F.lit(3.141592653589793) * (C("id") - 172) / (2000 - 1 - 172)))
+    return spark.range(2000).select(C("id").alias("step"), F.round(F.when(C("id") < 172, F.lit(4e-5)).otherwise(cosine), 15).alias("rate"))
+
+
+@query("p8_flatten_strings", "SELECT o_orderkey, concat_ws(' ' || chr(10) || ' ', o_orderstatus, o_orderpriority, json_extract_string('{\"a\": {\"b\": \"x' || o_custkey || '\"}}', '$.a.b')) AS flat FROM orders")
+def p8(t, spark):
+    """All string leaves of a nested value, in order."""
+    nested = F.from_json(F.concat(F.lit('{"a": {"b": "x'), C("o_custkey").cast("string"), F.lit('"}}')), "struct<a: struct<b: string>>")
+    return t("orders").select("o_orderkey", F.concat_ws(" \n ", "o_orderstatus", "o_orderpriority", nested["a"]["b"]).alias("flat"))
+
+
+@query("f17_geometry_reasons", f"SELECT CASE WHEN x2 > 1 OR y2 > 1 THEN 'outside' WHEN x1 >= x2 OR y1 >= y2 THEN 'empty' WHEN (x2 - x1) * (y2 - y1) < 0.01 THEN 'small' WHEN (x2 - x1) / (y2 - y1) > 4 THEN 'wide' ELSE 'pass' END AS reason, count(*) AS n FROM {BOX} GROUP BY 1")
+def f17(t, spark):
+    w, hgt = C("x2") - C("x1"), C("y2") - C("y1")
+    reason = F.when((C("x2") > 1) | (C("y2") > 1), "outside").when((w <= 0) | (hgt <= 0), "empty").when(w * hgt < 0.01, "small").when(w / hgt > 4, "wide").otherwise("pass")
+    return boxes(t).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("f18_metadata_gate", "SELECT CASE WHEN o_orderkey IS NULL THEN 'missing' WHEN o_orderstatus <> 'O' THEN 'subset' WHEN o_orderpriority NOT LIKE '%HIGH' THEN 'licence' ELSE 'pass' END AS reason, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 50 <> 0) ON l_orderkey = o_orderkey GROUP BY 1")
+def f18(t, spark):
+    meta = t("orders").where("o_orderkey % 50 <> 0").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    reason = F.when(C("o_orderkey").isNull(), "missing").when(C("o_orderstatus") != "O", "subset").when(~C("o_orderpriority").endswith("HIGH"), "licence").otherwise("pass")
+    return t("lineitem").join(meta, C("l_orderkey") == C("o_orderkey"), "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("f22_metric_gate", "SELECT l_shipmode_like AS cell, avg_q >= 25.4 AND n >= 100 AND avg_d <= 0.051 AS passed FROM (SELECT l_suppkey % 20 AS l_shipmode_like, avg(l_quantity) AS avg_q, count(*) AS n, avg(l_discount) AS avg_d FROM lineitem GROUP BY 1)")
+def f22(t, spark):
+    m = t("lineitem").groupBy((C("l_suppkey") % 20).alias("cell")).agg(F.avg("l_quantity").alias("q"), F.count("*").alias("n"), F.avg("l_discount").alias("d"))
+    return m.select("cell", ((C("q") >= 25.4) & (C("n") >= 100) & (C("d") <= 0.051)).alias("passed"))
+
+
+@query("w2_best_row", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1")
+def w2(t, spark):
+    rows = t("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return sa.best_row(rows, ["l_partkey"], F.struct(-C("l_extendedprice"), C("l_orderkey"), C("l_linenumber"))).select("l_partkey", "l_orderkey", "l_linenumber")
+
+
+@query("w3_stratified_topk", f"SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {H('doc_id')})::INT AS rank FROM documents QUALIFY rank <= 25")
+def w3(t, spark):
+    got = sa.stratified_first(t("documents").select("lang", "doc_id"), ["lang"], [h("doc_id")], 25)
+    if got.groupBy("lang").count().where("count < 25").limit(1).count():
+        raise ValueError("a stratum is below its quota")
+    return got
+
+
+@query("w4_bottom_k", f"SELECT doc_id FROM documents ORDER BY {H('doc_id')} LIMIT 100")
+def w4(t, spark):
+    return t("documents").select("doc_id").orderBy(h("doc_id")).limit(100)
+
+
+@query("w5_priority_sample", "WITH d AS (SELECT doc_id, source, n_chars >= 500 AS accepted, sha256(text) AS x FROM documents) SELECT doc_id, source, accepted FROM d QUALIFY row_number() OVER (PARTITION BY source, accepted ORDER BY x, doc_id) <= CASE WHEN accepted THEN 40 ELSE 20 END")
+def w5(t, spark):
+    rows = t("documents").select("doc_id", "source", (C("n_chars") >= 500).alias("accepted"), F.sha2("text", 256).alias("x"))
+    got = sa.stratified_first(rows, ["source", "accepted"], [C("x"), C("doc_id")], 40)
+    return got.where(C("accepted") | (C("rank") <= 20)).select("doc_id", "source", "accepted")
+
+
+@query("w6_ranked", f"SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, {H('c_custkey')})::INT AS place FROM customer")
+def w6(t, spark):
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), h("c_custkey"))
+    return t("customer").select("c_mktsegment", "c_custkey", F.row_number().over(w).alias("place"))
+
+
+@query("w7_scarcest_class", f"WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey % 9 AS cls, count(*) OVER (PARTITION BY l_suppkey % 9) AS n FROM lineitem) SELECT l_orderkey, l_linenumber FROM x QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n, cls, {H('l_orderkey', 'l_linenumber')}) = 1")
+def w7(t, spark):
+    """One target per image: scarcest class first, then least hash. Class counts are a join, not a window over classes."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", (C("l_suppkey") % 9).alias("cls"))
+    n = co.small(rows.groupBy("cls").agg(F.count("*").alias("n")))
+    got = rows.join(n, "cls")
+    return sa.best_row(got, ["l_orderkey"], F.struct(C("n"), C("cls"), h("l_orderkey", "l_linenumber"))).select("l_orderkey", "l_linenumber")
+
+
+@query("w8_preferred_size", f"SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY round(abs(ln(l_quantity) - ln(20)), 9), {H('l_orderkey', 'l_linenumber')}) = 1")
+def w8(t, spark):
+    off = F.round(F.abs(F.log("l_quantity") - F.log(F.lit(20.0))), 9)
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sa.best_row(rows, ["l_orderkey"], F.struct(off, h("l_orderkey", "l_linenumber"))).select("l_orderkey", "l_linenumber")
+
+
+@query("w14_folds", None)
+def w14(t, spark):
+    """Fold loads are sequential over strata: no SQL; tests check balance and replay."""
+    return sa.assign_folds(t("part").select(C("p_partkey").cast("string").alias("pair_id"), C("p_brand").alias("class_name")), "pair_id", "class_name", 5, 7)
+
+
+@query("w16_rotation", "WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT a.p_partkey, b.p_partkey AS donor FROM r a JOIN r b ON a.p_brand = b.p_brand AND b.i = a.i % a.n + 1 WHERE a.n > 1")
+def w16(t, spark):
+    """Each row takes the next row of its stratum, the last the first: nobody is their own donor."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    donor = F.coalesce(F.lead("p_partkey").over(w), F.first("p_partkey").over(whole))
+    return t("part").select("p_partkey", donor.alias("donor"), F.count("*").over(Window.partitionBy("p_brand")).alias("n")).where("n > 1").drop("n")
+
+
+@query("w17_best_under_gate", "SELECT l_suppkey % 10 AS grp, l_orderkey, l_linenumber FROM lineitem WHERE l_discount <= 0.05 QUALIFY row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_quantity DESC, l_tax DESC, l_orderkey, l_linenumber) = 1")
+def w17(t, spark):
+    rows = t("lineitem").where("l_discount <= 0.05").withColumn("grp", C("l_suppkey") % 10)
+    best = F.max_by(F.struct("l_orderkey", "l_linenumber"), F.struct(C("l_quantity"), C("l_tax"), -C("l_orderkey"), -C("l_linenumber")))
+    return rows.groupBy("grp").agg(best.alias("r")).select("grp", "r.*")
+
+
+@query("w18_ranked_split", f"WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {H('doc_id')}) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'dev' ELSE 'test' END AS split FROM r")
+def w18(t, spark):
+    return sa.ranked_split(t("documents").select("doc_id", "lang"), ["lang"], h("doc_id"), [("train", 0.7), ("dev", 0.15), ("test", 0.15)])
+
+
+@query("w19_unique_hash_sample", "SELECT sha256(text) AS x, min(doc_id) AS doc_id FROM documents GROUP BY 1 ORDER BY 1 LIMIT 50")
+def w19(t, spark):
+    return t("documents").groupBy(F.sha2("text", 256).alias("x")).agg(F.min("doc_id").alias("doc_id")).orderBy("x").limit(50)
+
+
+FAMILY = "coalesce(lower(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')[1]), '')"
+
+
+@query("w20_family_quota", f"SELECT page_id, {FAMILY} AS family FROM pages QUALIFY row_number() OVER (PARTITION BY {FAMILY} ORDER BY sha256(url), page_id) <= 10")
+def w20(t, spark):
+    from siltstone.functions.text import path_family
+
+    rows = t("pages").select("page_id", path_family(C("url")).alias("family"), F.sha2("url", 256).alias("x"))
+    return sa.stratified_first(rows, ["family"], [C("x"), C("page_id")], 10).select("page_id", "family")
+
+
+@query("w21_complete_groups", "WITH g AS (SELECT l_orderkey, dense_rank() OVER (ORDER BY l_orderkey) AS place FROM lineitem GROUP BY l_orderkey HAVING count(*) = 4) SELECT l_orderkey, l_linenumber FROM lineitem JOIN g USING (l_orderkey) WHERE place <= 200")
+def w21(t, spark):
+    """The first 200 groups, by id, that have exactly four rows."""
+    whole = t("lineitem").groupBy("l_orderkey").count().where("count = 4").select("l_orderkey").orderBy("l_orderkey").limit(200)
+    return t("lineitem").select("l_orderkey", "l_linenumber").join(whole, "l_orderkey", "left_semi")
+
+
+@query("w22_interleaved_heads", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(text), doc_id) AS rn FROM documents WHERE source IN ('src1', 'src2')) SELECT doc_id, source, (row_number() OVER (ORDER BY rn, source))::INT AS pos FROM r WHERE rn <= 40")
+def w22(t, spark):
+    rows = t("documents").where("source IN ('src1', 'src2')").select("doc_id", "source", F.sha2("text", 256).alias("x"))
+    heads = sa.stratified_first(rows, ["source"], [C("x"), C("doc_id")], 40)
+    return heads.select("doc_id", "source", F.row_number().over(Window.orderBy("rank", "source")).alias("pos"))
+
+
+@query("s16_round_robin", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents WHERE source IN ('src1', 'src2', 'src3')) SELECT doc_id, source, (rn // CASE source WHEN 'src1' THEN 4 WHEN 'src2' THEN 2 ELSE 1 END) AS cycle, (CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 4 ELSE 6 END + rn % CASE source WHEN 'src1' THEN 4 WHEN 'src2' THEN 2 ELSE 1 END)::INT AS place FROM r")
+def s16(t, spark):
+    return sa.interleave(t("documents").select("doc_id", "source"), "source", C("doc_id"), {"src1": 4, "src2": 2, "src3": 1})
+
+
+@query("m1_quotas", "WITH w AS (SELECT lang, count(*) / sum(count(*)) OVER () AS share FROM documents GROUP BY lang), q AS (SELECT lang, floor(share * 96900)::BIGINT AS base, share * 96900 - floor(share * 96900) AS rest FROM w) SELECT lang, base + (row_number() OVER (ORDER BY rest DESC, lang) <= 96900 - sum(base) OVER ())::INT::BIGINT AS quota FROM q")
+def m1(t, spark):
+    n = t("documents").groupBy("lang").count()
+    total = n.agg(F.sum("count").alias("all"))
+    return sa.quotas(n.crossJoin(total).select("lang", (C("count") / C("all")).alias("share")), "lang", "share", 96_900)
+
+
+U = "('0x' || substr(sha256('mix|' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+@query("m2_weighted_mixture", f"SELECT doc_id, CASE WHEN u < 0.425 THEN 'web' WHEN u < 0.85 THEN 'dclm' WHEN u < 0.88 THEN 'math' ELSE 'code' END AS component FROM (SELECT doc_id, {U} AS u FROM documents)")
+def m2(t, spark):
+    """Each row draws its component from its own hash."""
+    u = F.conv(F.substring(stable_hash(F.lit("mix"), C("doc_id")), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    rows = t("documents").select("doc_id", u.alias("u"))
+    return rows.select("doc_id", F.when(C("u") < 0.425, "web").when(C("u") < 0.85, "dclm").when(C("u") < 0.88, "math").otherwise("code").alias("component"))
+
+
+@query("m3_sample_order", f"WITH r AS (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {H('doc_id')}) <= 60) SELECT doc_id, lang, (row_number() OVER (ORDER BY sha256('o|' || doc_id)))::INT AS pos FROM r")
+def m3(t, spark):
+    """Without replacement: least hashes per component, then one order by a second hash."""
+    rows = sa.stratified_first(t("documents").select("doc_id", "lang"), ["lang"], [h("doc_id")], 60).drop("rank")
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy(stable_hash(F.lit("o"), C("doc_id")))))
+
+
+@query("m4_composition", "WITH n AS (SELECT lang, sum(n_chars)::BIGINT AS have FROM documents GROUP BY lang) SELECT lang, have, (ceil(400000 * 1.1 / 2049) * 2049)::BIGINT AS wanted, greatest((ceil(400000 * 1.1 / 2049) * 2049)::BIGINT - have, 0) AS refill FROM n")
+def m4(t, spark):
+    wanted = F.lit(-(-int(400_000 * 1.1) // 2049) * 2049).cast("long")
+    n = t("documents").groupBy("lang").agg(F.sum("n_chars").alias("have"))
+    return n.select("lang", "have", wanted.alias("wanted"), F.greatest(wanted - C("have"), F.lit(0).cast("long")).alias("refill"))
+
+
+@query("m5_hash_modulo_split", f"SELECT doc_id, (row_number() OVER (ORDER BY {H('doc_id')}) - 1) % 10 = 0 AS dev FROM documents")
+def m5(t, spark):
+    """Train or dev by place in the hash order. Places are prefix counts within the first hash byte, then over them."""
+    rows = t("documents").select("doc_id", h("doc_id").alias("x")).withColumn("b", F.conv(F.substring("x", 1, 4), 16, 10).cast("long"))
+    counts = rows.groupBy("b").count()
+    base = counts.select("b", F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    local = F.row_number().over(Window.partitionBy("b").orderBy("x")) - 1
+    return rows.withColumn("i", local).join(base, "b").select("doc_id", ((C("base") + C("i")) % 10 == 0).alias("dev"))
+
+
+@query("m6_repeat_passes", "SELECT vec_id, pass FROM embeddings, (SELECT unnest(range(3)) AS pass)")
+def m6(t, spark):
+    return t("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("pass"))
+
+
+@query("m7_validation_sample", f"SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {H('doc_id')}) <= 12")
+def m7(t, spark):
+    return sa.stratified_first(t("documents").select("source", "doc_id"), ["source"], [h("doc_id")], 12).drop("rank")
+
+
+@query("m8_spec_grid", "SELECT split, challenge, idx, sha256('s1|' || split || '|' || challenge || '|' || idx) AS spec FROM (SELECT unnest(['train', 'dev']) AS split), (SELECT unnest(['count', 'left', 'same']) AS challenge), (SELECT unnest(range(50)) AS idx)")
+def m8(t, spark):
+    split = spark.createDataFrame([("train",), ("dev",)], "split string")
+    challenge = spark.createDataFrame([("count",), ("left",), ("same",)], "challenge string")
+    grid_ = spark.range(50).withColumnRenamed("id", "idx").crossJoin(F.broadcast(split)).crossJoin(F.broadcast(challenge))
+    return grid_.select("split", "challenge", "idx", h("split", "challenge", "idx").alias("spec"))
+
+
+@query("m9_balanced_batches", "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256('e1|' || doc_id)) - 1 AS i FROM labels), c AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) SELECT doc_id, quality, i // 8 AS batch FROM r, c WHERE i < n // 8 * 8")
+def m9(t, spark):
+    """Half of each batch from either class; the smaller class sets the number of batches."""
+    rows = t("labels").select("doc_id", "quality")
+    least = rows.groupBy("quality").count().agg((F.floor(F.min("count") / 8) * 8).alias("n"))
+    i = F.row_number().over(Window.partitionBy("quality").orderBy(stable_hash(F.lit("e1"), C("doc_id")))) - 1
+    return rows.withColumn("i", i).join(F.broadcast(least), C("i") < C("n")).select("doc_id", "quality", F.floor(C("i") / 8).alias("batch"))
+
+
+@query("m10_group_shuffle", "SELECT conv_id, turn, (dense_rank() OVER (ORDER BY sha256('g|' || conv_id)))::INT AS place FROM conversations")
+def m10(t, spark):
+    """Groups shuffled as a whole; rows keep their order inside."""
+    groups = t("conversations").select("conv_id").distinct()
+    placed = groups.withColumn("place", F.row_number().over(Window.orderBy(stable_hash(F.lit("g"), C("conv_id")))))
+    return t("conversations").select("conv_id", "turn").join(placed, "conv_id")
+
+
+@query("u1_union", "SELECT pool, count(*) AS n FROM (SELECT 'a' AS pool, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'b', doc_id FROM documents WHERE doc_id % 3 = 0) GROUP BY pool")
+def u1(t, spark):
+    d = t("documents").select("doc_id")
+    a, b = d.where("doc_id % 2 = 0").withColumn("pool", F.lit("a")), d.where("doc_id % 3 = 0").withColumn("pool", F.lit("b"))
+    return a.unionByName(b).groupBy("pool").agg(F.count("*").alias("n"))
+
+
+@query("u2_set_union", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
+def u2(t, spark):
+    d = t("documents").select("doc_id")
+    return d.where("doc_id % 2 = 0").union(d.where("doc_id % 3 = 0")).distinct()
+
+
+@query("u3_set_equality", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) AS only_right")
+def u3(t, spark):
+    a, b = t("labels").select("doc_id"), t("documents").select("doc_id")
+    return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))
+
+
+@query("u4_except", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def u4(t, spark):
+    return t("documents").select("doc_id").subtract(t("labels").select("doc_id"))
+
+
+@query("u5_sorted_unique", "SELECT DISTINCT n_chars // 10 AS v FROM documents ORDER BY v")
+def u5(t, spark):
+    return t("documents").select(F.floor(C("n_chars") / 10).alias("v")).distinct().orderBy("v")
