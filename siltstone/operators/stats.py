@@ -93,7 +93,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 2000
         low, high = _interval(got, level)
         return pd.DataFrame({"clusters": [int(n.sum())], "mean": [float(m @ n / n.sum())], "low": [low], "high": [high]})
 
-    return means.groupBy(F.lit(1)).applyInPandas(draw, "clusters long, mean double, low double, high double")
+    return means.groupBy().applyInPandas(draw, "clusters long, mean double, low double, high double")
 
 
 def crossed_bootstrap(df: DataFrame, row: str, column: str, value: str, draws: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
@@ -111,4 +111,4 @@ def crossed_bootstrap(df: DataFrame, row: str, column: str, value: str, draws: i
         low, high = _interval(out, level)
         return pd.DataFrame({"rows": [len(grid)], "columns": [grid.shape[1]], "mean": [float(np.nanmean(grid))], "low": [low], "high": [high]})
 
-    return cells.groupBy(F.lit(1)).applyInPandas(draw, "rows long, columns long, mean double, low double, high double")
+    return cells.groupBy().applyInPandas(draw, "rows long, columns long, mean double, low double, high double")

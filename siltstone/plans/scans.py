@@ -1 +1,98 @@
-"""Queries."""
+"""Sources, sinks and streams over copies of the tables in the shared scratch folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siltstone.functions.scratch import scratch_path
+from siltstone.plans.base import query
+from siltstone.sources import files
+from siltstone.streaming import ingest
+
+C = F.col
+
+
+def copied(t, spark, name, parts=4):
+    path = scratch_path(spark, name)
+    t("documents").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return path
+
+
+@query("s1_pinned_listing", "SELECT count(*) AS rows FROM documents")
+def s1(t, spark):
+    """Files in a seeded order; all their rows are read."""
+    rows = files.listing(files.file_table(spark, copied(t, spark, "listing")), "part-", 42)
+    return spark.read.parquet(*[r["path"] for r in rows.orderBy("rank").collect()]).agg(F.count("*").alias("rows"))
+
+
+@query("s3_row_resume", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT doc_id FROM r WHERE i >= 637")
+def s3(t, spark):
+    path = scratch_path(spark, "resume")
+    t("documents").coalesce(1).sortWithinPartitions("doc_id").write.parquet(path)
+    return files.rows_after(spark, path, 637).select("doc_id")
+
+
+@query("s4_source_ledger", "SELECT source AS path, max(doc_id) AS rows_consumed FROM documents GROUP BY source")
+def s4(t, spark):
+    rows = t("documents").select(C("source").alias("path"), C("doc_id").alias("rows_consumed"))
+    return files.upsert_ledger(rows.where("rows_consumed % 2 = 0"), rows.where("rows_consumed % 2 = 1"), ["path"], "rows_consumed")
+
+
+@query("s5_verified_scan", "SELECT count(*) AS rows, sum(doc_id)::BIGINT AS ids FROM documents")
+def s5(t, spark):
+    path = copied(t, spark, "verified")
+    table = files.file_table(spark, path)
+    good = files.verified(table, table.select("name", "length", "sha256"))
+    return spark.read.parquet(*[r["path"] for r in good.collect()]).agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"))
+
+
+@query("s6_gzip_jsonl", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+def s6(t, spark):
+    path = scratch_path(spark, "jsonl")
+    files.write_jsonl(t("documents").select("doc_id", "text"), path)
+    return files.read_jsonl(spark, path, "doc_id long, text string").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("s8_csv_map", "SELECT n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def s8(t, spark):
+    path = scratch_path(spark, "csv")
+    t("nation").select("n_name", "n_regionkey").write.csv(path, header=True)
+    return files.read_csv_map(spark, path, "n_name", "n_regionkey")
+
+
+@query("s9_manifest_roundtrip", "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def s9(t, spark):
+    """Nested records to JSON lines and back."""
+    path = scratch_path(spark, "manifest")
+    nested = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("conversations"))
+    files.write_jsonl(nested, path)
+    back = files.read_jsonl(spark, path, "conv_id long, conversations array<struct<turn: long, role: string, text: string>>")
+    total = F.aggregate("conversations", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return back.select("conv_id", F.size("conversations").cast("long").alias("turns"), total.alias("chars"))
+
+
+@query("s13_shard_equality", "SELECT source, count(*) AS rows FROM documents GROUP BY source")
+def s13(t, spark):
+    """Shards of at most 20 rows by source; counts must be those before."""
+    path = scratch_path(spark, "shards")
+    files.write_shards(t("documents").select("doc_id", "source"), path, ["source"], 20)
+    count = lambda df: df.groupBy("source").agg(F.count("*").alias("rows"))
+    got = count(spark.read.parquet(path).select(C("source").cast("string").alias("source")))
+    files.assert_unchanged(count(t("documents")), got)
+    return got
+
+
+@query("t1_stream_ingest", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS docs FROM documents")
+def t1(t, spark):
+    """Two runs over one checkpoint: the second finds nothing new."""
+    path, out, mark = copied(t, spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "mark")
+    for _ in range(2):
+        ingest.ingest(ingest.stream_files(spark, path, t("documents").schema), out, mark)
+    return spark.read.parquet(out).agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("t2_stream_dedup", r"SELECT count(DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS accepted FROM documents")
+def t2(t, spark):
+    path, out, mark = copied(t, spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "mark")
+    ingest.ingest_distinct(ingest.stream_files(spark, path, t("documents").schema), out, mark)
+    return spark.read.parquet(out).agg(F.count("*").alias("accepted"))
