@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.scratch import scratch_path, scratch_root
 from siltstone.functions.shipping import ship
 
 #: Bytes that `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` takes after lower-casing A-Z; all others become spaces.
@@ -23,23 +22,11 @@ def alnum_words(raw: bytes) -> list[bytes]:
     return raw.translate(ALNUM_TABLE).split()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: lineage ends there."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{scratch_root(spark).rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def clean_scratch(spark: SparkSession) -> None:
     """Delete every scratch table; call it once the results that read them are written."""
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark).rstrip('/')}/siltstone")
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/siltstone")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
