@@ -12,6 +12,8 @@ extra columns cannot clash.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import stored, utf8
 
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 300_000
+WINDOW, END_ID, CACHE_WORDS = 4096, 2, 200_000
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -33,59 +35,71 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordCache(dict):
+    """Ids of words; one that is missing comes from the elder cache or is made."""
+
+    def __init__(self, make, elder: dict[bytes, bytes]):
+        self.make, self.elder = make, dict(elder)
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.elder.get(w)
+        self[w] = ids = self.make(w) if ids is None else ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of a text as little-endian uint16, word by word.
 
     White space ends every pre-token of this tokenizer and is dropped, so the ids of a text are those of its
-    words in turn. Words are looked up in a bounded cache; those missing are encoded together, parted by a mark
-    that stands alone between spaces. A word that holds the mark's character is encoded by itself.
+    words in turn. Words are looked up in a cache of two generations: when the younger is full it becomes the
+    elder, so frequent words stay. Words of Latin-1 letters, digits and ASCII punctuation (no apostrophe) are cut
+    into the pre-tokenizer's pieces here and go to the BPE model directly; all others go through the whole tokenizer.
     """
 
-    MARK = "\x00"
+    PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[0-9]|[!-&(-/:-@\[-`{-~])+")
+    PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.mark = self.model.encode(self.MARK, add_special_tokens=False).ids
-        self.cache: dict[bytes, bytes] = {}
+        self.bpe = self.model.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xC0, 0x100)]
+        self.bytes_as_letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        self.cache = WordCache(self.word, {})
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        cache = self.cache
-        if len(cache) + len(words) > CACHE_WORDS:
-            cache.clear()
-        plain = [w for w in words if b"\x00" not in w]
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            ids = np.array(self._ids(f" {self.MARK} ".join([w.decode() for w in part])), dtype="<u2")
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(self.mark) == 1 and len(ends) == len(part) - 1:
-                raw, starts = ids.tobytes(), np.concatenate(([0], ends + 1)) * 2
-                for w, a, b in zip(part, starts.tolist(), [*(ends * 2).tolist(), len(raw)], strict=True):
-                    cache[w] = raw[a:b]
-            else:
-                for w in part:
-                    cache[w] = np.array(self._ids(w.decode()), dtype="<u2").tobytes()
-        for w in words:
-            if b"\x00" in w:
-                cache[w] = np.array(self._ids(w.decode()), dtype="<u2").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        got = self.bpe.tokenize(piece if piece.isascii() else piece.translate(self.bytes_as_letters))
+        ids = struct.pack(f"<{len(got)}H", *[t.id for t in got])
+        if len(piece) <= 3:
+            if len(self.pieces) > CACHE_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def word(self, w: bytes) -> bytes:
+        text = w.decode()
+        if self.PLAIN.fullmatch(text):
+            known = self.pieces.get
+            return b"".join([known(x) or self._piece(x) for x in self.PIECES.findall(text.lower())])
+        ids = self._ids(text)
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
-        missing = set().union(*split).difference(self.cache) if split else set()
-        if missing:
-            self._learn(sorted(missing))
-            if any(w not in self.cache for w in set().union(*split)):  # the cache was emptied meanwhile
-                self._learn(sorted(set().union(*split).difference(self.cache)))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = WordCache(self.word, self.cache)
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, t.lower().split())) for t in texts]
 
 
 def tokenizer(path: str) -> WordTokenizer:
