@@ -25,12 +25,12 @@ def align(left: DataFrame, right: DataFrame, key: list[str], checks: list[str])
 
 
 def auroc(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """Area under the curve with half credit for ties, from counts for each distinct score."""
+    """Area under the curve with half credit for ties, from counts for each distinct score; groups of one class have none."""
     at = df.groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
     w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     below = at.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
     total = below.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("n").alias("nn"))
-    return total.select(*by, (F.col("u") / (F.col("np") * F.col("nn"))).alias("auroc"))
+    return total.where("np > 0 AND nn > 0").select(*by, (F.col("u") / (F.col("np") * F.col("nn"))).alias("auroc"))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

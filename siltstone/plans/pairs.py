@@ -196,10 +196,10 @@ def w2(t, spark):
     return sa.best_row(rows, ["l_partkey"], F.struct(-C("l_extendedprice"), C("l_orderkey"), C("l_linenumber"))).select("l_partkey", "l_orderkey", "l_linenumber")
 
 
-@query("w3_stratified_topk", f"SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {H('doc_id')})::INT AS rank FROM documents QUALIFY rank <= 25")
+@query("w3_stratified_topk", f"SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {H('doc_id')})::INT AS rank FROM documents QUALIFY rank <= 12")
 def w3(t, spark):
-    got = sa.stratified_first(t("documents").select("lang", "doc_id"), ["lang"], [h("doc_id")], 25)
-    if got.groupBy("lang").count().where("count < 25").limit(1).count():
+    got = sa.stratified_first(t("documents").select("lang", "doc_id"), ["lang"], [h("doc_id")], 12)
+    if got.groupBy("lang").count().where("count < 12").limit(1).count():
         raise ValueError("a stratum is below its quota")
     return got
 

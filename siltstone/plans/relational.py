@@ -9,14 +9,17 @@ from siltstone.operators import corpus as co
 from siltstone.plans.base import query
 
 C = F.col
-REVENUE = C("l_extendedprice") * (1 - C("l_discount"))
+
+
+def revenue():
+    return C("l_extendedprice") * (1 - C("l_discount"))
 
 
 @query("tpch_q1", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
 round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def q1(t, spark):
     return t("lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(REVENUE), 2).alias("sum_disc"), F.round(F.sum(REVENUE * (1 + C("l_tax"))), 2).alias("sum_charge"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(revenue()), 2).alias("sum_disc"), F.round(F.sum(revenue() * (1 + C("l_tax"))), 2).alias("sum_charge"),
         F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
     )
 
@@ -25,7 +28,7 @@ def q1(t, spark):
 def q3(t, spark):
     cust = t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     orders = t("orders").where("o_orderdate < TIMESTAMP_NTZ '1999-03-15'").join(cust, C("o_custkey") == C("c_custkey"), "left_semi").select("o_orderkey")
-    rows = t("lineitem").join(orders, C("l_orderkey") == C("o_orderkey")).groupBy("o_orderkey").agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    rows = t("lineitem").join(orders, C("l_orderkey") == C("o_orderkey")).groupBy("o_orderkey").agg(F.round(F.sum(revenue()), 2).alias("revenue"))
     return rows.orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
@@ -36,7 +39,7 @@ def q5(t, spark):
     rows = t("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount").join(supp, C("l_suppkey") == C("s_suppkey"))
     rows = rows.join(t("orders").select("o_orderkey", "o_custkey"), C("l_orderkey") == C("o_orderkey"))
     rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), (C("o_custkey") == C("c_custkey")) & (C("c_nationkey") == C("s_nationkey")))
-    return rows.groupBy("n_name").agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    return rows.groupBy("n_name").agg(F.round(F.sum(revenue()), 2).alias("revenue"))
 
 
 @query("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
