@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about max_bytes of the column (a longer row stands alone)."""
     for batch in batches:
-        sizes = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > max_bytes:
