@@ -30,7 +30,7 @@ SAMPLE_SHARE, SAMPLE_ROWS = 0.02, 500
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once per row and use it as often as needed."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def word_list(text: Column) -> Column:
@@ -89,17 +89,16 @@ RULES: dict[str, Callable[[dict[str, Column]], Column]] = {
 }
 
 
-def text_features(text: Column) -> dict[str, Column]:
-    """Every feature as an expression of its own over the text, so that a rule costs only what it needs."""
+def text_features(text: Column, words: Column) -> dict[str, Column]:
+    """Every feature as an expression of its own over the text and its words, so that a rule costs only what it needs."""
     t = F.coalesce(text, F.lit(""))
-    words = word_list(text)
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_lines": line_count(text),
         "n_dup_lines": dup_lines(text),
-        "n_repeat_words": let(words, lambda w: repeat_words(w)),
+        "n_repeat_words": repeat_words(words),
     }
 
 
@@ -113,7 +112,8 @@ def measure(df: DataFrame, text: str = "text", rules=RULES, share: float = SAMPL
     found = []
     for name, rule in rules.items():
         began = time.perf_counter()
-        hit = sample.agg(F.avg(rule(text_features(F.col("text"))).cast("double")).alias("x")).first()["x"]
+        t = F.col("text")
+        hit = sample.agg(F.avg(let(word_list(t), lambda w, rule=rule: rule(text_features(t, w))).cast("double")).alias("x")).first()["x"]
         found.append((name, time.perf_counter() - began, hit or 0.0))
     return sorted(found, key=lambda x: (-x[2] / max(x[1], 1e-9), x[1], x[0]))
 
@@ -129,7 +129,8 @@ def verdict(order: list[str], features: dict[str, Column], rules=RULES) -> Colum
 def quality_cascade(df: DataFrame, text: str = "text", rules=RULES, name: str = "kept", order: list[str] | None = None) -> DataFrame:
     """All columns of df and the boolean `name`."""
     order = order or [x[0] for x in measure(df, text, rules)]
-    return df.withColumn(name, verdict(order, text_features(F.col(text)), rules))
+    t = F.col(text)
+    return df.withColumn(name, let(word_list(t), lambda w: verdict(order, text_features(t, w), rules)))
 
 
 def quality_report(df: DataFrame, keep: list[str], text: str = "text", rules=RULES) -> DataFrame:
