@@ -240,7 +240,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     rows = stored(fingerprints(numbered, numbered.columns, text, "__fp"), "fingerprinted")
     rank = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col("__row").alias("c"))
     winners = component_table(rows.select("__fp", doc_id, "__row"), "__fp", rank, radius).select(F.col("least.c").alias("__row")).distinct()
-    return rows.join(winners, "__row", "left_semi").select(*df.columns)
+    return rows.join(winners.hint("shuffle_hash"), "__row", "left_semi").select(*df.columns)  # texts are dealt, not sorted
 
 
 def fingerprint_text(fp):
