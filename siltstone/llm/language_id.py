@@ -142,11 +142,10 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    top = 2.0**63
+    budget, top = min(SAMPLE_BYTES, TOTAL_BYTES // len(counts)), 2.0**63
     limits = df.sparkSession.createDataFrame([(k, float(min(1.0, 4.0 * DOCS / n) * 2 * top - top)) for k, n in counts.items()], "l string, most double")
-    few = rows.join(F.broadcast(limits), "l").where(F.col("h") <= F.col("most")).select("l", "h", "i", F.substring("t", 1, SAMPLE_BYTES).alias("t")).dropDuplicates(["l", "t"])
+    few = rows.join(F.broadcast(limits), "l").where(F.col("h") <= F.col("most")).select("l", "h", "i", F.substring("t", 1, budget).alias("t")).dropDuplicates(["l", "t"])
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).where(F.col("r") <= DOCS)
-    budget = min(SAMPLE_BYTES, TOTAL_BYTES // len(counts))
     samples: dict[str, bytes] = {}
     for r in sorted(ranked.select("l", "r", "t").collect(), key=lambda r: (r["l"], r["r"])):
         have = samples.get(r["l"], b"")
