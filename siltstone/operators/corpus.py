@@ -85,10 +85,9 @@ def pack_blocks(docs: DataFrame, order: str, tokens: Column, block: int = 2049)
     does not fill a block is dropped."""
     rows = docs.select(F.col(order).alias("ord"), F.concat(tokens, F.array(F.lit(""))).alias("tokens"))
     placed = prefix_sums(rows, "ord", F.size("tokens"), "start")
-    total = rows.agg(F.sum(F.size("tokens")).alias("total"))
+    kept = (rows.agg(F.sum(F.size("tokens"))).first()[0] or 0) // block * block
     flat = placed.select("ord", "start", F.posexplode("tokens").alias("i", "token")).withColumn("pos", F.col("start") + F.col("i"))
-    whole = flat.join(F.broadcast(total), F.col("pos") < F.floor(F.col("total") / block) * block)
-    return whole.select("ord", "pos", F.floor(F.col("pos") / block).alias("block_no"), (F.col("pos") % block).alias("slot"), "token")
+    return flat.where(F.col("pos") < kept).select("ord", "pos", F.floor(F.col("pos") / block).alias("block_no"), (F.col("pos") % block).alias("slot"), "token")
 
 
 def block_ranges(docs: DataFrame, order: str, n_tokens: Column, block: int = 2049, shard_blocks: int = 8) -> DataFrame:

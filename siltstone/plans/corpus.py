@@ -212,8 +212,8 @@ SELECT doc_id, (upto - n)::BIGINT AS start, n FROM r WHERE upto <= total // 2049
 def w12(t, spark):
     """Documents that lie whole inside the kept blocks."""
     rows = co.block_ranges(t("documents"), "doc_id", F.size(tx.word_tokens(F.col("text"))))
-    total = rows.agg((F.floor(F.max("stop") / 2049) * 2049).alias("kept"))
-    return rows.join(F.broadcast(total), F.col("stop") <= F.col("kept")).select(F.col("ord").alias("doc_id"), "start", (F.col("stop") - F.col("start")).alias("n"))
+    kept = (rows.agg(F.max("stop")).first()[0] or 0) // 2049 * 2049
+    return rows.where(F.col("stop") <= kept).select(F.col("ord").alias("doc_id"), "start", (F.col("stop") - F.col("start")).alias("n"))
 
 
 @query("w13_block_lookup", f"""WITH n AS (SELECT source, sum({N_WORDS} + 1) // 2049 AS blocks FROM documents GROUP BY source), c AS (SELECT source, blocks, sum(blocks) OVER (ORDER BY source) - blocks AS first FROM n)

@@ -45,10 +45,10 @@ SELECT left_out, round(avg(d), 9) AS macro, round(sum(d * n) / sum(n), 9) AS poo
 def a14(t, spark):
     """Macro and sample-weighted means over tasks, all and with each task left out, from task sums."""
     k = results(t).groupBy("task").agg((F.avg("b") - F.avg("a")).alias("d"), F.count("*").alias("n"))
-    total = k.agg(F.sum("d").alias("sd"), F.sum(C("d") * C("n")).alias("sdn"), F.sum("n").alias("sn"), F.count("*").alias("k"))
+    total = k.agg(F.sum("d").alias("sd"), F.sum(C("d") * C("n")).alias("sdn"), F.sum("n").alias("sn"), F.count("*").alias("k")).first()
     rows = k.select("task", "d", "n").unionByName(spark.createDataFrame([("all", 0.0, 0)], "task string, d double, n long"))
-    kept = C("k") - F.when(C("task") == "all", 0).otherwise(1)
-    return rows.crossJoin(F.broadcast(total)).select(C("task").alias("left_out"), F.round((C("sd") - C("d")) / kept, 9).alias("macro"), F.round((C("sdn") - C("d") * C("n")) / (C("sn") - C("n")), 9).alias("pooled"))
+    kept = total["k"] - F.when(C("task") == "all", 0).otherwise(1)
+    return rows.select(C("task").alias("left_out"), F.round((total["sd"] - C("d")) / kept, 9).alias("macro"), F.round((total["sdn"] - C("d") * C("n")) / (total["sn"] - C("n")), 9).alias("pooled"))
 
 
 FAMILY = """fam AS (SELECT conv_id AS family, ['count', 'left', 'same'][conv_id % 3 + 1] AS task, cond, conv_id % 2 AS expected_base, (conv_id + 1) % 2 AS expected_edited, conv_id % 2 AS expected_invariant,
@@ -56,8 +56,8 @@ FAMILY = """fam AS (SELECT conv_id AS family, ['count', 'left', 'same'][conv_id
 
 
 def families(t, spark):
-    conds = spark.createDataFrame([("true", 1), ("swapped", 2), ("blank", 4)], "cond string, k int")
-    rows = t("conversations").select("conv_id").distinct().crossJoin(F.broadcast(conds))
+    conds = F.array(*(F.struct(F.lit(c).alias("cond"), F.lit(k).alias("k")) for c, k in (("true", 1), ("swapped", 2), ("blank", 4))))
+    rows = t("conversations").select("conv_id").distinct().select("conv_id", F.inline(conds))
     i, k = C("conv_id"), C("k")
     task = F.get(F.array(F.lit("count"), F.lit("left"), F.lit("same")), (i % 3).cast("int"))
     return rows.select(

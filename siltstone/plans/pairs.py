@@ -303,8 +303,8 @@ def s16(t, spark):
 @query("m1_quotas", "WITH w AS (SELECT lang, count(*) / sum(count(*)) OVER () AS share FROM documents GROUP BY lang), q AS (SELECT lang, floor(share * 96900)::BIGINT AS base, share * 96900 - floor(share * 96900) AS rest FROM w) SELECT lang, base + (row_number() OVER (ORDER BY rest DESC, lang) <= 96900 - sum(base) OVER ())::INT::BIGINT AS quota FROM q")
 def m1(t, spark):
     n = t("documents").groupBy("lang").count()
-    total = n.agg(F.sum("count").alias("all"))
-    return sa.quotas(n.crossJoin(total).select("lang", (C("count") / C("all")).alias("share")), "lang", "share", 96_900)
+    total = n.agg(F.sum("count")).first()[0]
+    return sa.quotas(n.select("lang", (C("count") / F.lit(total)).alias("share")), "lang", "share", 96_900)
 
 
 U = "('0x' || substr(sha256('mix|' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
@@ -354,19 +354,18 @@ def m7(t, spark):
 
 @query("m8_spec_grid", "SELECT split, challenge, idx, sha256('s1|' || split || '|' || challenge || '|' || idx) AS spec FROM (SELECT unnest(['train', 'dev']) AS split), (SELECT unnest(['count', 'left', 'same']) AS challenge), (SELECT unnest(range(50)) AS idx)")
 def m8(t, spark):
-    split = spark.createDataFrame([("train",), ("dev",)], "split string")
-    challenge = spark.createDataFrame([("count",), ("left",), ("same",)], "challenge string")
-    grid_ = spark.range(50).withColumnRenamed("id", "idx").crossJoin(F.broadcast(split)).crossJoin(F.broadcast(challenge))
-    return grid_.select("split", "challenge", "idx", h("split", "challenge", "idx").alias("spec"))
+    each = lambda *xs: F.explode(F.array(*(F.lit(x) for x in xs)))
+    specs = spark.range(50).withColumnRenamed("id", "idx").withColumn("split", each("train", "dev")).withColumn("challenge", each("count", "left", "same"))
+    return specs.select("split", "challenge", "idx", h("split", "challenge", "idx").alias("spec"))
 
 
 @query("m9_balanced_batches", "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256('e1|' || doc_id)) - 1 AS i FROM labels), c AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) SELECT doc_id, quality, i // 8 AS batch FROM r, c WHERE i < n // 8 * 8")
 def m9(t, spark):
     """Half of each batch from either class; the smaller class sets the number of batches."""
     rows = t("labels").select("doc_id", "quality")
-    least = rows.groupBy("quality").count().agg((F.floor(F.min("count") / 8) * 8).alias("n"))
+    least = rows.groupBy("quality").count().agg(F.min("count")).first()[0] or 0
     i = F.row_number().over(Window.partitionBy("quality").orderBy(stable_hash(F.lit("e1"), C("doc_id")))) - 1
-    return rows.withColumn("i", i).join(F.broadcast(least), C("i") < C("n")).select("doc_id", "quality", F.floor(C("i") / 8).alias("batch"))
+    return rows.withColumn("i", i).where(C("i") < least // 8 * 8).select("doc_id", "quality", F.floor(C("i") / 8).alias("batch"))
 
 
 @query("m10_group_shuffle", "SELECT conv_id, turn, (dense_rank() OVER (ORDER BY sha256('g|' || conv_id)))::INT AS place FROM conversations")
@@ -393,7 +392,8 @@ def u2(t, spark):
 @query("u3_set_equality", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) AS only_right")
 def u3(t, spark):
     a, b = t("labels").select("doc_id"), t("documents").select("doc_id")
-    return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))
+    both = a.exceptAll(b).select(F.lit(True).alias("left")).union(b.exceptAll(a).select(F.lit(False)))
+    return both.agg(F.count_if("left").alias("only_left"), F.count_if(~C("left")).alias("only_right"))
 
 
 @query("u4_except", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
