@@ -25,7 +25,7 @@ from siltstone.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS, REPEAT_PERCENT, WINDOW_WORDS = 50, 50, 3
-SAMPLE_SHARE, SAMPLE_ROWS = 0.02, 500
+SAMPLE_ROWS = 500
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -106,8 +106,9 @@ def line_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(WORD))).cast("long")
 
 
-def measure(df: DataFrame, text: str = "text", rules=RULES, share: float = SAMPLE_SHARE, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+def measure(df: DataFrame, text: str = "text", rules=RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds, share rejected) on a sample of at most `rows` rows, best rejections per second first."""
+    share = min(1.0, 1.5 * rows / max(1, df.count()))
     sample = stored(df.select(F.col(text).alias("text")).sample(fraction=share, seed=7).limit(rows), "rules")
     found = []
     for name, rule in rules.items():

@@ -342,7 +342,7 @@ def test_cascade_order_changes_nothing(spark):
     kept = [sorted(r["doc_id"] for r in quality_rules.quality_cascade(docs, order=o).where("kept").collect()) for o in (names, names[::-1])]
     report = sorted(r["doc_id"] for r in quality_rules.quality_report(docs, ["doc_id"]).where("kept").collect())
     assert kept[0] == kept[1] == report
-    assert {x[0] for x in quality_rules.measure(docs, share=0.5)} == set(names)
+    assert {x[0] for x in quality_rules.measure(docs)} == set(names)
 
 
 def test_pipeline(spark, texts, duck):
