@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing as hs
 from siltstone.functions import text as tx
+from siltstone.functions.tokens import bpe_encode
 from siltstone.operators import corpus as co
 from siltstone.plans.base import query
 
@@ -134,6 +135,15 @@ def word_ids(t):
     return t("documents").select("doc_id", ids.alias("ids"))
 
 
+@query("p9_bpe_tokens", None)
+def p9(t, spark):
+    """Subword ids with an end id; longer documents drop. The vocabulary file's path is a parameter."""
+    import public_tokenizers
+
+    rows = t("documents").select("doc_id", bpe_encode(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("ids"))
+    return rows.where(F.size("ids") <= 262_144).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+
+
 @query("p10_span_fingerprints", None)
 def p10(t, spark):
     """Spans of 13 token ids, hashed modulo 2^64: no SQL type wraps, so tests replay it."""

@@ -404,3 +404,24 @@ def u4(t, spark):
 @query("u5_sorted_unique", "SELECT DISTINCT n_chars // 10 AS v FROM documents ORDER BY v")
 def u5(t, spark):
     return t("documents").select(F.floor(C("n_chars") / 10).alias("v")).distinct().orderBy("v")
+
+
+@query("p21_difference_hash", "WITH g AS (SELECT vec_id, list_transform(range(72), lambda i: (vec_id * 31 + i * i * 17) % 251) AS px FROM embeddings) SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(56), lambda k: (px[k // 8 * 9 + k % 8 + 1] > px[k // 8 * 9 + k % 8 + 2])::INT::BIGINT)), lambda a, b: a * 2 + b) AS dhash FROM g")
+def p21(t, spark):
+    """Gradient bits of a grid of 9 grey values a row; seven rows, so that the sign bit stays free. Decoding images is left out."""
+    px = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (C("vec_id") * 31 + i * i * 17) % 251)
+    g = t("embeddings").select("vec_id", px.alias("px"))
+    at = lambda k, d: F.get(C("px"), (F.floor(k / 8) * 9 + k % 8 + d).cast("int"))
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(55)), F.lit(0).cast("long"), lambda a, k: a * 2 + (at(k, 0) > at(k, 1)).cast("long"))
+    return g.select("vec_id", bits.alias("dhash"))
+
+
+@query("p23_pose_summary", """WITH k AS (SELECT vec_id, [embedding[1], embedding[2]] AS a, [embedding[3], embedding[4]] AS b, [embedding[5], embedding[6]] AS c FROM embeddings), v AS (SELECT vec_id, a[1] - b[1] AS ux, a[2] - b[2] AS uy, c[1] - b[1] AS wx, c[2] - b[2] AS wy FROM k)
+SELECT vec_id, round(degrees(acos(greatest(-1, least(1, (ux::DOUBLE * wx + uy::DOUBLE * wy) / sqrt((ux::DOUBLE * ux + uy::DOUBLE * uy) * (wx::DOUBLE * wx + wy::DOUBLE * wy)))))), 2) AS angle, abs(uy) > abs(ux) AS upright FROM v""")
+def p23(t, spark):
+    """Angle at the middle of three key points, and whether the first limb is nearer to the vertical."""
+    e = lambda i: C("embedding")[i]
+    v = t("embeddings").select("vec_id", (e(0) - e(2)).alias("ux"), (e(1) - e(3)).alias("uy"), (e(4) - e(2)).alias("wx"), (e(5) - e(3)).alias("wy"))
+    d = lambda n: C(n).cast("double")
+    cosine = (d("ux") * d("wx") + d("uy") * d("wy")) / F.sqrt((d("ux") * d("ux") + d("uy") * d("uy")) * (d("wx") * d("wx") + d("wy") * d("wy")))
+    return v.select("vec_id", F.round(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))), 2).alias("angle"), (F.abs("uy") > F.abs("ux")).alias("upright"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from siltstone.functions.scratch import scratch_path
@@ -96,3 +97,71 @@ def t2(t, spark):
     path, out, mark = copied(t, spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "mark")
     ingest.ingest_distinct(ingest.stream_files(spark, path, t("documents").schema), out, mark)
     return spark.read.parquet(out).agg(F.count("*").alias("accepted"))
+
+
+@query("s7_budget_sink", "WITH r AS (SELECT source, doc_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents) SELECT source, count(*) AS rows, sum(n)::BIGINT AS chars FROM r WHERE upto - n < 50000 GROUP BY source")
+def s7(t, spark):
+    """Rows of each source until its characters reach the budget, as compressed JSON lines and back."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = t("documents").select("source", "doc_id", "text", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("before")).where("before < 50000")
+    path = scratch_path(spark, "budget")
+    files.write_jsonl(rows.select("source", "doc_id", "text"), path)
+    back = files.read_jsonl(spark, path, "source string, doc_id long, text string")
+    return back.groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("s7_interleaved_reader", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents WHERE source IN ('src1', 'src2')) SELECT doc_id, (row_number() OVER (ORDER BY rn // 32, source, rn))::INT AS pos FROM r")
+def s7b(t, spark):
+    """Turns of 32 lines from each source."""
+    from pyspark.sql import Window
+
+    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    rows = t("documents").where("source IN ('src1', 'src2')").select("doc_id", "source", rn.alias("rn"))
+    return rows.select("doc_id", F.row_number().over(Window.orderBy(F.floor(C("rn") / 32), "source", "rn")).alias("pos"))
+
+
+@query("s11_blob_fetch", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE doc_id % 10 <> 3")
+def s11(t, spark):
+    """Gzipped blobs with a declared charset; broken ones drop their row."""
+    @F.pandas_udf("binary")
+    def zipped(s: pd.Series) -> pd.Series:
+        import gzip
+
+        return s.map(lambda x: gzip.compress(x.encode()))
+
+    payload = F.when(C("doc_id") % 10 == 3, F.lit(bytearray(b"broken"))).otherwise(zipped("text"))
+    blobs = t("documents").select("doc_id", payload.alias("payload"), F.lit("utf-8").alias("charset"))
+    return files.fetch_blobs(blobs, "payload", "charset", ["doc_id"]).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("s12_shard_receipts", "SELECT source, count(*) AS rows, sha256(string_agg(n_chars::VARCHAR, ',' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source")
+def s12r(t, spark):
+    return files.shard_receipts(t("documents").select("source", "doc_id", "n_chars"), ["source"], C("doc_id"), "n_chars")
+
+
+@query("s14_receipt", "SELECT count(*) AS rows, sum(n_chars)::BIGINT AS chars FROM documents")
+def s14(t, spark):
+    """A JSON receipt written by rename and read back."""
+    got = t("documents").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars")).first()
+    path = scratch_path(spark, "receipt") + ".json"
+    files.write_receipt(spark, path, got.asDict())
+    return files.read_jsonl(spark, path, "rows long, chars long")
+
+
+@query("a33_file_inventory", "SELECT 4 AS files, count(*) AS rows FROM documents")
+def a33(t, spark):
+    """Files below a folder with their sizes, and the rows they hold."""
+    path = copied(t, spark, "inventory")
+    sizes = files.file_table(spark, path).agg(F.count("*").cast("int").alias("files"), F.sum("length").alias("bytes"))
+    rows = spark.read.parquet(path).count()
+    return sizes.where("bytes > 0").select("files", F.lit(rows).cast("long").alias("rows"))
+
+
+@query("t4_stream_progress", "SELECT sum(n)::BIGINT AS seen, 4 AS batches FROM (SELECT count(*) AS n FROM documents)")
+def t4(t, spark):
+    """One micro-batch a file; what each saw adds up to all rows."""
+    path, out, mark = copied(t, spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "mark")
+    seen = ingest.ingest_distinct(ingest.stream_files(spark, path, t("documents").schema), out, mark)
+    return spark.createDataFrame([(sum(p["seen"] for p in seen), len(seen))], "seen long, batches int")

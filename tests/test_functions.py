@@ -262,3 +262,15 @@ def test_stream_dedup_across_restarts(spark, tmp_path):
     rows((3, "a b"), (4, "c"))
     ingest.ingest_distinct(ingest.stream_files(spark, src, schema), out, mark)
     assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [1, 4]
+
+
+def test_bpe_encode(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from siltstone.functions.tokens import bpe_encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, values = Tokenizer.from_file(path), ["Hello, wörld", "", None, "a\nb  c"]
+    want = [None if v is None else model.encode(v, add_special_tokens=False).ids + [0] for v in values]
+    assert col(spark, values, lambda c: bpe_encode(c, path)) == want
