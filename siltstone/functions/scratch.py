@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from siltstone.functions.shipping import ship
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -20,3 +22,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared scratch folder and read it back: lineage ends there."""
+    spark = df.sparkSession
+    ship(spark)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table; call it once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/siltstone")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

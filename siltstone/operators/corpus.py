@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing as hs
 from siltstone.functions import text as tx
+from siltstone.functions.scratch import stored
 
 NGRAM = 13
 #: A side is broadcast only below this many rows; beyond it the join shuffles both sides.
@@ -53,8 +54,9 @@ def funnel_status(docs: DataFrame, benchmark: DataFrame, minimum: int = 200, max
     Contaminated and too long documents do not count as seen, so a later copy has its own reason."""
     clean = tx.stripped_text(F.col("text"))
     bad = contaminated_ids(docs.select("doc_id", clean.alias("text")), benchmark).withColumn("hit", F.lit(True))
-    facts = docs.select("doc_id", tx.clean_reason(F.col("text"), minimum).alias("why"), hs.text_digest(tx.collapse(F.lower(clean))).alias("digest"), (F.size(tx.word_tokens(clean)) > max_tokens).alias("long"))
-    facts = facts.join(bad, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    cleaned = docs.select("doc_id", "text", clean.alias("clean"))
+    facts = cleaned.select("doc_id", tx.clean_reason(F.col("text"), minimum).alias("why"), hs.text_digest(tx.collapse(F.lower("clean"))).alias("digest"), (F.size(tx.word_tokens(F.col("clean"))) > max_tokens).alias("long"))
+    facts = stored(facts.join(bad, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "facts")
     firsts = facts.where("why IS NULL AND NOT hit AND NOT long").groupBy("digest").agg(F.min("doc_id").alias("first"))
     return facts.join(firsts, "digest", "left").select(
         "doc_id",
