@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.scratch import scratch_path, scratch_root
+from siltstone.functions.scratch import clean_scratch, stored  # noqa: F401
 from siltstone.functions.shipping import ship
 
 #: Bytes that `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` takes after lower-casing A-Z; all others become spaces.
@@ -23,22 +23,6 @@ def alnum_words(raw: bytes) -> list[bytes]:
     return raw.translate(ALNUM_TABLE).split()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    ship(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table; call it once the results that read them are written."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/siltstone")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
