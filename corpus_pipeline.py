@@ -13,8 +13,13 @@ from siltstone.llm import decontaminate, packing, quality_rules, secret_scan, si
 from siltstone.llm.common import stored
 
 
+#: Rows in an Arrow batch. Whole texts pass through Python in every stage, in the JVM's and the worker's memory at once.
+BATCH_ROWS = 1000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects."""
+    """Documents that no rule of the cascade rejects. As the first stage it also sets the session's batch size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return quality_rules.quality_cascade(docs, name="__kept").where("__kept").drop("__kept")
 
 
