@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, secret redaction, packing.
+"""The corpus pipeline: quality rules, near-dedup, benchmark decontamination, secret redaction, packing.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, packing, quality_rules, secret_scan, simhash
+from siltstone.llm import decontaminate, near_copies, packing, quality_rules, secret_scan
 from siltstone.llm.common import stored
 
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component, that of the smallest doc_id; repeated rows count as copies."""
-    return simhash.keep_one(docs)
+    """One row of each component of texts with a Jaccard similarity of 0.8 or more over 5-word shingles, that of the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

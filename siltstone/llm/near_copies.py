@@ -1,0 +1,166 @@
+"""Near copies by their sets of 5-word shingles: MinHash bands propose, the exact Jaccard similarity decides.
+
+A text's node is the set of its shingles' hashes; equal sets are one node, so copies are never expanded into pairs.
+`BANDS` keys of `ROWS` minima each put nodes in buckets: a pair of similarity 0.8 shares none with probability
+(1 - 0.8^ROWS)^BANDS, 0.0002, and a more similar pair with less. Every pair of a bucket is compared exactly (by the
+upper 32 bits of the hashes) and linked from `SIMILARITY` on. Buckets above `SHARD_ROWS` nodes are cut into parts and
+every pair of parts is a task, so no bucket gathers in one place and no link is lost; a task returns a spanning
+forest of its links. SimHash links of a small radius miss most such pairs (they differ in 4 to 11 of 64 bits), and
+shards for a radius of 11 would have keys of 5 bits only, which is every pair at the size of a corpus.
+
+Edge cases: null text counts as empty; fewer than 5 words form one shingle of all words; texts without words are one
+node; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.functions.shipping import ship
+from siltstone.llm.common import stored, utf8
+from siltstone.llm.simhash import components, shingle_hashes
+
+SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SHARD_ROWS, FLUSH = 5, 0.8, 16, 4, 1024, 100_000
+_RANDOM = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+_TIMES, _PLUS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(raw: bytes) -> np.ndarray:
+    """Sorted distinct hashes."""
+    return np.unique(np.array(shingle_hashes(raw, SHINGLE_WORDS), dtype=np.uint64))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS keys for each set; an empty set counts as that of the hash zero."""
+    sets = [s if len(s) else np.zeros(1, dtype=np.uint64) for s in sets]
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    for k in range(BANDS * ROWS):
+        band = out[:, k // ROWS]
+        band *= _MIX
+        band += np.minimum.reduceat(flat * _TIMES[k] + _PLUS[k], starts)
+        band ^= band >> np.uint64(29)
+    return out
+
+
+def prepared(df: DataFrame, text: str) -> DataFrame:
+    """All columns, __node (long), __bands (array of long) and __set (4 bytes a shingle)."""
+    schema = T.StructType([*df.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, packed, keys, held, size = [], [], [np.zeros((0, BANDS), dtype=np.uint64)], [], 0
+            for raw in utf8(batch, text):
+                got = shingle_set(raw or b"")
+                nodes.append(xxhash.xxh64_intdigest(got.tobytes()))
+                packed.append(np.unique(got >> np.uint64(32)).astype("<u4").tobytes())
+                held.append(got)
+                size += len(got)
+                if size > FLUSH:
+                    keys.append(band_keys(held))
+                    held, size = [], 0
+            if held:
+                keys.append(band_keys(held))
+            flat = pa.array(np.concatenate(keys).view(np.int64).ravel())
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), flat)
+            node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, node, bands, pa.array(packed, pa.binary())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def forest(nodes: list[int], sets: list[bytes], query: list[bool], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect what all links connect: between queries and the others, or of all where there are no queries."""
+    arrays = [np.frombuffer(s, dtype="<u4") for s in sets]
+    sizes = np.array([len(x) for x in arrays])
+    flat, owner = np.concatenate(arrays), np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    side, both = np.array(query), any(query)
+    parent = list(range(len(nodes)))
+    out = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, mine in enumerate(arrays):
+        if both and not query[i]:
+            continue
+        first = np.searchsorted(flat, mine, side="left")
+        n = np.searchsorted(flat, mine, side="right") - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(nodes))
+        near = common >= similarity * (sizes + sizes[i] - common) - 1e-9
+        near &= ~side if both else np.arange(len(nodes)) < i
+        for k in np.flatnonzero(near).tolist():
+            a, b = root(i), root(k)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((nodes[i], nodes[k]))
+    return out
+
+
+def links(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """a, b: links between nodes. rows: __row, __node, __bands, __set; nodes: node and `at`, the __row that stands for it."""
+    keyed = stored(rows.select(F.col("__node").alias("node"), F.posexplode("__bands").alias("c", "k")).distinct(), "bands")
+    sizes = keyed.groupBy("c", "k").count().where("count > 1")
+    parts = F.ceil(F.col("count") / shard_rows).cast("int")
+    dealt = keyed.join(sizes, ["c", "k"]).select("node", "c", "k", F.pmod(F.xxhash64("node"), parts).cast("int").alias("s"), parts.alias("parts"))
+    sets = rows.select(F.col("__row").alias("at"), F.col("__set").alias("set"))
+    placed = dealt.join(nodes, "node").join(sets, "at")
+    tasks = placed.select("node", "set", "c", "k", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("t")).select(
+        "c", "k", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), (F.col("s") > F.col("t")).alias("query"), "node", "set"
+    )
+    by = ["c", "k", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
+        out: list[tuple[int, int]] = []
+
+        def ended():
+            if len(held[0]) > 1 and (key[2] == key[3] or any(held[2])):
+                out.extend(forest(*held, similarity))
+
+        for batch in batches:
+            cols = [batch.column(x).to_pylist() for x in (*by, "node", "set", "query")]
+            for c, k, a, b, *x in zip(*cols, strict=True):
+                if (c, k, a, b) != key:
+                    ended()
+                    key, held = (c, k, a, b), ([], [], [])
+                for column, value in zip(held, x, strict=True):
+                    column.append(value)
+            if out:
+                yield _pairs(out)
+                out.clear()
+        ended()
+        yield _pairs(out)
+
+    return tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """All columns of one row for each component: that of the smallest doc_id, ids before nulls, then the first read."""
+    ship(df.sparkSession)
+    rows = stored(prepared(df.withColumn("__row", F.monotonically_increasing_id()), text), "shingled")
+    rank: Column = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col("__row").alias("c"))
+    nodes = stored(rows.groupBy(F.col("__node").alias("node")).agg(F.min(rank).alias("least")), "nodes")
+    edges = links(rows, nodes.select("node", F.col("least.c").alias("at")), similarity, shard_rows)
+    linked = components(edges).withColumnRenamed("node", "n")
+    rooted = nodes.join(linked, F.col("node") == F.col("n"), "left").select("least", F.coalesce("root", "node").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.c").alias("__row"))
+    return rows.join(winners.hint("shuffle_hash"), "__row", "left_semi").select(*df.columns)  # texts are dealt, not sorted

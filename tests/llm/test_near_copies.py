@@ -1,0 +1,38 @@
+"""The pipeline's near-duplicate stage against brute-force Jaccard similarity of 5-word shingles."""
+
+import numpy as np
+
+import corpus_pipeline
+from siltstone.llm import near_copies
+
+
+def grams(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_stage_reaches_jaccard(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in rng.integers(40, 300, 30):
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        texts.append(" ".join(base))
+        for edits in (1, max(1, n // 60), max(2, n // 25), n // 8):
+            changed = list(base)
+            for at in rng.choice(n, edits, replace=False):
+                changed[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(changed))
+    texts += [texts[0], "", " ", "a b", "A  b"]
+    sets = [grams(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for k in range(i):
+            if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]):
+                low, high = sorted((group[i], group[k]))
+                group = [low if g == high else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, df, str(tmp_path)).collect()) == sorted(set(group))
+    assert len(set(group)) < len(texts) - 30
+    parts = near_copies.keep_one(df, shard_rows=2)
+    assert sorted(r["doc_id"] for r in parts.collect()) == sorted(set(group))
