@@ -70,10 +70,10 @@ def novel_spans(raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int
         return []
     out, seen = [], set()
     for m in SENSITIVE.finditer(raw):
-        for c in STRING.finditer(raw, m.end(), m.end() + REACH + 4096):
+        end, last = m.end(), m.end() + REACH
+        while c := STRING.search(raw, end, last + 12):  # it starts at `last` at most; its end is sought without a bound
+            c = STRING.match(raw, c.start())
             start, end = c.span()
-            if start - m.end() > REACH:
-                break
             if start in seen or any(a < end and start < b for a, b, _ in taken):
                 continue
             seen.add(start)
