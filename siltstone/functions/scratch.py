@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,17 +12,31 @@ from siltstone.functions.shipping import ship
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """This application's folder in spark.checkpoint.dir. Only a local master, where all share one disk, may leave
+    that unset and gets a folder of its own; on a cluster that is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
         root = sc.getCheckpointDir()
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/siltstone-{sc.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever the case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +49,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def clean_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table; call it once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/siltstone")
+    """Delete this application's scratch tables; call it once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

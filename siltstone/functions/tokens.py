@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 
 @lru_cache(maxsize=4)
 def load(path: str):
-    """One tokenizer for each file and worker process; special strings in a text are ordinary text."""
+    """One tokenizer for each file and worker process; special strings in a text get their special ids."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    return model
+    return Tokenizer.from_file(path)
 
 
 def bpe_encode(c: Column, path: str, end_id: int = 0) -> Column:

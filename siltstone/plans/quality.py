@@ -211,7 +211,7 @@ def books(t):
 
 
 @query("p15_trim_boilerplate", f"""WITH b AS (SELECT doc_id, text, string_split_regex(text, '(?i)(?:^|\\n)\\*\\*\\* START OF (?:THE|THIS) PROJECT GUTENBERG EBOOK [^\\n]+\\*\\*\\*') AS s, string_split_regex(text, '(?i)\\n\\*\\*\\* END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK [^\\n]+\\*\\*\\*') AS e FROM {BOOK_SQL})
-SELECT doc_id, CASE WHEN len(e) > 2 THEN 'ambiguous_markers' END AS reason, CASE WHEN len(e) <= 2 THEN sha256(regexp_replace(string_split_regex(s[len(s)], '(?i)\\n\\*\\*\\* END OF')[1], '^\\s+|\\s+$', '', 'g')) END AS text_sha256 FROM b""")
+SELECT doc_id, CASE WHEN len(e) > 2 THEN 'ambiguous_gutenberg_markers' END AS reason, CASE WHEN len(e) <= 2 THEN sha256(regexp_replace(string_split_regex(s[len(s)], '(?i)\\n\\*\\*\\* END OF')[1], '^\\s+|\\s+$', '', 'g')) END AS text_sha256 FROM b""")
 def p15(t, spark):
     got = books(t).select("doc_id", tx.trim_boilerplate(C("text")).alias("x"))
     return got.select("doc_id", C("x.reason").alias("reason"), F.sha2(C("x.text"), 256).alias("text_sha256"))
