@@ -6,8 +6,8 @@ a document's global start and length decide which fixed windows it crosses; each
 boundary record (sequence, offset, length). Only the last sequence is not full.
 
 Edge cases: null or empty text is a document of the end id alone; null or repeated ids stay separate documents;
-very long texts become many pieces; an empty table gives an empty result; only the columns named are read, so
-extra columns cannot clash.
+a special string of the tokenizer inside a text gets its special id; very long texts become many pieces; an empty
+table gives an empty result; only the columns named are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ class WordTokenizer:
     words in turn. Words are looked up in a cache of two generations: when the younger is full it becomes the
     elder, so frequent words stay. Words of Latin-1 letters, digits and ASCII punctuation (no apostrophe) are cut
     into the pre-tokenizer's pieces here and go to the BPE model directly; all others go through the whole tokenizer.
+    The tokenizer's special strings are cut out of the raw text first, since it finds them before it normalises; a
+    word that only looks like one in lower case is ordinary text.
     """
 
     PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[0-9]|[!-&(-/:-@\[-`{-~])+")
@@ -67,7 +69,9 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = True  # of words; encode() has cut the special strings out
+        self.special = {t.content.encode(): struct.pack("<H", i) for i, t in self.model.get_added_tokens_decoder().items()}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.bpe = self.model.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(0xC0, 0x100)]
@@ -98,8 +102,14 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache = WordCache(self.word, self.cache)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, t.lower().split())) for t in texts]
+        get, special = self.cache.__getitem__, self.special
+        out = []
+        for t in texts:
+            if any(x in t for x in special):
+                out.append(b"".join([special[x] if x in special else b"".join(map(get, x.lower().split())) for x in self.cut.split(t)]))
+            else:
+                out.append(b"".join(map(get, t.lower().split())))
+        return out
 
 
 def tokenizer(path: str) -> WordTokenizer:
