@@ -2,9 +2,10 @@
 
 A block is a paragraph: the text between blank lines. A template is the set of words of one licence notice.
 A block matches when it holds at least `threshold` of a template's distinct words. Template words are ordered
-by how many documents of the whole corpus hold them, rarest first; a block that meets the threshold must
-share a word with the first `len - need + 1` of them (prefix), have `need` distinct words (length), and still
-be able to reach `need` from the position of the first shared word (positional).
+by how many documents of the whole corpus hold them, rarest first, and so are the block's. A block that meets the
+threshold must share a word with the first `len - need + 1` of the template's (prefix), have `need` template words
+itself (length), and have `need` words left, on both sides, from the first shared word on (positional): what
+stands before it in the block's order is lost to the template.
 
 Edge cases: null text counts as empty; empty text has no words, no labels and score 0; repeated rows each get
 their own row; an empty table gives an empty result; only the columns named are read, so extra columns cannot
@@ -66,30 +67,45 @@ def document_frequencies(df: DataFrame, vocabulary: frozenset[bytes], text: str
 
 
 class ContainmentIndex:
-    """Prefix index over the templates, in the corpus's frequency order."""
+    """Templates and blocks as words in the corpus's order, rarest first, with an index over the templates' prefixes."""
 
     def __init__(self, templates: list[tuple[str, frozenset[bytes]]], freq: dict[bytes, int], threshold: float):
-        self.items, self.prefix = [], {}
+        vocabulary = frozenset().union(*(words for _, words in templates))
+        self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (freq.get(w, 0), w)))}
+        self.items: list[tuple[str, list[int], int]] = []
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (label, words) in enumerate(templates):
-            order = sorted(words, key=lambda w: (freq.get(w, 0), w))
+            order = sorted(self.rank[w] for w in words)
             need = max(1, math.ceil(threshold * len(order) - 1e-9))
             self.items.append((label, order, need))
-            for position, w in enumerate(order[: len(order) - need + 1]):
-                self.prefix.setdefault(w, []).append((k, position))
-        self.keys = frozenset(self.prefix)
+            for position, r in enumerate(order[: len(order) - need + 1]):
+                self.prefix.setdefault(r, []).append((k, position))
+        self.keys = frozenset(w for w, r in self.rank.items() if r in self.prefix)
+        self.least = min((need for _, _, need in self.items), default=0)
+
+    def ordered(self, block: frozenset[bytes] | set[bytes]) -> list[int]:
+        """The block's template words by their ranks, ascending; no other word can be shared."""
+        return sorted(self.rank[w] for w in self.rank.keys() & block)
+
+    def candidates(self, mine: list[int]) -> dict[int, tuple[int, int]]:
+        """Template -> positions (in the template, in the block) of the first word that both share, for every template
+        that passes the filters: prefix (that word is in the template's prefix), length (the block has `need` words)
+        and positional (`need` words are left from it on, in the block as in the template)."""
+        first: dict[int, tuple[int, int]] = {}
+        size = len(mine)
+        for at, r in enumerate(mine):
+            if size - at < self.least:  # no template can be reached from here: the block's own prefix ends
+                break
+            for k, position in self.prefix.get(r, ()):
+                first.setdefault(k, (position, at))
+        return {k: (i, at) for k, (i, at) in first.items() if self.items[k][2] <= min(size - at, len(self.items[k][1]) - i)}
 
     def matches(self, block: frozenset[bytes] | set[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every template that the block meets."""
-        first: dict[int, int] = {}
-        for w in self.keys.intersection(block):
-            for k, position in self.prefix[w]:
-                first[k] = min(first.get(k, position), position)
-        out = []
-        for k, position in first.items():
+        mine, out = self.ordered(block), []
+        for k, (i, at) in self.candidates(mine).items():
             label, order, need = self.items[k]
-            if len(block) < need or len(order) - position < need:
-                continue
-            got = sum(w in block for w in order)
+            got = len(set(order[i:]).intersection(mine[at:]))  # nothing is shared before the first shared word
             if got >= need:
                 out.append((label, got / len(order)))
         return out
