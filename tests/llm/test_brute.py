@@ -47,6 +47,25 @@ def test_license_filters_lose_nothing():
         assert sorted(index.matches(block)) == want
 
 
+def test_license_filters_prune():
+    """Each filter takes templates away that the ones before leave, and never one that is met."""
+    sets = license_scan.template_sets()
+    words = sorted(set().union(*(w for _, w in sets)))
+    rng = np.random.default_rng(2)
+    index = license_scan.ContainmentIndex(sets, {w: int(rng.integers(0, 50)) for w in words}, 0.8)
+    left = np.zeros(4, dtype=int)
+    for _ in range(500):
+        block = {words[k] for k in rng.integers(0, len(words), rng.integers(1, 40))} | set(sets[rng.integers(len(sets))][1])
+        mine = index.ordered(block)
+        prefix = {k for r in mine for k, _ in index.prefix.get(r, ())}
+        length = {k for k in prefix if len(mine) >= index.items[k][2]}
+        positional = set(index.candidates(mine))
+        met = {k for k, (_, order, need) in enumerate(index.items) if len(set(order) & set(mine)) >= need}
+        assert met <= positional <= length <= prefix
+        left += [len(prefix), len(length), len(positional), len(met)]
+    assert left[0] > left[1] > left[2] > left[3] > 0
+
+
 def test_secret_base_spans(spark, texts):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for r in run(spark, "op3_secret_scan"):
@@ -149,8 +168,22 @@ def test_packing_round_trip(spark, texts):
 
 @pytest.mark.parametrize("text", ["It's don't CAN'T", "naïve ÉCOLE—x ½ ١٢ 中文 тест ΑΣ ﬁ", "a\x00b c \x00", "foo_bar 12,345 '' !!..", "İ µ ÿ", "a\xa0b\x85c\x1cd", ""])
 def test_word_tokenizer(text):
-    tok = packing.WordTokenizer(packing.default_tokenizer())
-    assert np.frombuffer(tok.encode([text.encode()])[0], "<u2").tolist() == tok.model.encode(text, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    tok, plain = packing.WordTokenizer(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for t in (text, f"{text}<|endoftext|>{text} <|startoftext|>", f"<|ENDOFTEXT|> {text}<|endoftext|", f"a<|endoftext|><|endoftext|>é{text}"):
+        assert np.frombuffer(tok.encode([t.encode()])[0], "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_word_tokenizer_on_random_texts():
+    from tokenizers import Tokenizer
+
+    tok, plain = packing.WordTokenizer(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    rng = np.random.default_rng(13)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", "É", " ", "\n", "hello", "e\u0301", "'s", "x<|endoftext|>y", "12", "中"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert np.frombuffer(tok.encode([t.encode()])[0], "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_chain_accuracy(spark):
@@ -345,6 +378,26 @@ def test_cascade_order_changes_nothing(spark):
     assert {x[0] for x in quality_rules.measure(docs)} == set(names)
 
 
+def similar_survivors(texts):
+    """The smallest id of each component of texts with a Jaccard similarity of 0.8 or more over 5-word shingles, pair by pair."""
+    sets, group = {}, {d: d for d in texts}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def root(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {root(d) for d in group}
+
+
 def test_pipeline(spark, texts, duck):
     import corpus_pipeline
 
@@ -353,7 +406,7 @@ def test_pipeline(spark, texts, duck):
     a = stages["quality_rules"](spark, docs, DATA)
     assert a.columns == docs.columns
     b = stages["simhash_near_dedup"](spark, a, DATA)
-    groups = {r["component_id"] for r in simhash.simhash_components(a).collect()}
+    groups = similar_survivors({r["doc_id"]: texts[r["doc_id"]] for r in a.collect()})
     assert b.columns == docs.columns and {r["doc_id"] for r in b.collect()} == groups
     c = stages["benchmark_decontamination"](spark, b, DATA)
     hit = {r["doc_id"] for r in decontaminate.contaminated(b, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
