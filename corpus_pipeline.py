@@ -7,25 +7,21 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, near_copies, packing, quality_rules, secret_scan
+from siltstone.functions.scratch import fresh
+from siltstone.llm import decontaminate, packing, quality_rules, secret_scan, simhash
 from siltstone.llm.common import stored
 
 
-#: Rows in an Arrow batch. Whole texts pass through Python in every stage, in the JVM's and the worker's memory at once.
-BATCH_ROWS = 1000
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects. As the first stage it also sets the session's batch size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return quality_rules.quality_cascade(docs, name="__kept").where("__kept").drop("__kept")
+    """Documents that no rule of the cascade rejects; a null text has no words and is rejected."""
+    (kept,) = fresh(docs.columns, "kept")
+    return quality_rules.quality_cascade(docs, name=kept).where(kept).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts with a Jaccard similarity of 0.8 or more over 5-word shingles, that of the smallest doc_id."""
-    return near_copies.keep_one(docs)
+    return simhash.keep_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark, n_chars brought up to date where there is such a column."""
-    keep = [c for c in docs.columns if c != "text"]
-    out = secret_scan.redact_secrets(docs, keep).withColumn("text", F.col("text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return secret_scan.redact_secrets(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
