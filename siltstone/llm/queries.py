@@ -14,7 +14,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_report(documents(spark, sf_dir), ["doc_id"])
+    return quality_rules.quality_report(documents(spark, sf_dir), ["doc_id"]).drop("rejected_by")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
