@@ -49,11 +49,12 @@ WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '
     UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized AS (SELECT *, greatest(ceil(length(text) / 4), 1)::BIGINT AS n, 10 + length({_escaped("role")}) + length({_escaped("text")}) AS chars FROM rows),
 placed AS (SELECT *, row_number() OVER o AS r, sum(n) OVER o AS upto FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
-turns AS (SELECT *, upto - n AS before, (upto - 1) // 1024 AS span FROM placed),
-later AS (SELECT conv_id, span, min(r) AS first, min(before) AS begins FROM turns GROUP BY ALL HAVING min(r) > 1),
-system AS (SELECT conv_id, min(r) AS r, arg_min(chars, r) AS chars FROM turns WHERE role = 'system' GROUP BY conv_id),
+system AS (SELECT conv_id, min(r) AS r, arg_min(chars, r) AS chars, arg_min(n, r) AS tokens FROM placed WHERE role = 'system' GROUP BY conv_id),
+cells AS (SELECT placed.*, upto - n AS before, coalesce(tokens, 0) AS sys, greatest(2048 - 512 - coalesce(tokens, 0), 512) AS room, (upto - 1) // greatest(2048 - 512 - coalesce(tokens, 0), 512) AS cell FROM placed LEFT JOIN system USING (conv_id)),
+turns AS (SELECT *, 2 * cell + CASE WHEN before >= cell * room AND max(upto) OVER c - min(before) OVER c > room THEN 1 ELSE 0 END AS span FROM cells WINDOW c AS (PARTITION BY conv_id, cell)),
+later AS (SELECT conv_id, span, min(r) AS first, min(before) AS begins, least(512, 2048 - min(sys) - (max(upto) - min(before))) AS room FROM turns GROUP BY ALL HAVING min(r) > 1),
 extra AS (SELECT later.conv_id, system.chars FROM later JOIN system USING (conv_id) WHERE system.r < first
-    UNION ALL SELECT later.conv_id, turns.chars FROM later JOIN turns ON later.conv_id = turns.conv_id AND turns.r BETWEEN first - 2 AND first - 1 AND role <> 'system' AND begins - before <= 512),
+    UNION ALL SELECT later.conv_id, turns.chars FROM later JOIN turns ON later.conv_id = turns.conv_id AND turns.r BETWEEN first - 2 AND first - 1 AND role <> 'system' AND begins - before <= later.room),
 more AS (SELECT conv_id, sum(chars) AS chars FROM extra GROUP BY conv_id),
 one AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY r) FILTER (role = 'assistant'), '') AS target, sum(chars) AS chars FROM turns GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256, (one.chars + coalesce(more.chars, 0))::BIGINT AS formatted_chars FROM one LEFT JOIN more USING (conv_id)

@@ -226,12 +226,42 @@ def test_chat_budget_and_round_trip(spark):
             new = s["formatted"][s["new_from"] :].split("</s>")[:-1]
             turns += [tuple(map(undo, x[4:].split("]\n", 1))) for x in new]
             targets += [undo(s["formatted"][m["start"] : m["end"]]) for m in s["loss"]]
-            assert sum(max(1, -(-len(undo(x[4:].split("]\n", 1)[1])) // 4)) for x in new) <= 2 * chat_format.STRIDE
+            sizes = [max(1, -(-len(undo(x[4:].split("]\n", 1)[1])) // 4)) for x in s["formatted"].split("</s>")[:-1]]
+            assert s["tokens"] == sum(sizes) <= chat_format.BUDGET  # no turn of this test is longer
         want = [(r, t) for i, _, r, t in rows if i == c]
         assert turns == want and targets == [t for r, t in want if r == "assistant"]
     assert len(by[0]) > 3
 
 
+@pytest.mark.parametrize("budget, history_tokens, system", [(2048, 512, 0), (2048, 512, 300), (400, 100, 50), (400, 100, 390), (64, 0, 0), (1024, 256, 3000)])
+def test_chat_spans_keep_the_budget(spark, budget, history_tokens, system):
+    """With the system turn and the history, unless a single turn, or a long system turn, exceeds it; cut turn by turn in the test."""
+    rng = np.random.default_rng(system + budget)
+    rows, sizes = [], {}
+    for c in range(4):
+        if system:
+            rows.append((c, 0, "system", "s" * (4 * system)))
+        own = [750] * 6 if c == 0 else [int(x) for x in rng.integers(1, [2 * budget, budget // 2, 30][c - 1], 60)]
+        sizes[c] = own
+        rows += [(c, k + 1, "user" if k % 2 else "assistant", "x" * (4 * n)) for k, n in enumerate(own)]
+    spans = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=budget, history_tokens=history_tokens).collect()
+    room = max(budget - history_tokens - system, budget // 4)
+    for c, own in sizes.items():
+        mine = sorted((s for s in spans if s["conv"] == c), key=lambda s: s["span"])
+        tokens = ([system] if system else []) + own
+        ends = np.cumsum(tokens)
+        cells = collections.defaultdict(list)
+        for n, end in zip(tokens, ends.tolist(), strict=True):
+            cells[(end - 1) // room].append((end - n, n))
+        want = []
+        for cell, held in sorted(cells.items()):
+            cut = len(held) > 1 and held[0][0] < cell * room and sum(n for _, n in held) > room
+            want += [[held[0][1]], [n for _, n in held[1:]]] if cut else [[n for _, n in held]]
+        assert [s["n_new"] for s in mine] == [len(x) for x in want]
+        for s, turns in zip(mine, want, strict=True):
+            assert s["tokens"] <= max(budget, sum(turns) + system) if len(turns) == 1 or system > budget - history_tokens - budget // 4 else s["tokens"] <= budget
+
+
 def slow_phrases(sample: bytes, text: bytes) -> int:
     n = 0
     for a in range(0, len(text), language_id.BLOCK_BYTES):
