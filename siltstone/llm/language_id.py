@@ -1,10 +1,14 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds a bounded sample of labelled text (`DOCS` texts and `SAMPLE_BYTES`
-bytes, lowest hash of the id first). A text is parsed against each automaton into longest matches; the language
-with the fewest phrases wins, normalised as phrases * log2(sample length) / text length. Texts are lower-cased
-letters, words parted by one space. Parsing starts afresh every `BLOCK_BYTES` bytes, so that a text of any length
-is cut into blocks that a batch parses side by side.
+For each language a suffix automaton holds a bounded sample of labelled text (`DOCS` distinct texts and `SAMPLE_BYTES`
+bytes, lowest hash of the id first; fewer bytes where the automata of all languages would exceed `TABLE_BYTES`). A text
+is parsed against each automaton into longest matches, from its first byte to its last; the language with the fewest
+phrases wins, normalised as phrases * log2(sample length) / text length. Texts are lower-cased letters, words parted by
+one space.
+
+Blocks of `BLOCK_BYTES` are parsed side by side, each as if a phrase began with it. Where one does not, the block is
+parsed again from the state that its forerunner ends in, until both parses are in one state (from there on they agree);
+if they never are, the next block is corrected in turn. The phrases are those of a parse of the whole text.
 
 The automaton is a dense table over the byte classes of the samples. A missing transition falls back to the root
 and carries the number of phrases that end there: the one under way, and a byte that the sample lacks altogether.
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DOCS, SAMPLE_BYTES, TOTAL_BYTES, BLOCK_BYTES, BATCH_BYTES = 64, 40_000, 400_000, 1024, 1 << 20
+DOCS, SAMPLE_BYTES, TABLE_BYTES, BLOCK_BYTES, BATCH_BYTES = 64, 40_000, 1 << 27, 1024, 1 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -117,10 +121,47 @@ class Parsers:
             got = self.table.take(state[:, :n] + codes[t, :n])
             count[:, :n] += got & 3
             state[:, :n] = got >> 2
-        count += state != roots  # the phrase that the block's end cuts
+        place = np.empty(len(blocks), dtype=np.int64)  # column of each block
+        place[order] = np.arange(len(blocks))
+        goes_on = [k for k in range(len(blocks) - 1) if blocks[k + 1][0] == blocks[k][0]]
+        later = np.full(len(blocks), -1, dtype=np.int64)  # column of the block that follows in the text
+        later[place[goes_on]] = place[[k + 1 for k in goes_on]]
+        self._correct(codes, sizes, state, count, later)
+        last = later < 0
+        count[:, last] += state[:, last] != roots  # the phrase that the text's end cuts
         np.add.at(out, np.array([blocks[k][0] for k in order]), count.T)
         return out
 
+    def _correct(self, codes: np.ndarray, sizes: np.ndarray, state: np.ndarray, count: np.ndarray, later: np.ndarray) -> None:
+        """Counts and end states of blocks that were parsed from the root, as they are from their forerunner's end state."""
+        roots = np.array(self.roots, dtype=np.int32)
+        added, first_end = np.zeros_like(count), state.copy()
+        lang, block = np.nonzero((state != roots[:, None]) & (later >= 0)[None, :])
+        start, block = state[lang, block], later[block]
+        while len(lang):
+            true, guess = start.copy(), roots[lang].copy()
+            extra, t = np.zeros(len(lang), dtype=np.int32), 0
+            todo = np.arange(len(lang))
+            open_end = np.zeros(len(lang), dtype=bool)  # never in one state
+            while len(todo):
+                over = sizes[block[todo]] <= t
+                open_end[todo[over]] = True
+                todo = todo[~over]
+                code = codes[t, block[todo]] if len(todo) else codes[0, :0]
+                a, b = self.table.take(true[todo] + code), self.table.take(guess[todo] + code)
+                extra[todo] += (a & 3) - (b & 3)
+                true[todo], guess[todo] = a >> 2, b >> 2
+                todo = todo[a >> 2 != b >> 2]
+                t += 1
+            count[lang, block] += extra - added[lang, block]
+            added[lang, block] = extra
+            end = np.where(open_end, true, first_end[lang, block])
+            again = state[lang, block] != end
+            state[lang, block] = end
+            again &= later[block] >= 0
+            lang, block = lang[again], block[again]
+            start, block = state[lang, block], later[block]
+
     def best(self, texts: list[bytes]) -> list[tuple[str, float]]:
         """(language, score) of each text; score is the runner-up's share of the two entropies."""
         rates = self.phrases(texts) * self.cost
@@ -142,15 +183,19 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    budget, top = min(SAMPLE_BYTES, TOTAL_BYTES // len(counts)), 2.0**63
+    top = 2.0**63
     limits = df.sparkSession.createDataFrame([(k, float(min(1.0, 4.0 * DOCS / n) * 2 * top - top)) for k, n in counts.items()], "l string, most double")
-    few = rows.join(F.broadcast(limits), "l").where(F.col("h") <= F.col("most")).select("l", "h", "i", F.substring("t", 1, budget).alias("t")).dropDuplicates(["l", "t"])
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).where(F.col("r") <= DOCS)
+    few = rows.join(F.broadcast(limits), "l").where(F.col("h") <= F.col("most")).select("l", "h", "i", F.substring("t", 1, SAMPLE_BYTES).alias("t"))
+    once = few.groupBy("l", "t").agg(F.min(F.struct("h", "i")).alias("first")).select("l", "t", "first.*")
+    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).where(F.col("r") <= DOCS)
     samples: dict[str, bytes] = {}
     for r in sorted(ranked.select("l", "r", "t").collect(), key=lambda r: (r["l"], r["r"])):
         have = samples.get(r["l"], b"")
-        if len(have) < budget:
-            samples[r["l"]] = (have + letters(r["t"]) + b"\n")[:budget]
+        if len(have) < SAMPLE_BYTES:
+            samples[r["l"]] = (have + letters(r["t"]) + b"\n")[:SAMPLE_BYTES]
+    # An automaton has at most two states a byte, each with four bytes for every class of bytes.
+    most = TABLE_BYTES // (8 * (1 + len(set().union(*samples.values()))) * max(1, len(samples)))
+    samples = {k: v[: max(1, most)] for k, v in samples.items()}
     samples = {k: v for k, v in samples.items() if v.strip()}
     return Parsers(samples) if samples else None
 

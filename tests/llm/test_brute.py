@@ -263,22 +263,24 @@ def test_chat_spans_keep_the_budget(spark, budget, history_tokens, system):
 
 
 def slow_phrases(sample: bytes, text: bytes) -> int:
-    n = 0
-    for a in range(0, len(text), language_id.BLOCK_BYTES):
-        block, i = text[a : a + language_id.BLOCK_BYTES], 0
-        while i < len(block):
-            k = 1
-            while i + k <= len(block) and block[i : i + k] in sample:
-                k += 1
-            i += max(1, k - 1)
-            n += 1
+    """Longest matches of the whole text, one after the other."""
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k <= len(text) and text[i : i + k] in sample:
+            k += 1
+        i += max(1, k - 1)
+        n += 1
     return n
 
 
-def test_cross_parsing(texts):
-    samples = {"a": language_id.letters(texts[0])[:3000], "b": language_id.letters(texts[1])[:3000], "c": b"zzz yyy"}
+@pytest.mark.parametrize("block", [1, 7, 64, 1024])
+def test_cross_parsing(texts, block, monkeypatch):
+    """Texts in blocks of any size have the phrases of whole texts, those that never fall into step included."""
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", block)
+    samples = {"a": language_id.letters(texts[0])[:3000], "b": language_id.letters(texts[1])[:3000], "c": b"zzz yyy", "d": b"a" * 13 + b"b" + b"ab" * 9}
     parsers = language_id.Parsers(samples)
-    some = [language_id.letters(t) for t in list(texts.values())[:25]] + [b"", b"q", "ñandú ☃".encode()]
+    some = [language_id.letters(t) for t in list(texts.values())[:25]] + [b"", b"q", "ñandú ☃".encode(), b"a" * 4000, b"ab" * 900 + b"a" * 700, b"z" * 2500]
     got = parsers.phrases(some)
     for k, name in enumerate(parsers.names):
         assert got[:, k].tolist() == [slow_phrases(samples[name], x) for x in some]
