@@ -3,7 +3,8 @@
 Categories are predicted in order; the model of each category sees the word features and the probabilities of the
 earlier categories. In training those probabilities are out-of-fold (`FOLDS` folds by text); in prediction they
 come from the models fitted on all training rows. Training takes a bounded sample of labelled rows
-(`TRAIN_ROWS`, lowest hash of the id first, one row for each text). Features are the presence of the words and word
+(`TRAIN_ROWS` ids, lowest hash first; one row for each text, told apart by sha256; where rows of one id or of one text
+disagree, the label is true if any says so). Features are the presence of the words and word
 beginnings (`PREFIX_BYTES` long) most associated with any category (`MAX_WORDS` at most, chi-square of at least
 `MIN_CHI2` in `MIN_DOCS` texts), and four shape features. Prediction covers all rows and whole texts.
 
@@ -14,7 +15,7 @@ alike; an empty table gives an empty result; only the columns named are read, so
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,10 @@ def shape_features(raw: bytes, n_words: int) -> list[float]:
     return [1.0, min(1.0, 10 * symbols / size), upper / size, float(n_words < 50)]
 
 
+def fold(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big") % FOLDS
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -107,7 +112,8 @@ class Chain:
 def train(df: DataFrame, labels: DataFrame, chain: dict[str, Column], doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Chain:
     """labels: doc_id and the columns that the chain's boolean expressions use."""
     names = list(chain)
-    wanted = labels.select(F.col(doc_id).alias("i"), *(chain[n].cast("int").alias(f"y{j}") for j, n in enumerate(names))).dropna().dropDuplicates(["i"])
+    wanted = labels.select(F.col(doc_id).alias("i"), *(chain[n].cast("int").alias(f"y{j}") for j, n in enumerate(names))).dropna()
+    wanted = wanted.groupBy("i").agg(*(F.max(f"y{j}").alias(f"y{j}") for j in range(len(names))))
     share = min(1.0, 1.2 * rows / max(1, wanted.count()))  # of the hash range: the sort sees few rows more than it keeps
     most = min(int(share * 2**64) - 2**63, 2**63 - 1)
     chosen = wanted.where(F.xxhash64("i") <= most).orderBy(F.xxhash64("i"), "i").limit(rows)
@@ -119,7 +125,7 @@ def train(df: DataFrame, labels: DataFrame, chain: dict[str, Column], doc_id: st
             split = [alnum_words(x) for x in raws]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([zlib.crc32(x) for x in raws], pa.int64()),
+                    pa.array([hashlib.sha256(x).digest() for x in raws], pa.binary()),
                     pa.array([shape_features(x, len(w)) for x, w in zip(raws, split, strict=True)], pa.list_(pa.float64())),
                     pa.array([sorted(terms(w)) for w in split], pa.list_(pa.binary())),
                     *(batch.column(f"y{j}") for j in range(len(names))),
@@ -128,9 +134,10 @@ def train(df: DataFrame, labels: DataFrame, chain: dict[str, Column], doc_id: st
             )
 
     ys = [f"y{j}" for j in range(len(names))]
-    schema = "h long, shape array<double>, words array<binary>, " + ", ".join(f"{y} int" for y in ys)
+    schema = "h binary, shape array<double>, words array<binary>, " + ", ".join(f"{y} int" for y in ys)
     joined = texts.join(F.broadcast(chosen), "i").select("t", *ys)
-    sample = stored(joined.mapInArrow(features, schema).dropDuplicates(["h"]), "labelled")
+    once = joined.mapInArrow(features, schema).groupBy("h").agg(F.first("shape").alias("shape"), F.first("words").alias("words"), *(F.max(y).alias(y) for y in ys))
+    sample = stored(once, "labelled")
     total = sample.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     by_word = sample.select(F.explode("words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).where(F.col("n") >= MIN_DOCS)
     n, score = F.lit(float(total["n"] or 1)), F.lit(0.0)
@@ -141,12 +148,12 @@ def train(df: DataFrame, labels: DataFrame, chain: dict[str, Column], doc_id: st
     words = [bytes(r["w"]) for r in by_word.select("w", score.alias("x")).where(F.col("x") >= MIN_CHI2).orderBy(F.desc("x"), "w").limit(MAX_WORDS).collect()]
     model = Chain(names, sorted(words))
     keys = F.array(*(F.lit(bytearray(w)) for w in words)) if words else F.array().cast("array<binary>")
-    got = sorted(sample.select("h", "shape", F.array_intersect("words", keys).alias("words"), *ys).collect(), key=lambda r: r["h"])
+    got = sorted(sample.select("h", "shape", F.array_intersect("words", keys).alias("words"), *ys).collect(), key=lambda r: bytes(r["h"]))
     return model.fit(
         np.array([r["shape"] for r in got]).reshape(len(got), 4),
         [[model.ids[bytes(w)] for w in r["words"]] for r in got],
         np.array([[r[y] for y in ys] for r in got], dtype=float).reshape(len(got), len(ys)),
-        np.array([r["h"] % FOLDS for r in got]),
+        np.array([fold(bytes(r["h"])) for r in got]),
     )
 
 
