@@ -312,36 +312,6 @@ def test_lm_base_and_total(spark, texts):
     assert 1.0 < bits / chars < 4.0
 
 
-def test_lm_mixing_bit_by_bit():
-    """The batched mixer against one loop over bits; and next-symbol probabilities sum to one."""
-    words = [b"the", b"there", b"thin", b"a", b"xyz"]
-    units = lm_score.unit_bytes([b"", *words])
-    code = lm_score.Code(np.bincount(np.frombuffer(b"".join(units * 3), np.uint8), minlength=256))
-    slots, bits, _, sizes = lm_score.unit_bits(units, code)
-    counts = np.zeros((lm_score.SLOTS, 2))
-    for row in slots:
-        np.add.at(counts, (row, bits), 3)
-    mixer = lm_score.Mixer(code, lm_score.logits(counts))
-    mixer.fit(units, np.ones(len(units)))
-    docs = [np.array([1, 2, 4, 5, 0] * 40 + [0]), np.array([0]), np.array([3, 0])]
-    x, gates, sizes = mixer.inputs(units)
-    first = np.cumsum(sizes) - sizes
-    for doc, got in zip(docs, mixer.score(units, docs), strict=True):
-        stream = [b for u in doc for b in range(first[u], first[u] + sizes[u])]
-        total, w = 0.0, np.zeros(lm_score.ORDERS)
-        for k, b in enumerate(stream):
-            if k % lm_score.BLOCK_BITS == 0:
-                w[:] = 0
-            z = x[:, b] @ (mixer.weights[gates[b]] + w)
-            total -= math.log10(1 + math.exp(z))
-            w -= lm_score.RATE * x[:, b] * (math.exp(z) / (1 + math.exp(z)))
-        assert got == pytest.approx(total, rel=1e-3)
-    every = lm_score.Mixer(code, mixer.stretch)
-    one = [bytes([b]) for b in range(256)]
-    scores = every.score(one, [np.array([k]) for k in range(256)])
-    assert sum(10**s for s in scores) == pytest.approx(1, rel=1e-4)
-
-
 def test_bk_tree_and_shards(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
