@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing as hs
 from siltstone.functions import text as tx
-from siltstone.functions.scratch import stored
+from siltstone.functions.scratch import fresh, stored
 
 NGRAM = 13
 #: A side is broadcast only below this many rows; beyond it the join shuffles both sides.
@@ -25,10 +27,15 @@ def distinct_ngrams(benchmark: DataFrame, text: str = "text", n: int = NGRAM) ->
 
 
 def contaminated_ids(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM) -> DataFrame:
-    """Ids of documents that share a word n-gram with the benchmark. Grams meet by hash, then by text."""
-    grams = docs.select(doc_id, F.explode(tx.shingles(tx.word_tokens(F.col(text)), n)).alias("gram")).withColumn("h", F.xxhash64("gram"))
-    wanted = distinct_ngrams(benchmark, text, n).withColumn("h", F.xxhash64("gram"))
-    return grams.join(small(wanted), ["h", "gram"], "left_semi").select(doc_id).distinct()
+    """Ids of documents that share a word n-gram with the benchmark.
+
+    Hashes alone meet first, so that no window's text is dealt; the windows of documents with a hit then meet as text."""
+    wanted = stored(distinct_ngrams(benchmark, text, n).withColumn("h", F.xxhash64("gram")), "grams")
+    grams = tx.shingles(tx.word_tokens(F.col(text)), n)
+    hashes = docs.select(doc_id, F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("h"))
+    maybe = hashes.join(small(wanted.select("h").distinct()), "h", "left_semi").select(doc_id).distinct()
+    found = docs.join(small(maybe), doc_id, "left_semi").select(doc_id, F.explode(grams).alias("gram"))
+    return found.join(small(wanted.select("gram")), "gram", "left_semi").select(doc_id).distinct()
 
 
 def phrase_ids(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 5, most: int = 12) -> DataFrame:
@@ -55,7 +62,7 @@ def funnel_status(docs: DataFrame, benchmark: DataFrame, minimum: int = 200, max
     clean = tx.stripped_text(F.col("text"))
     bad = contaminated_ids(docs.select("doc_id", clean.alias("text")), benchmark).withColumn("hit", F.lit(True))
     cleaned = docs.select("doc_id", "text", clean.alias("clean"))
-    facts = cleaned.select("doc_id", tx.clean_reason(F.col("text"), minimum).alias("why"), hs.text_digest(tx.collapse(F.lower("clean"))).alias("digest"), (F.size(tx.word_tokens(F.col("clean"))) > max_tokens).alias("long"))
+    facts = cleaned.select("doc_id", tx.clean_reason(F.col("text"), minimum).alias("why"), hs.text_digest(tx.normalized(F.col("clean"))).alias("digest"), (F.size(tx.word_tokens(F.col("clean"))) > max_tokens).alias("long"))
     facts = stored(facts.join(bad, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "facts")
     firsts = facts.where("why IS NULL AND NOT hit AND NOT long").groupBy("digest").agg(F.min("doc_id").alias("first"))
     return facts.join(firsts, "digest", "left").select(
@@ -70,26 +77,34 @@ def funnel_status(docs: DataFrame, benchmark: DataFrame, minimum: int = 200, max
     )
 
 
-def prefix_sums(df: DataFrame, order: str, value: Column, name: str, block: int = 4096) -> DataFrame:
-    """Sum of value over all rows before each, by a whole-number order column: within blocks of the order, then over
-    the block totals. No task holds more than a block's rows or the totals."""
-    rows = df.withColumns({"__v": value.cast("long"), "__b": F.floor(F.col(order) / block)})
-    inner = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("__b").agg(F.sum("__v").alias("__t"))
-    outer = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("__b", F.coalesce(F.sum("__t").over(outer), F.lit(0)).alias("__base"))
-    local = rows.withColumn("__l", F.coalesce(F.sum("__v").over(inner), F.lit(0)))
-    return local.join(base, "__b").withColumn(name, F.col("__base") + F.col("__l")).drop("__b", "__v", "__l", "__base")
+def prefix_sums(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """Sum of value over all rows before each, by the order column (equal ones by a hash of the row).
+
+    Rows are dealt by ranges of the order, whatever its values; sums run within a range, then over the ranges' totals, of
+    which there is one for each partition."""
+    b, v, tie, local, base = fresh([*df.columns, name], "range", "value", "tie", "local", "base")
+    ranged = stored(df.withColumns({v: value.cast("long"), tie: F.xxhash64(*df.columns)}).repartitionByRange(order, tie).withColumn(b, F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy(b).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    bases, at = [], 0
+    for r in ranged.groupBy(b).agg(F.sum(v).alias("t")).orderBy(b).collect():
+        bases.append((r[0], at))
+        at += r["t"] or 0
+    totals = F.broadcast(df.sparkSession.createDataFrame(bases, f"{b} int, {base} long"))
+    rows = ranged.withColumn(local, F.coalesce(F.sum(v).over(inner), F.lit(0)))
+    return rows.join(totals, b).withColumn(name, F.col(base) + F.col(local)).select(*df.columns, name)
 
 
 def pack_blocks(docs: DataFrame, order: str, tokens: Column, block: int = 2049) -> DataFrame:
-    """pos, block_no, slot, token of the concatenated stream (each document ends in an empty token); the tail that
-    does not fill a block is dropped."""
+    """ord, block_no, slot, tokens: the pieces of the concatenated stream (each document ends in an empty token), cut at
+    block bounds; slot is where a piece begins in its block. The tail that does not fill a block is dropped."""
     rows = docs.select(F.col(order).alias("ord"), F.concat(tokens, F.array(F.lit(""))).alias("tokens"))
-    placed = prefix_sums(rows, "ord", F.size("tokens"), "start")
-    kept = (rows.agg(F.sum(F.size("tokens"))).first()[0] or 0) // block * block
-    flat = placed.select("ord", "start", F.posexplode("tokens").alias("i", "token")).withColumn("pos", F.col("start") + F.col("i"))
-    return flat.where(F.col("pos") < kept).select("ord", "pos", F.floor(F.col("pos") / block).alias("block_no"), (F.col("pos") % block).alias("slot"), "token")
+    placed = stored(prefix_sums(rows, "ord", F.size("tokens"), "start"), "placed")
+    kept = (placed.agg(F.max(F.col("start") + F.size("tokens"))).first()[0] or 0) // block
+    stop = F.col("start") + F.size("tokens")
+    each = placed.select("ord", "start", stop.alias("stop"), "tokens", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((stop - 1) / block))).alias("block_no"))
+    low, high = F.greatest(F.col("start"), F.col("block_no") * block), F.least(F.col("stop"), (F.col("block_no") + 1) * block)
+    piece = F.slice("tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    return each.where(F.col("block_no") < kept).select("ord", "block_no", (low % block).alias("slot"), piece.alias("tokens"))
 
 
 def block_ranges(docs: DataFrame, order: str, n_tokens: Column, block: int = 2049, shard_blocks: int = 8) -> DataFrame:
@@ -110,20 +125,72 @@ def near_copies(docs: DataFrame, old: DataFrame, ids: str, doc_id: str = "doc_id
     return got.withColumn("near_copy", (F.col("found") >= least) & (2 * F.col("found") >= F.col("sampled")))
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, radius: int, bands: int) -> DataFrame:
-    """Pairs a < b whose 64-bit values differ in at most radius bits; bands > radius, so a pair shares a band.
+def near_values(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """u, w, d: distinct 64-bit values u of left.v and w of right.v that differ in d <= radius bits.
 
-    Equal values meet once as values, not as rows, before pairs of rows are made."""
-    assert bands > radius
-    edges = [64 * k // bands for k in range(bands + 1)]
-    mask = lambda a, b: ((1 << b) - 1) ^ ((1 << a) - 1)
+    The 64 bits are cut into radius // 3 + 1 blocks, so a pair agrees in some block but for two bits at most: left values
+    ask for every neighbour of that kind of each of their blocks, right values stand under their blocks."""
+    blocks = radius // 3 + 1
+    reach = radius // blocks
+    edges = [64 * k // blocks for k in range(blocks + 1)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    values = df.select(F.col(bits).alias("v")).distinct()
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.col("v").bitwiseAND(F.lit(signed(mask(a, b)))).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-    banded = values.select("v", F.explode(keys).alias("k")).select("v", "k.band", "k.part")
-    near = banded.alias("x").join(banded.alias("y"), ["band", "part"]).where("x.v <= y.v").select(F.col("x.v").alias("u"), F.col("y.v").alias("w")).distinct()
-    near = near.withColumn("d", F.bit_count(F.col("u").bitwiseXOR(F.col("w")))).where(F.col("d") <= radius)
-    both = near.union(near.where("u <> w").select(F.col("w"), F.col("u"), "d"))
+    masks = [signed(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+    part = lambda m: F.col("v").bitwiseAND(F.lit(m))
+    neighbour = lambda i, own: lambda x: F.struct(i.alias("block"), own.bitwiseXOR(x).alias("part"))
+    asked, stands = [], []
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        flips = [signed(sum(1 << x for x in some)) for n in range(reach + 1) for some in combinations(range(a, b), n)]
+        asked.append(F.transform(F.array(*map(F.lit, flips)).cast("array<long>"), neighbour(F.lit(i), part(masks[i]))))
+        stands.append(F.struct(F.lit(i).alias("block"), part(masks[i]).alias("part")))
+    ask = left.select("v").distinct().select(F.col("v").alias("u"), F.explode(F.concat(*asked)).alias("k")).select("u", "k.block", "k.part")
+    stand = right.select("v").distinct().select(F.col("v").alias("w"), F.explode(F.array(*stands)).alias("k")).select("w", "k.block", "k.part")
+    d = F.bit_count(F.col("u").bitwiseXOR(F.col("w"))).cast("long")
+    return ask.join(stand, ["block", "part"]).where(d <= radius).select("u", "w").distinct().withColumn("d", d)
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str, radius: int) -> DataFrame:
+    """Pairs a < b whose 64-bit values differ in at most radius bits. Equal values meet once as values, not as rows,
+    before pairs of rows are made; near_values alone is enough where pairs are only counted or asked for."""
+    values = df.select(F.col(bits).alias("v"))
     left = df.select(F.col(key).alias("a"), F.col(bits).alias("u"))
     right = df.select(F.col(key).alias("b"), F.col(bits).alias("w"))
-    return left.join(both, "u").join(right, "w").where("a < b").select("a", "b", F.col("d").cast("long").alias("d"))
+    return left.join(near_values(values, values, radius), "u").join(right, "w").where("a < b").select("a", "b", "d")
+
+
+def near_pair_counts(df: DataFrame, bits: str, radius: int) -> DataFrame:
+    """d, pairs: how many pairs of rows differ in d bits, 0 < d <= radius; by values and their multiplicities."""
+    n = df.groupBy(F.col(bits).alias("v")).agg(F.count("*").alias("n"))
+    near = near_values(n, n, radius).where("u < w")
+    both = near.join(n.select(F.col("v").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("v").alias("w"), F.col("n").alias("nw")), "w")
+    return both.groupBy("d").agg(F.sum(F.col("nu") * F.col("nw")).alias("pairs"))
+
+
+def far_rows(df: DataFrame, prior: DataFrame, bits: str, radius: int) -> DataFrame:
+    """Rows of df that differ in more than radius bits from every row of prior."""
+    near = near_values(df.select(F.col(bits).alias("v")), prior.select(F.col(bits).alias("v")), radius).select(F.col("u").alias(bits)).distinct()
+    return df.join(near, bits, "left_anti")
+
+
+def grant(df: DataFrame, order: str, tokens: str, cap: int) -> DataFrame:
+    """Adds granted: requests in order, each granted if it and all granted before fit the cap; a refused one adds nothing,
+    and a request without a positive amount is refused.
+
+    Each round grants by prefix sums up to the first request that does not fit, then goes on behind it with the requests
+    that fit what is left, until none does. `order` must tell all rows apart."""
+    rule, left, behind = F.lit(False), cap, None
+    while left > 0:
+        open_rows = df.select(F.col(order).alias("o"), F.col(tokens).cast("long").alias("n")).where(F.col("n").between(1, left))
+        if behind is not None:
+            open_rows = open_rows.where(F.col("o") > F.lit(behind))
+        sums = stored(prefix_sums(open_rows, "o", F.col("n"), "before"), "sums")
+        end = sums.where(F.col("before") + F.col("n") > left).agg(F.min("o")).first()[0]
+        taken = F.col(tokens).between(1, left)
+        if behind is not None:
+            taken = taken & (F.col(order) > F.lit(behind))
+        if end is None:
+            rule = rule | taken
+            break
+        rule = rule | (taken & (F.col(order) < F.lit(end)))
+        left -= sums.where(F.col("o") < F.lit(end)).agg(F.sum("n")).first()[0] or 0
+        behind = end
+    return df.withColumn("granted", F.coalesce(rule, F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import stable_hash
+from siltstone.operators.corpus import small
 
 
 def quotas(weights: DataFrame, name: str, weight: str, total: int) -> DataFrame:
@@ -48,8 +49,9 @@ def pair_by_rank(left: DataFrame, right: DataFrame, on: list[str], order_left: C
     return a.join(b, [*on, "rn"])
 
 
-def fold_slots(sizes: list[tuple[str, int]], folds: int, seed: int) -> list[tuple[str, int, int]]:
-    """(stratum, rank, fold): equal shares per stratum; strata in falling size give remainders to the lightest folds."""
+def fold_slots(sizes: list[tuple[str, int]], folds: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """(stratum, fold, first rank, last rank): equal shares per stratum; strata in falling size give remainders to the
+    lightest folds. Work and result grow with strata and folds, not with rows."""
     from hashlib import sha256
 
     digest = lambda *p: sha256("\x1f".join(map(str, p)).encode()).hexdigest()
@@ -57,25 +59,23 @@ def fold_slots(sizes: list[tuple[str, int]], folds: int, seed: int) -> list[tupl
     for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
         share, rest = n // folds, n % folds
         light = sorted(loads, key=lambda f: (loads[f], digest(seed, "extra-fold", name, f)))[:rest]
-        rank = 0
+        low = 1
         for f in sorted(loads, key=lambda f: digest(seed, "slot-order", name, f)):
-            for _ in range(share + (f in light)):
-                rank += 1
-                out.append((name, rank, f))
-                loads[f] += 1
+            n = share + (f in light)
+            if n:
+                out.append((name, f, low, low + n - 1))
+            low += n
+            loads[f] += n
     return out
 
 
 def assign_folds(df: DataFrame, key: str, stratum: str, folds: int, seed: int) -> DataFrame:
     """key, stratum, fold. The driver sees stratum sizes only; rows get their fold from their hash rank's slot range."""
     sizes = [(r[0], r[1]) for r in df.groupBy(stratum).count().collect()]
-    ranges: dict[tuple[str, int], list[int]] = {}
-    for name, rank, fold in fold_slots(sizes, folds, seed):
-        ranges.setdefault((name, fold), []).append(rank)
-    table = df.sparkSession.createDataFrame([(n, f, min(r), max(r)) for (n, f), r in ranges.items()], "s string, fold int, low int, high int")
+    table = df.sparkSession.createDataFrame(fold_slots(sizes, folds, seed), "s string, fold int, low long, high long")
     order = stable_hash(F.lit(seed), F.lit("pair-rank"), F.col(stratum), F.col(key), sep="\x1f")
     ranked = df.select(key, stratum, F.row_number().over(Window.partitionBy(stratum).orderBy(order)).alias("rank"))
-    return ranked.join(F.broadcast(table), (F.col(stratum) == F.col("s")) & F.col("rank").between(F.col("low"), F.col("high"))).select(key, stratum, "fold")
+    return ranked.join(small(table), (F.col(stratum) == F.col("s")) & F.col("rank").between(F.col("low"), F.col("high"))).select(key, stratum, "fold")
 
 
 def greedy_match(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str, cap: int) -> DataFrame:

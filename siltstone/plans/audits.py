@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import policies as po
+from siltstone.operators import corpus as co
 from siltstone.plans.base import query
 
 C = F.col
@@ -24,7 +25,7 @@ def a4(t, spark):
     for x in FURNITURE:
         hit = hit | low.contains(x)
     rows = t("documents").where(F.length(F.trim("text")) >= 200)
-    facts = rows.select("source", F.length("text").alias("n"), F.sha2(tx.collapse(low), 256).alias("h"), C("text").rlike(tx.EMAIL).cast("double").alias("e"), hit.cast("double").alias("f"))
+    facts = rows.select("source", F.length("text").alias("n"), F.sha2(tx.normalized(C("text")), 256).alias("h"), C("text").rlike(tx.EMAIL).cast("double").alias("e"), hit.cast("double").alias("f"))
     top = rows.groupBy("source").count().agg(F.max("count")).first()[0]
     got = facts.agg(
         F.count("*").alias("docs"),
@@ -56,7 +57,7 @@ def a6(t, spark):
 
 @query("a7_distinct_counts", f"SELECT source, count(*) AS docs, count(DISTINCT {NORM}) AS distinct_texts, count(*) - count(DISTINCT {NORM}) AS duplicates FROM documents GROUP BY source")
 def a7(t, spark):
-    rows = t("documents").select("source", F.sha2(tx.collapse(F.lower("text")), 256).alias("h"))
+    rows = t("documents").select("source", F.sha2(tx.normalized(C("text")), 256).alias("h"))
     return rows.groupBy("source").agg(F.count("*").alias("docs"), F.countDistinct("h").alias("distinct_texts"), (F.count("*") - F.countDistinct("h")).alias("duplicates"))
 
 
@@ -168,13 +169,15 @@ def a32(t, spark):
     return docs.join(decisions, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("accepted").alias("reviewed"), F.round(F.avg("accepted"), 9).alias("acceptance"))
 
 
-@query("a25_budget_ledger", "WITH c AS (SELECT user_id AS branch, event_id, round(value * 100)::BIGINT AS tokens FROM events), r AS (SELECT *, sum(tokens) OVER (PARTITION BY branch ORDER BY event_id) AS upto FROM c) SELECT branch, sum((upto <= 100000)::INT)::BIGINT AS granted, max(CASE WHEN upto <= 100000 THEN upto END)::BIGINT AS charged FROM r GROUP BY branch")
+@query("a25_budget_ledger", """WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, user_id AS branch, round(value * 100)::BIGINT AS tokens FROM events),
+g(rn, branch, tokens, spent, ok) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, false
+    UNION ALL SELECT c.rn, c.branch::BIGINT, c.tokens, CASE WHEN c.tokens > 0 AND spent + c.tokens <= 5000000 THEN spent + c.tokens ELSE spent END, c.tokens > 0 AND spent + c.tokens <= 5000000 FROM g JOIN c ON c.rn = g.rn + 1)
+SELECT branch, count(*) AS requests, sum(ok::INT)::BIGINT AS granted, sum(CASE WHEN ok THEN tokens ELSE 0 END)::BIGINT AS charged FROM g WHERE rn > 0 GROUP BY branch""")
 def a25(t, spark):
-    """Charges in order; those that keep the running sum under the cap are granted. Sums never fall."""
-    rows = t("events").select(C("user_id").alias("branch"), "event_id", F.round(C("value") * 100).cast("long").alias("tokens"))
-    upto = F.sum("tokens").over(Window.partitionBy("branch").orderBy("event_id"))
-    r = rows.withColumn("upto", upto)
-    return r.groupBy("branch").agg(F.sum((C("upto") <= 100_000).cast("long")).alias("granted"), F.max(F.when(C("upto") <= 100_000, C("upto"))).alias("charged"))
+    """One cap over all branches; a refused request adds nothing, so later ones that fit are granted."""
+    rows = t("events").select(C("user_id").cast("long").alias("branch"), "event_id", F.round(C("value") * 100).cast("long").alias("tokens"))
+    r = co.grant(rows, "event_id", "tokens", 5_000_000)
+    return r.groupBy("branch").agg(F.count("*").alias("requests"), F.sum(C("granted").cast("long")).alias("granted"), F.sum(F.when(C("granted"), C("tokens")).otherwise(0)).alias("charged"))
 
 
 @query("conversation_schema_audit", "WITH r AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*) AS turns, sum((role = before)::INT)::BIGINT AS repeated_roles, bool_or(text = '') AS empty_text, min(CASE WHEN before IS NULL THEN role END) AS first_role FROM r GROUP BY conv_id")
@@ -188,7 +191,7 @@ def conv_audit(t, spark):
 
 @query("duplicate_prompts", f"WITH p AS (SELECT conv_id, sha256({NORM}) AS h FROM conversations WHERE turn = 0) SELECT h AS prompt, count(*) AS n FROM p GROUP BY h HAVING count(*) > 1")
 def dup_prompts(t, spark):
-    rows = t("conversations").where("turn = 0").select(F.sha2(tx.collapse(F.lower("text")), 256).alias("prompt"))
+    rows = t("conversations").where("turn = 0").select(F.sha2(tx.normalized(C("text")), 256).alias("prompt"))
     return rows.groupBy("prompt").agg(F.count("*").alias("n")).where("n > 1")
 
 

@@ -117,7 +117,7 @@ OLD = "doc_id % 3 = 0"
 @query("j3_historical_dedup", f"WITH h AS (SELECT doc_id, {DIGEST.format('text')} AS digest FROM documents) SELECT doc_id FROM h WHERE NOT ({OLD}) AND digest NOT IN (SELECT digest FROM h WHERE {OLD})")
 def j3(t, spark):
     """A third of the documents stands in for the older corpus."""
-    rows = t("documents").select("doc_id", hs.text_digest(tx.collapse(F.lower("text"))).alias("digest"))
+    rows = t("documents").select("doc_id", hs.text_digest(tx.normalized(F.col("text"))).alias("digest"))
     return rows.where(~F.expr(OLD)).join(rows.where(OLD).select("digest"), "digest", "left_anti").select("doc_id")
 
 
@@ -171,7 +171,7 @@ def j6(t, spark):
 
 @query("f19_holdout", f"SELECT doc_id, ('0x' || substr(d, 1, 16))::UBIGINT % 1000 = 0 AS holdout_1000, ('0x' || substr(d, 1, 16))::UBIGINT % 10 = 0 AS holdout_10 FROM (SELECT doc_id, {DIGEST.format('text')} AS d FROM documents)")
 def f19(t, spark):
-    rows = t("documents").select("doc_id", hs.text_digest(tx.collapse(F.lower("text"))).alias("d"))
+    rows = t("documents").select("doc_id", hs.text_digest(tx.normalized(F.col("text"))).alias("d"))
     return rows.select("doc_id", hs.holdout(F.col("d")).alias("holdout_1000"), hs.holdout(F.col("d"), 10).alias("holdout_10"))
 
 
@@ -199,9 +199,9 @@ def w9(t, spark):
 p AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, count(*) OVER () AS total FROM f)
 SELECT pos // 2049 AS block_no, count(*) AS n_tokens, sha256(string_agg(tok, ',' ORDER BY pos)) AS block_sha256 FROM p WHERE pos < total // 2049 * 2049 GROUP BY 1""")
 def s12(t, spark):
-    flat = co.pack_blocks(t("documents"), "doc_id", tx.word_tokens(F.col("text")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "token"))), lambda x: x["token"]), ",")
-    return flat.groupBy("block_no").agg(F.count("*").alias("n_tokens"), F.sha2(body, 256).alias("block_sha256"))
+    pieces = co.pack_blocks(t("documents"), "doc_id", tx.word_tokens(F.col("text")))
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "tokens"))), lambda x: x["tokens"])), ",")
+    return pieces.groupBy("block_no").agg(F.sum(F.size("tokens")).cast("long").alias("n_tokens"), F.sha2(body, 256).alias("block_sha256"))
 
 
 @query("w10_token_cut", f"WITH r AS (SELECT doc_id, sum({N_WORDS} + 1) OVER (ORDER BY doc_id) AS upto, {N_WORDS} + 1 AS n FROM documents) SELECT doc_id, n FROM r WHERE upto - n < 100000")
@@ -247,18 +247,16 @@ def sign_bits(t):
 
 @query("j10_hamming_pairs", f"WITH b AS (SELECT vec_id, {BITS} AS bits FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.bits, y.bits))::BIGINT AS d FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 12")
 def j10(t, spark):
-    return co.hamming_pairs(sign_bits(t), "vec_id", "bits", 12, 13)
+    return co.hamming_pairs(sign_bits(t), "vec_id", "bits", 12)
 
 
 @query("j20_near_pair_count", f"WITH b AS (SELECT vec_id, {BITS} AS bits FROM embeddings) SELECT bit_count(xor(x.bits, y.bits))::BIGINT AS d, count(*) AS pairs FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) BETWEEN 1 AND 12 GROUP BY 1")
 def j20(t, spark):
-    return co.hamming_pairs(sign_bits(t), "vec_id", "bits", 12, 13).where("d >= 1").groupBy("d").agg(F.count("*").alias("pairs"))
+    return co.near_pair_counts(sign_bits(t), "bits", 12)
 
 
 @query("j11_hamming_anti", f"WITH b AS (SELECT vec_id, {BITS} AS bits FROM embeddings) SELECT vec_id FROM b x WHERE vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM b y WHERE y.vec_id % 2 = 0 AND bit_count(xor(x.bits, y.bits)) <= 14)")
 def j11(t, spark):
     """Rows farther than 14 bits from every row of the prior set."""
     rows = sign_bits(t)
-    pairs = co.hamming_pairs(rows, "vec_id", "bits", 14, 15)
-    ends = pairs.select(F.col("a").alias("vec_id"), F.col("b").alias("other")).union(pairs.select("b", "a")).where("vec_id % 2 = 1 AND other % 2 = 0")
-    return rows.where("vec_id % 2 = 1").join(ends, "vec_id", "left_anti").select("vec_id")
+    return co.far_rows(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0"), "bits", 14).select("vec_id")

@@ -28,7 +28,7 @@ def ingest_distinct(source: DataFrame, target: str, checkpoint: str, key: str =
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        rows = df.withColumn("digest", F.sha2(tx.collapse(F.lower(key)), 256))
+        rows = df.withColumn("digest", F.sha2(tx.normalized(F.col(key)), 256))
         firsts = rows.groupBy("digest").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
         schema = T.StructType([*df.schema.fields, T.StructField("digest", T.StringType()), T.StructField("batch", T.LongType())])
         old = spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(target) if _exists(spark, target) else spark.createDataFrame([], schema)

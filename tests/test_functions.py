@@ -152,19 +152,85 @@ def test_contaminated_copy_is_not_a_duplicate(spark):
     assert got == {0: "contaminated", 1: "contaminated", 2: "accepted", 3: "duplicate"}
 
 
-def test_prefix_sums_cross_blocks(spark):
-    df = spark.range(1000).selectExpr("id * 3 AS ord", "id % 5 AS v")
-    got = [r["s"] for r in co.prefix_sums(df, "ord", F.col("v"), "s", block=17).orderBy("ord").collect()]
-    assert got == [sum(i % 5 for i in range(k)) for k in range(1000)]
+def test_full_width_and_ligature_copies_are_duplicates(spark):
+    """Digests are of NFKC text: copies that only differ in compatibility characters are found."""
+    body = " ".join(f"office{i} first" for i in range(60))
+    wide = body.replace("first", "\uff46\uff49rst")
+    docs = spark.createDataFrame([(0, body.replace("ffi", "\ufb03").replace("first", "\ufb01rst")), (1, body), (2, wide.upper()), (3, body + " other")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "nothing")], "item_id long, text string")
+    got = {r["doc_id"]: r["status"] for r in co.funnel_status(docs, bench).collect()}
+    assert got == {0: "accepted", 1: "duplicate", 2: "duplicate", 3: "accepted"}
+
+
+@pytest.mark.parametrize("ord_sql", ["id * 3", "id * 1000003 % 7919 - 4000", "id % 7", "CAST(NULL AS LONG)"])
+def test_prefix_sums(spark, ord_sql):
+    """Dense, sparse, tied and null orders; every row once, sums before it of the rows that sort before."""
+    df = spark.range(1000).selectExpr(f"{ord_sql} AS ord", "id % 5 AS v", "id", "id AS range")
+    got = co.prefix_sums(df, "ord", F.col("v"), "s").collect()
+    rows = sorted(((r["ord"] if r["ord"] is not None else 0, r["s"], r["v"]) for r in got), key=lambda r: (r[0], r[1], r[2] > 0, r[2]))
+    at = 0
+    for _, s, v in rows:
+        assert s == at
+        at += v
+    assert sorted(r["id"] for r in got) == list(range(1000)) and got[0].asDict().keys() == {"ord", "v", "id", "range", "s"}
+
+
+def test_pack_blocks_cuts_pieces(spark):
+    docs = [(i * 37 % 101, [f"t{i}_{k}" for k in range(i % 9 * 7)]) for i in range(101)]
+    df = spark.createDataFrame(docs, "o long, w array<string>")
+    stream = [x for _, w in sorted(docs) for x in [*w, ""]]
+    got = {}
+    for r in co.pack_blocks(df, "o", F.col("w"), 50).collect():
+        for k, x in enumerate(r["tokens"]):
+            got[r["block_no"] * 50 + r["slot"] + k] = x
+    assert [got[k] for k in range(len(got))] == stream[: len(stream) // 50 * 50] and len(got) == len(stream) // 50 * 50
+
+
+def test_grant_is_sequential(spark):
+    import random
+
+    rng = random.Random(3)
+    for cap in (1, 50, 400, 100_000):
+        rows = [(k, rng.choice([1, 2, 3, 5, 40, 90, 300, 0, -4])) for k in range(200)]
+        df = spark.createDataFrame(rows, "k long, n long").repartition(5)
+        spent, want = 0, set()
+        for k, n in rows:
+            if n > 0 and spent + n <= cap:
+                spent += n
+                want.add(k)
+        assert {r["k"] for r in co.grant(df, "k", "n", cap).where("granted").collect()} == want
+
+
+@pytest.mark.parametrize("radius", [0, 2, 3, 7, 12, 14])
+def test_near_values_against_all_pairs(spark, radius):
+    import random
+
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    values = base + [x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 16))) for x in base for _ in range(8)]
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(k, sign(v)) for k, v in enumerate(values)] + [(900, sign(values[0]))], "k long, v long")
+    rows = [*enumerate(values), (900, values[0])]
+    want = {(a, b): (x ^ y).bit_count() for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= radius}
+    assert {(r["a"], r["b"]): r["d"] for r in co.hamming_pairs(df, "k", "v", radius).collect()} == want
+    counts = {}
+    for d in want.values():
+        counts[d] = counts.get(d, 0) + 1
+    assert {r["d"]: r["pairs"] for r in co.near_pair_counts(df, "v", radius).collect()} == {d: n for d, n in counts.items() if d}
+    far = co.far_rows(df.where("k >= 50"), df.where("k < 50"), "v", radius).collect()
+    assert {r["k"] for r in far} == {a for a, x in rows if a >= 50 and all((x ^ y).bit_count() > radius for b, y in rows if b < 50)}
 
 
 def test_folds_are_balanced():
     slots = sa.fold_slots([("a", 17), ("b", 8), ("c", 3)], 5, 7)
-    loads = [sum(f == k for _, _, f in slots) for k in range(5)]
-    assert sum(loads) == 28 and max(loads) - min(loads) <= 1
+    sizes = [sum(high - low + 1 for _, f, low, high in slots if f == k) for k in range(5)]
+    assert sum(sizes) == 28 and max(sizes) - min(sizes) <= 1
     for name, n in (("a", 17), ("b", 8), ("c", 3)):
-        own = [sum(s == name and f == k for s, _, f in slots) for k in range(5)]
-        assert sum(own) == n and max(own) - min(own) <= 1
+        own = sorted((low, high) for s, _, low, high in slots if s == name)
+        assert [x for low, high in own for x in range(low, high + 1)] == list(range(1, n + 1))
+        each = [sum(high - low + 1 for s, f, low, high in slots if s == name and f == k) for k in range(5)]
+        assert max(each) - min(each) <= 1
+    assert len(sa.fold_slots([("a", 10**15)], 5, 7)) == 5
 
 
 def test_quotas_sum(spark):
