@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import corpus as co
+from siltstone.operators import pairs as pr
 from siltstone.operators import stats as st
 from siltstone.plans.base import query
 
@@ -68,17 +69,18 @@ def families(t, spark):
 R = lambda v: f"({v} = expected_{v})"
 
 
-@query("a16_family_metrics", f"""WITH {FAMILY} SELECT cond, coalesce(task, 'all') AS task, count(*) AS n, round(avg(({R("base")} AND {R("edited")} AND {R("invariant")})::INT), 9) AS joint, round(avg(({R("base")} AND {R("invariant")})::INT), 9) AS base_invariant,
-round(avg({R("base")}::INT), 9) AS ordinary, round(avg((base = edited)::INT), 9) AS same_prediction, sum(base)::BIGINT AS answers_one FROM fam GROUP BY GROUPING SETS ((cond), (cond, task))""")
+VALID = "(CASE task WHEN 'left' THEN {0} = 1 ELSE {0} IN (0, 1) END)"
+_pc = lambda *xs: f"round(100 * avg(({' + '.join(f'({x})::INT' for x in xs)}) / {len(xs)}.0), 9)"
+_all = ("base", "edited", "invariant")
+
+
+@query("a16_family_metrics", f"""WITH {FAMILY} SELECT cond, coalesce(task, 'all') AS task, count(*) AS families, {_pc(R("base") + " AND " + R("edited"))} AS joint, {_pc(R("base") + " AND " + R("invariant"))} AS base_invariant, {_pc(R("base"), R("edited"))} AS ordinary_primary, {_pc(*map(R, _all))} AS ordinary_all,
+{", ".join(f"{_pc(R(v))} AS {v}_accuracy" for v in _all)}, {_pc(VALID.format("base"), VALID.format("edited"))} AS valid_primary, {_pc(*map(VALID.format, _all))} AS valid_all, {_pc("base = edited")} AS same_prediction,
+{", ".join(f"count(*) FILTER ({v} = {a}) AS n_{v}_{a}" for v in _all for a in (0, 1))} FROM fam GROUP BY GROUPING SETS ((cond), (cond, task))""")
 def a16(t, spark):
-    """Overall and by task: grouping sets."""
-    f = families(t, spark)
-    ok = {v: C(v) == C(f"expected_{v}") for v in ("base", "edited", "invariant")}
-    mean = lambda c: F.round(F.avg(c.cast("int")), 9)
-    got = f.groupingSets([["cond"], ["cond", "task"]], "cond", "task").agg(
-        F.count("*").alias("n"), mean(ok["base"] & ok["edited"] & ok["invariant"]).alias("joint"), mean(ok["base"] & ok["invariant"]).alias("base_invariant"), mean(ok["base"]).alias("ordinary"), mean(C("base") == C("edited")).alias("same_prediction"), F.sum("base").alias("answers_one")
-    )
-    return got.withColumn("task", F.coalesce("task", F.lit("all")))
+    """Overall and by task: grouping sets. One task admits a single answer, so validity is not whole."""
+    f = families(t, spark).withColumn("candidates", F.when(C("task") == "left", F.array(F.lit(1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    return pr.family_metrics(f, "cond", "task", "candidates", (0, 1)).withColumn("task", F.coalesce("task", F.lit("all")))
 
 
 @query("a17_conditional_failure", f"WITH {EVAL} SELECT task, count(*) FILTER (a = 1) AS reference_right, round(avg((b = 0)::INT) FILTER (a = 1), 9) AS failure_rate FROM ev GROUP BY task")

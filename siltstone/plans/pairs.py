@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import stable_hash
 from siltstone.operators import corpus as co
+from siltstone.operators import pairs as pr
 from siltstone.operators import sampling as sa
 from siltstone.plans.base import query
 
@@ -163,25 +164,44 @@ def p24(t, spark):
     return spark.range(2000).select(C("id").alias("step"), F.round(F.when(C("id") < 172, F.lit(4e-5)).otherwise(cosine), 15).alias("rate"))
 
 
-@query("p8_flatten_strings", "SELECT o_orderkey, concat_ws(' ' || chr(10) || ' ', o_orderstatus, o_orderpriority, json_extract_string('{\"a\": {\"b\": \"x' || o_custkey || '\"}}', '$.a.b')) AS flat FROM orders")
+@query("p8_flatten_strings", "SELECT o_orderkey, concat_ws(' ' || chr(10) || ' ', o_orderstatus, 'x' || o_custkey, o_orderpriority, o_orderstatus || '!', 'm' || o_orderkey) AS flat FROM orders")
 def p8(t, spark):
-    """All string leaves of a nested value, in order."""
-    nested = F.from_json(F.concat(F.lit('{"a": {"b": "x'), C("o_custkey").cast("string"), F.lit('"}}')), "struct<a: struct<b: string>>")
-    return t("orders").select("o_orderkey", F.concat_ws(" \n ", "o_orderstatus", "o_orderpriority", nested["a"]["b"]).alias("flat"))
+    """All string leaves of a nested value, in order, whatever its schema."""
+    status = C("o_orderstatus")
+    inner = F.struct(F.concat(F.lit("x"), C("o_custkey").cast("string")).alias("b"), C("o_custkey").alias("number"))
+    nested = F.struct(status.alias("s"), F.array(inner).alias("a"), F.array(C("o_orderpriority"), F.concat(status, F.lit("!"))).alias("l"), F.create_map(F.lit("key"), F.concat(F.lit("m"), C("o_orderkey").cast("string"))).alias("m"))
+    rows = t("orders").select("o_orderkey", nested.alias("v"))
+    return rows.select("o_orderkey", F.array_join(pr.string_leaves(C("v"), rows.schema["v"].dataType), " \n ").alias("flat"))
 
 
-@query("f17_geometry_reasons", f"SELECT CASE WHEN x2 > 1 OR y2 > 1 THEN 'outside' WHEN x1 >= x2 OR y1 >= y2 THEN 'empty' WHEN (x2 - x1) * (y2 - y1) < 0.01 THEN 'small' WHEN (x2 - x1) / (y2 - y1) > 4 THEN 'wide' ELSE 'pass' END AS reason, count(*) AS n FROM {BOX} GROUP BY 1")
+LIMITS = {"min_width": 0.08, "max_width": 0.35, "min_height": 0.15, "min_area": 0.03, "min_bbox_height_to_width": 1.2}
+POSTURE = "l_linenumber % 5 = 0 AND l_partkey % 3 = 0"
+
+
+@query("f17_geometry_reasons", f"""WITH b AS (SELECT *, ['Man', 'Woman', 'Boy', 'Dog'][l_partkey % 4 + 1] AS cls, CASE WHEN l_linenumber = 3 THEN 'Sit' ELSE 'Stand' END AS attr, CASE WHEN {POSTURE} THEN 'A man Kneeling' WHEN l_partkey % 11 = 0 THEN 'a close-up' ELSE 'a street' END AS txt FROM {BOX})
+SELECT CASE WHEN cls = 'Dog' THEN 'non_target_class' WHEN attr <> 'Stand' THEN 'non_standing_attribute' WHEN txt = 'A man Kneeling' THEN 'ambiguous_posture_term' WHEN txt = 'a close-up' THEN 'obvious_truncation_context_term'
+WHEN x2 - x1 < 0.08 THEN 'small_width' WHEN x2 - x1 > 0.35 THEN 'excessive_width_closeup_risk' WHEN y2 - y1 < 0.15 THEN 'small_height' WHEN (x2 - x1) * (y2 - y1) < 0.03 THEN 'small_area' WHEN (y2 - y1) / (x2 - x1) < 1.2 THEN 'short_bbox_aspect' ELSE 'pass' END AS reason, count(*) AS n FROM b GROUP BY 1""")
 def f17(t, spark):
-    w, hgt = C("x2") - C("x1"), C("y2") - C("y1")
-    reason = F.when((C("x2") > 1) | (C("y2") > 1), "outside").when((w <= 0) | (hgt <= 0), "empty").when(w * hgt < 0.01, "small").when(w / hgt > 4, "wide").otherwise("pass")
+    cls = F.get(F.array(*map(F.lit, ("Man", "Woman", "Boy", "Dog"))), (C("l_partkey") % 4).cast("int"))
+    attr = F.when(C("l_linenumber") == 3, "Sit").otherwise("Stand")
+    txt = F.when(F.expr(POSTURE), "A man Kneeling").when(C("l_partkey") % 11 == 0, "a close-up").otherwise("a street")
+    reason = pr.geometry_reason(cls, attr, txt, C("x2") - C("x1"), C("y2") - C("y1"), ("Man", "Woman", "Boy"), "Stand", LIMITS)
     return boxes(t).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("f18_metadata_gate", "SELECT CASE WHEN o_orderkey IS NULL THEN 'missing' WHEN o_orderstatus <> 'O' THEN 'subset' WHEN o_orderpriority NOT LIKE '%HIGH' THEN 'licence' ELSE 'pass' END AS reason, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 50 <> 0) ON l_orderkey = o_orderkey GROUP BY 1")
+@query("f18_metadata_gate", """WITH m AS (SELECT o_orderstatus AS subset, o_orderpriority AS licence, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'a' || o_custkey END AS author, CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE 'https://x/' || o_orderkey END AS url,
+['0.0', '', '90', 'left'][o_orderkey % 4 + 1] AS rotation, CASE WHEN o_custkey % 3 = 0 THEN 'Old Paintings of it' ELSE 'a screenplay' END AS title FROM orders)
+SELECT CASE WHEN subset <> 'O' THEN 'wrong_subset' WHEN licence NOT LIKE '%HIGH' THEN 'license_rejection' WHEN author = '' OR url IS NULL THEN 'missing_attribution' WHEN rotation = 'left' THEN 'invalid_rotation' WHEN rotation = '90' THEN 'nonzero_rotation'
+WHEN title LIKE 'Old%' THEN 'secondary_media_title' ELSE 'pass' END AS reason, count(*) AS n FROM m GROUP BY 1""")
 def f18(t, spark):
-    meta = t("orders").where("o_orderkey % 50 <> 0").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    reason = F.when(C("o_orderkey").isNull(), "missing").when(C("o_orderstatus") != "O", "subset").when(~C("o_orderpriority").endswith("HIGH"), "licence").otherwise("pass")
-    return t("lineitem").join(meta, C("l_orderkey") == C("o_orderkey"), "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    k, c = C("o_orderkey"), C("o_custkey")
+    licence = F.when(C("o_orderpriority").endswith("HIGH"), "free").otherwise("other")
+    author = F.when(c % 10 == 0, "").otherwise(F.concat(F.lit("a"), c.cast("string")))
+    url = F.when(c % 17 != 0, F.concat(F.lit("https://x/"), k.cast("string")))
+    rotation = F.get(F.array(*map(F.lit, ("0.0", "", "90", "left"))), (k % 4).cast("int"))
+    title = F.when(c % 3 == 0, "Old Paintings of it").otherwise("a screenplay")
+    reason = pr.metadata_reason(C("o_orderstatus"), licence, author, url, rotation, title, "O", "free")
+    return t("orders").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("f22_metric_gate", "SELECT l_shipmode_like AS cell, avg_q >= 25.4 AND n >= 100 AND avg_d <= 0.051 AS passed FROM (SELECT l_suppkey % 20 AS l_shipmode_like, avg(l_quantity) AS avg_q, count(*) AS n, avg(l_discount) AS avg_d FROM lineitem GROUP BY 1)")
@@ -244,13 +264,15 @@ def w14(t, spark):
     return sa.assign_folds(t("part").select(C("p_partkey").cast("string").alias("pair_id"), C("p_brand").alias("class_name")), "pair_id", "class_name", 5, 7)
 
 
-@query("w16_rotation", "WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT a.p_partkey, b.p_partkey AS donor FROM r a JOIN r b ON a.p_brand = b.p_brand AND b.i = a.i % a.n + 1 WHERE a.n > 1")
+@query("w16_rotation", """WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part), q AS (SELECT *, i // 2 AS cluster, p_partkey // 2 AS image FROM r WHERE n >= 4),
+s AS (SELECT a.p_brand, (b.i - a.i + a.n) % a.n AS shift, bool_or(a.cluster = b.cluster OR a.image = b.image) AS bad FROM q a JOIN q b ON a.p_brand = b.p_brand AND a.i <> b.i GROUP BY ALL),
+least_ AS (SELECT p_brand, min(shift) AS shift FROM s WHERE NOT bad GROUP BY 1)
+SELECT a.p_partkey, b.p_partkey AS donor FROM q a JOIN least_ USING (p_brand) JOIN q b ON a.p_brand = b.p_brand AND b.i = (a.i + shift) % a.n""")
 def w16(t, spark):
-    """Each row takes the next row of its stratum, the last the first: nobody is their own donor."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    donor = F.coalesce(F.lead("p_partkey").over(w), F.first("p_partkey").over(whole))
-    return t("part").select("p_partkey", donor.alias("donor"), F.count("*").over(Window.partitionBy("p_brand")).alias("n")).where("n > 1").drop("n")
+    """Rotated by the least shift at which no row's donor is of its own cluster (here two rows in order) or image."""
+    w = Window.partitionBy("p_brand")
+    rows = t("part").select("p_brand", "p_partkey", F.count("*").over(w).alias("n"), F.floor((F.row_number().over(w.orderBy("p_partkey")) - 1) / 2).alias("cluster"), F.floor(C("p_partkey") / 2).alias("image"))
+    return pr.deranged_donors(rows.where("n >= 4"), ["p_brand"], "p_partkey", "cluster", "image").select("p_partkey", "donor")
 
 
 @query("w17_best_under_gate", "SELECT l_suppkey % 10 AS grp, l_orderkey, l_linenumber FROM lineitem WHERE l_discount <= 0.05 QUALIFY row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_quantity DESC, l_tax DESC, l_orderkey, l_linenumber) = 1")

@@ -340,3 +340,35 @@ def test_bpe_encode(spark):
     model, values = Tokenizer.from_file(path), ["Hello, wörld", "", None, "a\nb  c"]
     want = [None if v is None else model.encode(v, add_special_tokens=False).ids + [0] for v in values]
     assert col(spark, values, lambda c: bpe_encode(c, path)) == want
+
+
+def test_string_leaves_of_any_schema(spark):
+    from siltstone.operators import pairs as pr
+
+    df = spark.sql("SELECT named_struct('a', 'x', 'n', 1, 'l', array(named_struct('b', 'y', 'm', map('k', array('z', NULL)))), 'e', CAST(NULL AS STRING)) AS v UNION ALL SELECT NULL")
+    got = [r[0] for r in df.select(pr.string_leaves(F.col("v"), df.schema["v"].dataType).alias("s")).collect()]
+    assert sorted(got, key=len) == [[], ["x", "y", "z"]]
+
+
+def test_deranged_donors(spark):
+    from siltstone.operators import pairs as pr
+
+    rows = [("a", i, i // 3, i) for i in range(9)] + [("b", i, i, i // 2) for i in range(5)] + [(None, i, i, i) for i in range(2)]
+    df = spark.createDataFrame(rows, "s string, i long, cluster long, image long")
+    got = {(r["s"], r["i"]): r["donor"] for r in pr.deranged_donors(df, ["s"], "i", "cluster", "image").collect()}
+    assert got == {("a", i): (i + 3) % 9 for i in range(9)} | {("b", i): (i + 2) % 5 for i in range(5)} | {(None, i): 1 - i for i in range(2)}
+    with pytest.raises(ValueError):
+        pr.deranged_donors(spark.createDataFrame([("a", 0, 1, 0), ("a", 1, 1, 1)], df.schema), ["s"], "i", "cluster", "image")
+
+
+def test_metadata_reasons_in_order(spark):
+    from siltstone.operators import pairs as pr
+
+    rows = [
+        ("validation", "l", "a", "u", "0", "t", "wrong_subset"), (None, "l", "a", "u", "0", "t", "wrong_subset"), ("train", "m", "a", "u", "0", "t", "license_rejection"),
+        ("train", "l", None, "u", "x", "t", "missing_attribution"), ("train", "l", "a", "", "0", "t", "missing_attribution"), ("train", "l", "a", "u", "x", "t", "invalid_rotation"),
+        ("train", "l", "a", "u", "-90.0", "t", "nonzero_rotation"), ("train", "l", "a", "u", None, "My DOLLS", "secondary_media_title"), ("train", "l", "a", "u", "0.0", "dollshouse", "pass"), ("train", "l", "a", "u", "", None, "pass"),
+    ]
+    df = spark.createDataFrame(rows, "s string, l string, a string, u string, r string, t string, want string")
+    c = [F.col(x) for x in "slaurt"]
+    assert all(r["got"] == r["want"] for r in df.select("want", pr.metadata_reason(*c, "train", "l").alias("got")).collect())
