@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,6 +49,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; workers live on between tasks beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same map, whose worker releases memory when the task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def per_row(df: DataFrame, keep: list[str], text: str, out: str, row: Callable[[bytes], tuple]) -> DataFrame:
     """Map each row's text (null: empty) to the columns of `out`, in Arrow batches; `keep` columns stay in front."""
     ship(df.sparkSession)
@@ -62,7 +85,7 @@ def per_row(df: DataFrame, keep: list[str], text: str, out: str, row: Callable[[
             arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + arrays, names=[*keep, *names])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 
 
 def _arrow_types(spark: SparkSession, ddl: str) -> list[pa.DataType]:

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.common import tidy
+
 DOCS, SAMPLE_BYTES, TABLE_BYTES, BLOCK_BYTES, BATCH_BYTES = 64, 40_000, 1 << 27, 1024, 1 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -224,4 +226,4 @@ def identify(df: DataFrame, parsers: Parsers | None, keep: list[str], text: str
             flush()
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)

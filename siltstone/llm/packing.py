@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stored, utf8
+from siltstone.llm.common import stored, tidy, utf8
 
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 200_000
+WINDOW, END_ID, CACHE_WORDS = 4096, 2, 100_000
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -138,7 +138,7 @@ def tokenized(df: DataFrame, doc_id: str, text: str, path: str, end_id: int = EN
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
 
-    return df.select(doc_id, text).mapInArrow(run, f"doc_id {id_type}, part int, start_in_part long, n_tokens long, ids binary")
+    return df.select(doc_id, text).mapInArrow(tidy(run), f"doc_id {id_type}, part int, start_in_part long, n_tokens long, ids binary")
 
 
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -176,4 +176,4 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
-    return placed.mapInArrow(run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(tidy(run), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

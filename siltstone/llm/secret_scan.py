@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.shipping import ship
-from siltstone.llm.common import per_row, slices, utf8
+from siltstone.llm.common import per_row, slices, tidy, utf8
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -82,7 +82,7 @@ def corpus_identifiers(df: DataFrame, text: str = "text") -> bytes:
                 held.clear()
         yield rows()
 
-    found = df.select(text).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= CORPUS_DOCS)
+    found = df.select(text).mapInArrow(tidy(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= CORPUS_DOCS)
     top = found.orderBy(F.desc("n"), "w").limit(CORPUS_WORDS).collect()
     return b" ".join([IDENTIFIERS, *(bytes(r["w"]) for r in reversed(top))])
 
@@ -219,4 +219,4 @@ def redact_secrets(df: DataFrame, text: str = "text", mark: str = "<SECRET>", n_
                     out = out.set_column(place, n_chars, pc.if_else(pa.array([n > 0 for _, n in got], pa.bool_()), new, batch.column(place)))
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -40,11 +40,11 @@ from pyspark.sql import types as T
 
 from siltstone.functions.scratch import fresh
 from siltstone.functions.shipping import ship
-from siltstone.llm.common import slices, stored, utf8
+from siltstone.llm.common import slices, stored, tidy, utf8
 
 BITS, RADIUS, SHINGLE_WORDS, SEED, SHARD_ROWS = 64, 3, 3, 42, 2048
 TREE_FROM, TREE_ROWS, BROADCAST_ROWS = 256, 1 << 16, 500_000
-WIDE, WIDE_WORDS, SIMILARITY, BANDS, ROWS, SIMILAR_ROWS = 22, 5, 0.8, 16, 4, 1024
+WIDE, WIDE_WORDS, SIMILARITY, BANDS, FIRST_BANDS, ROWS, SIMILAR_ROWS = 22, 5, 0.8, 16, 4, 4, 1024
 PIECE, HASHES, BATCH_BYTES = 1 << 20, 200_000, 1 << 22
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 _TIMES, _PLUS, _MIX = _RANDOM[0] | np.uint64(1), _RANDOM[1], np.uint64(0x9E3779B97F4A7C15)
@@ -130,7 +130,7 @@ def fingerprints(df: DataFrame, keep: list[str], text: str = "text", name: str =
             fps = text_fingerprints(utf8(batch, text))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(fps.view(np.int64))], names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 
 
 class BKTree:
@@ -291,7 +291,7 @@ def by_task(tasks: DataFrame, carry: list[str], solve) -> DataFrame:
         ended()
         yield _pairs(out)
 
-    return tasks.repartition(*by).sortWithinPartitions(*by, carry[0]).mapInArrow(run, "a long, b long")
+    return tasks.repartition(*by).sortWithinPartitions(*by, carry[0]).mapInArrow(tidy(run), "a long, b long")
 
 
 def _unsigned(x: int) -> int:
@@ -453,7 +453,7 @@ def shingled(df: DataFrame, text: str, names: list[str]) -> DataFrame:
                 cols = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64)), bands, pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
@@ -468,11 +468,10 @@ def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shard_rows: int = SIMILAR_ROWS) -> DataFrame:
-    """a, b: links between nodes. rows: row, node, fp, keys, set; nodes: node and `at`, the row that stands for it."""
-    keyed = stored(rows.select("node", F.posexplode("keys").alias("c", "k")).distinct(), "bands")
+def similar_links(keyed: DataFrame, sets: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shard_rows: int = SIMILAR_ROWS) -> DataFrame:
+    """a, b: links between nodes that share a shard. keyed: node, c, k; sets: at, fp, set; nodes: node and `at`, the row that
+    stands for it."""
     sizes = keyed.groupBy("c", "k").count().where("count > 1")
-    sets = rows.select(F.col("row").alias("at"), "fp", "set")
     tasks = dealt(keyed, sizes, "node", shard_rows, ["node"]).join(nodes, "node").join(sets, "at").select("c", "k", "a", "b", "query", "node", "fp", "set")
 
     def solve(node, fp, held, query):
@@ -481,6 +480,21 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILAR
     return by_task(tasks, ["node", "fp", "set"], solve).distinct()
 
 
+def similar_components(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shard_rows: int = SIMILAR_ROWS) -> DataFrame:
+    """node, root of the nodes with a link. rows: row, node, fp, keys, set; nodes: node and `at`.
+
+    The shards of the first FIRST_BANDS keys connect most of what is to be connected. A shard of the other keys whose nodes
+    are in one component already can connect nothing more and is left out, sets and all."""
+    keyed = stored(rows.select("node", F.posexplode("keys").alias("c", "k")).distinct(), "bands")
+    sets = rows.select(F.col("row").alias("at"), "fp", "set")
+    first = stored(similar_links(keyed.where(F.col("c") < FIRST_BANDS), sets, nodes, similarity, shard_rows), "links")
+    roots = stored(components(first).withColumnRenamed("node", "n"), "roots")
+    placed = keyed.where(F.col("c") >= FIRST_BANDS).join(roots, F.col("node") == F.col("n"), "left").select("node", "c", "k", F.coalesce("root", "node").alias("root"))
+    open_shards = placed.groupBy("c", "k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("c", "k")
+    rest = placed.join(open_shards, ["c", "k"], "left_semi").select("node", "c", "k")
+    return components(first.unionByName(similar_links(rest, sets, nodes, similarity, shard_rows)))
+
+
 def keep_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shard_rows: int = SIMILAR_ROWS) -> DataFrame:
     """All columns of one row for each component of similar texts: that of the smallest doc_id, ids before nulls, then the
     first read."""
@@ -490,8 +504,7 @@ def keep_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     rank: Column = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col(names[0]).alias("c"))
     rows = whole.select(rank.alias("rank"), *(F.col(x).alias(y) for x, y in zip(names, ("row", "node", "fp", "keys", "set"), strict=True)))
     nodes = stored(rows.groupBy("node").agg(F.min("rank").alias("least")), "nodes")
-    edges = similar_links(rows, nodes.select("node", F.col("least.c").alias("at")), similarity, shard_rows)
-    linked = components(edges).withColumnRenamed("node", "n")
+    linked = similar_components(rows, nodes.select("node", F.col("least.c").alias("at")), similarity, shard_rows).withColumnRenamed("node", "n")
     rooted = nodes.join(linked, F.col("node") == F.col("n"), "left").select("least", F.coalesce("root", "node").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.c").alias(names[0]))
     return without_losers(whole, winners, names[0], df.columns)
