@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-dedup, benchmark decontamination, secret redaction, packing.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents, whatever their names.
+Repeated rows are decided alike, very long texts are taken whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,23 +21,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts with a Jaccard similarity of 0.8 or more over 5-word shingles, that of the smallest doc_id."""
+    """One row of each component of texts with a Jaccard similarity of 0.8 or more over 5-word shingles: that of the smallest
+    doc_id, ids before nulls, then the first read."""
     return simhash.keep_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; all of them where it is empty, and those without text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_benchmark(docs, benchmark)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark, n_chars brought up to date where there is such a column."""
+    """All documents, secrets replaced by a mark, n_chars brought up to date where the text changed and there is such a
+    column; null texts stay null."""
     return secret_scan.redact_secrets(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of fixed windows, with their token ids."""
+    """Pieces of fixed windows, with their token ids; an empty or null text is a piece of the end id."""
     return packing.pack(docs)
 
 
