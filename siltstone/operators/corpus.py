@@ -94,6 +94,15 @@ def prefix_sums(df: DataFrame, order: str, value: Column, name: str) -> DataFram
     return rows.join(totals, b).withColumn(name, F.col(base) + F.col(local)).select(*df.columns, name)
 
 
+def places(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Each row's place in its group from 0, by the order column (equal ones by a hash of the row). Groups are cut by
+    ranges like all rows, so no group has to fit a task; the bases that come back are one for each group."""
+    key, at, g, base = fresh([*df.columns, name], "key", "at", "group", "base")
+    placed = stored(prefix_sums(df.withColumn(key, F.struct(group, order)), key, F.lit(1), at), "places")
+    bases = placed.groupBy(F.col(group).alias(g)).agg(F.min(at).alias(base))
+    return placed.join(small(bases), F.col(group).eqNullSafe(F.col(g))).select(*df.columns, (F.col(at) - F.col(base)).alias(name))
+
+
 def pack_blocks(docs: DataFrame, order: str, tokens: Column, block: int = 2049) -> DataFrame:
     """ord, block_no, slot, tokens: the pieces of the concatenated stream (each document ends in an empty token), cut at
     block bounds; slot is where a piece begins in its block. The tail that does not fill a block is dropped."""
@@ -194,3 +203,57 @@ def grant(df: DataFrame, order: str, tokens: str, cap: int) -> DataFrame:
         left -= sums.where(F.col("o") < F.lit(end)).agg(F.sum("n")).first()[0] or 0
         behind = end
     return df.withColumn("granted", F.coalesce(rule, F.lit(False)))
+
+
+#: Phrases of page furniture.
+FURNITURE = ["cookie policy", "privacy policy", "enable javascript", "click here", "subscribe now"]
+
+
+def corpus_audit(df: DataFrame, order: str, text: str, url: Column, language: Column, language_score: Column, score: Column, wanted: str = "en", floor: float = 0.9, least: int = 200, limit: int = 20_000) -> DataFrame:
+    """One row of figures over the first `limit` rows, by order, that are in the wanted language with its score at the
+    floor or above and have at least `least` characters. rows_scanned counts up to the last of them, all rows where fewer
+    pass. A missing score is 0, a quantile is the value at that share of the sorted ones; with no row, counts are 0 and the
+    rest null."""
+    c = F.col(text)
+    zero = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    spoken = F.coalesce((language == wanted) & (zero(language_score) >= floor), F.lit(False))
+    furniture = F.lit(False)
+    for x in FURNITURE:
+        furniture = furniture | F.lower(c).contains(x)
+    share = lambda x: x.cast("double")
+    facts = df.where(spoken & (F.length(tx.strip(c)) >= least)).select(
+        F.col(order).alias("o"),
+        F.length(c).alias("n"),
+        F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("domain"),
+        F.sha2(tx.collapse(F.lower(c)), 256).alias("h"),
+        zero(language_score).alias("ls"),
+        zero(score).alias("s"),
+        share(c.rlike(tx.EMAIL)).alias("email"),
+        share(c.rlike(tx.IPV4)).alias("ip"),
+        share(furniture).alias("furniture"),
+    )
+    head = stored(facts.orderBy("o").limit(limit), "audit")
+    docs, last = head.agg(F.count("*"), F.max("o")).first()
+    scanned = df if docs < limit else df.where(F.col(order) <= F.lit(last))
+    scanned = scanned.agg(F.count("*").alias("rows_scanned"), F.count_if(~spoken).alias("language_rejected"))
+    top = head.groupBy("domain").count().agg(F.max("count").alias("top"))
+    at = lambda name, q: F.get(F.array_sort(F.collect_list(name)), F.least(F.count("*") - 1, F.floor(F.count("*") * q)).cast("int"))
+    mean = lambda name: F.round(F.avg(name), 9)
+    got = head.agg(
+        F.count("*").alias("docs"),
+        F.countDistinct("domain").alias("domains"),
+        F.percentile("n", F.lit(0.5)).alias("median_chars"),
+        at("n", 0.95).cast("long").alias("p95_chars"),
+        mean("ls").alias("language_score_mean"),
+        F.min("ls").alias("language_score_min"),
+        F.percentile("s", F.lit(0.5)).alias("score_median"),
+        at("s", 0.1).alias("score_p10"),
+        (F.count("*") - F.countDistinct("h")).alias("duplicates"),
+        mean("email").alias("email_rate"),
+        mean("ip").alias("ip_rate"),
+        mean("furniture").alias("furniture_rate"),
+    )
+    # Each of the three has one row.
+    one = F.lit(1).alias("one")
+    rows = got.select("*", one).join(F.broadcast(top.select("top", one)), "one").join(F.broadcast(scanned.select("*", one)), "one")
+    return rows.select(*got.columns, F.round(F.col("top") / F.when(F.col("docs") > 0, F.col("docs")), 9).alias("top_domain_share"), "rows_scanned", "language_rejected")

@@ -118,3 +118,34 @@ def deranged_donors(df: DataFrame, strata: list[str], order: str, cluster: str,
         left = met.where(F.col(bad) == 1).select(*left.columns)
         if not left.limit(1).count():
             return done
+
+
+def crop_box(patch: Column, grid: int, expansion: float = 1.0) -> Column:
+    """Struct x1, y1, x2, y2, from 0 to 1: the patch's cell of a grid x grid image and `expansion` cells around it, cut at the
+    edges; null for a patch outside the grid."""
+    margin, side = expansion / grid, F.lit(float(grid))
+    across, down = patch % grid, F.floor(patch / grid)
+    box = F.struct(
+        F.greatest(across / side - margin, F.lit(0.0)).alias("x1"),
+        F.greatest(down / side - margin, F.lit(0.0)).alias("y1"),
+        F.least((across + 1) / side + margin, F.lit(1.0)).alias("x2"),
+        F.least((down + 1) / side + margin, F.lit(1.0)).alias("y2"),
+    )
+    return F.when(patch.between(0, grid * grid - 1), box)
+
+
+def evidence_action(logits: Column, gain: Column, least_gain: float, least_probability: float) -> Column:
+    """The most probable patch (the first of equals) if its softmax probability and the gain reach their floors, else the
+    last index, which means stop."""
+    top = F.array_max(logits)
+    probability = 1 / F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    stop = F.size(logits) - 1
+    best = F.array_position(logits, top).cast("int") - 1
+    return F.when((gain >= least_gain) & (probability >= least_probability), best).otherwise(stop)
+
+
+def difference_hash(grey: Column, width: int = 8, height: int = 8) -> Column:
+    """Bits of height rows of width + 1 grey values, 1 where a value is above the next one; the first is the highest."""
+    at = lambda k, d: F.get(grey, (F.floor(k / width) * (width + 1) + k % width + d).cast("int"))
+    ks = F.sequence(F.lit(0), F.lit(width * height - 1))
+    return F.aggregate(ks, F.lit(0).cast("long"), lambda a, k: F.shiftleft(a, 1).bitwiseOR((at(k, 0) > at(k, 1)).cast("long")))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import stable_hash
-from siltstone.operators.corpus import small
+from siltstone.functions.scratch import fresh
+from siltstone.operators.corpus import places, prefix_sums, small
 
 
 def quotas(weights: DataFrame, name: str, weight: str, total: int) -> DataFrame:
@@ -74,8 +75,8 @@ def assign_folds(df: DataFrame, key: str, stratum: str, folds: int, seed: int) -
     sizes = [(r[0], r[1]) for r in df.groupBy(stratum).count().collect()]
     table = df.sparkSession.createDataFrame(fold_slots(sizes, folds, seed), "s string, fold int, low long, high long")
     order = stable_hash(F.lit(seed), F.lit("pair-rank"), F.col(stratum), F.col(key), sep="\x1f")
-    ranked = df.select(key, stratum, F.row_number().over(Window.partitionBy(stratum).orderBy(order)).alias("rank"))
-    return ranked.join(small(table), (F.col(stratum) == F.col("s")) & F.col("rank").between(F.col("low"), F.col("high"))).select(key, stratum, "fold")
+    ranked = places(df.select(key, stratum, order.alias("x")), stratum, "x", "place").withColumn("rank", F.col("place") + 1)
+    return ranked.join(small(table), F.col(stratum).eqNullSafe(F.col("s")) & F.col("rank").between(F.col("low"), F.col("high"))).select(key, stratum, "fold")
 
 
 def greedy_match(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str, cap: int) -> DataFrame:
@@ -98,11 +99,21 @@ def greedy_match(left: DataFrame, right: DataFrame, group: str, left_id: str, ri
     return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(match, schema)
 
 
-def interleave(df: DataFrame, source: str, order: Column, weights: dict[str, int]) -> DataFrame:
-    """Weighted round robin of the sources' rows: cycle, place in the cycle."""
+def interleave(df: DataFrame, source: str, order: str, weights: dict[str, int]) -> DataFrame:
+    """Weighted round robin of the sources' rows: cycle, place in the cycle. The schedule names each source `weight` times;
+    sources that it does not name have no turn."""
     names = list(weights)
     weight = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
     offset = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, sum(weights[m] for m in names[:i]))))
-    rn = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
+    (rn,) = fresh(df.columns, "rn")
     w = F.try_element_at(weight, F.col(source))
-    return df.where(F.col(source).isin(names)).withColumn("__rn", rn).select("*", F.floor(F.col("__rn") / w).alias("cycle"), (F.try_element_at(offset, F.col(source)) + F.col("__rn") % w).alias("place")).drop("__rn")
+    placed = places(df.where(F.col(source).isin(names)), source, order, rn)
+    place = (F.try_element_at(offset, F.col(source)) + F.col(rn) % w).cast("int")
+    return placed.select(*df.columns, F.floor(F.col(rn) / w).alias("cycle"), place.alias("place"))
+
+
+def take_turns(df: DataFrame, source: str, order: str, turn: int, name: str) -> DataFrame:
+    """Each row's place from 0 where the sources, by name, give `turn` rows at a time until all are used up."""
+    rn, key = fresh([*df.columns, name], "rn", "key")
+    placed = places(df, source, order, rn).withColumn(key, F.struct(F.floor(F.col(rn) / turn), source, rn))
+    return prefix_sums(placed, key, F.lit(1), name).select(*df.columns, name)

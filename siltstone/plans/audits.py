@@ -12,30 +12,22 @@ from siltstone.plans.base import query
 
 C = F.col
 NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
-#: Phrases of page furniture.
-FURNITURE = ["cookie policy", "privacy policy", "enable javascript", "click here", "subscribe now"]
+AUDIT_URL = "'https://Host' || (doc_id % 40) || '.example.com/p?q=' || doc_id"
 
 
-@query("a4_corpus_audit", f"""WITH d AS (SELECT *, length(text) AS n FROM documents WHERE length(trim(text)) >= 200), s AS (SELECT max(c) AS top FROM (SELECT count(*) AS c FROM d GROUP BY source))
-SELECT count(*) AS docs, count(DISTINCT source) AS sources, round(any_value(s.top) / count(*), 9) AS top_source_share, quantile_cont(n, 0.5) AS median_chars, count(*) - count(DISTINCT {NORM}) AS duplicates,
-round(avg(regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b')::INT), 9) AS email_rate, round(avg(regexp_matches(lower(text), '{"|".join(FURNITURE)}')::INT), 9) AS furniture_rate FROM d, s""")
+@query("a4_corpus_audit", f"""WITH s AS (SELECT *, length(text) AS n, coalesce({{scored}}, 0) AS ls, n_chars % 6 AS sc, lower(regexp_extract({AUDIT_URL}, '^[a-z]+://([^/?#]*)', 1)) AS domain FROM documents),
+j AS (SELECT *, coalesce(lang = 'en' AND ls >= 0.9, FALSE) AS spoken FROM s), k AS (SELECT * FROM j WHERE spoken AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200 ORDER BY doc_id LIMIT 20000),
+b AS (SELECT CASE WHEN count(*) < 20000 THEN (SELECT max(doc_id) FROM documents) ELSE max(doc_id) END AS last FROM k)
+SELECT count(*) AS docs, count(DISTINCT domain) AS domains, quantile_cont(n, 0.5)::DOUBLE AS median_chars, list_sort(list(n))[least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1] AS p95_chars,
+round(avg(ls), 9) AS language_score_mean, min(ls) AS language_score_min, quantile_cont(sc::DOUBLE, 0.5) AS score_median, list_sort(list(sc::DOUBLE))[least(count(*) - 1, floor(count(*) * 0.1)::BIGINT) + 1] AS score_p10,
+count(*) - count(DISTINCT {NORM}) AS duplicates, round(avg(regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b')::INT), 9) AS email_rate,
+round(avg(regexp_matches(text, '(^|[^0-9])(?:\\d{{1,3}}\\.){{3}}\\d{{1,3}}([^0-9]|$)')::INT), 9) AS ip_rate, round(avg(regexp_matches(lower(text), '{"|".join(co.FURNITURE)}')::INT), 9) AS furniture_rate,
+round((SELECT max(c) FROM (SELECT count(*) AS c FROM k GROUP BY domain)) / count(*), 9) AS top_domain_share, (SELECT count(*) FROM j, b WHERE doc_id <= last) AS rows_scanned, (SELECT count(*) FROM j, b WHERE doc_id <= last AND NOT spoken) AS language_rejected FROM k""".replace("{scored}", "CASE WHEN doc_id % 7 <> 0 THEN (85 + doc_id % 20) / 100 END"))
 def a4(t, spark):
-    low = F.lower("text")
-    hit = F.lit(False)
-    for x in FURNITURE:
-        hit = hit | low.contains(x)
-    rows = t("documents").where(F.length(F.trim("text")) >= 200)
-    facts = rows.select("source", F.length("text").alias("n"), F.sha2(tx.normalized(C("text")), 256).alias("h"), C("text").rlike(tx.EMAIL).cast("double").alias("e"), hit.cast("double").alias("f"))
-    top = rows.groupBy("source").count().agg(F.max("count")).first()[0]
-    got = facts.agg(
-        F.count("*").alias("docs"),
-        F.countDistinct("source").alias("sources"),
-        F.expr("percentile(n, 0.5)").alias("median_chars"),
-        (F.count("*") - F.countDistinct("h")).alias("duplicates"),
-        F.round(F.avg("e"), 9).alias("email_rate"),
-        F.round(F.avg("f"), 9).alias("furniture_rate"),
-    )
-    return got.withColumn("top_source_share", F.round(F.lit(top) / C("docs"), 9))
+    """URLs and scores are derived from doc_id, since documents have none."""
+    i = C("doc_id")
+    url = F.concat(F.lit("https://Host"), (i % 40).cast("string"), F.lit(".example.com/p?q="), i.cast("string"))
+    return co.corpus_audit(t("documents"), "doc_id", "text", url, C("lang"), F.when(i % 7 != 0, (F.lit(85) + i % 20) / 100), C("n_chars") % 6)
 
 
 @query("a5_floor_quantile", "WITH r AS (SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM documents) SELECT source, n AS p95 FROM r WHERE i = least(c - 1, floor(c * 0.95)::BIGINT)")

@@ -57,9 +57,14 @@ def p2_email(t, spark):
     return t("documents").select("doc_id", F.sha2(tx.redact_email(F.col("text")), 256).alias("redacted_sha256"))
 
 
-@query("p2_redact", None)
+ADDRESS = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+
+
+@query("p2_redact", rf"""WITH e AS (SELECT doc_id, regexp_replace(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '<EMAIL>', 'g') AS t FROM documents),
+u AS (SELECT doc_id, regexp_extract_all(t, '[0-9.]+|[^0-9.]+') AS runs FROM e), v AS (SELECT doc_id, list_transform(runs, lambda r: [string_split_regex(r, '{ADDRESS}'), regexp_extract_all(r, '{ADDRESS}')]) AS cut FROM u)
+SELECT doc_id, sha256(array_to_string(list_transform(cut, lambda c: array_to_string(list_transform(c[1], lambda p, i: p || coalesce(CASE WHEN regexp_matches(c[2][i], '{tx.OCTETS}') THEN '<IP_ADDRESS>' ELSE c[2][i] END, '')), '')), '')) AS redacted_sha256 FROM v""")
 def p2(t, spark):
-    """E-mail addresses and valid IPv4 addresses; the candidate pattern needs a lookbehind, so there is no SQL."""
+    """E-mail addresses and valid IPv4 addresses."""
     return t("documents").select("doc_id", F.sha2(tx.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
@@ -114,19 +119,29 @@ def j2(t, spark):
 OLD = "doc_id % 3 = 0"
 
 
-@query("j3_historical_dedup", f"WITH h AS (SELECT doc_id, {DIGEST.format('text')} AS digest FROM documents) SELECT doc_id FROM h WHERE NOT ({OLD}) AND digest NOT IN (SELECT digest FROM h WHERE {OLD})")
+def each_side(rows, judge):
+    """judge(rows, corpus) both ways between the third of the documents that stands in for an older corpus and the rest, so
+    that every row is judged."""
+    old, new = rows.where(OLD), rows.where(~F.expr(OLD))
+    return judge(new, old).unionByName(judge(old, new))
+
+
+@query("j3_historical_dedup", f"WITH h AS (SELECT doc_id, {OLD} AS old, {DIGEST.format('text')} AS digest FROM documents) SELECT doc_id FROM h WHERE NOT EXISTS (SELECT 1 FROM h AS o WHERE o.digest = h.digest AND o.old <> h.old)")
 def j3(t, spark):
-    """A third of the documents stands in for the older corpus."""
+    """Documents whose digest the other corpus does not have."""
     rows = t("documents").select("doc_id", hs.text_digest(tx.normalized(F.col("text"))).alias("digest"))
-    return rows.where(~F.expr(OLD)).join(rows.where(OLD).select("digest"), "digest", "left_anti").select("doc_id")
+    return each_side(rows, lambda a, b: a.join(b.select("digest").distinct(), "digest", "left_anti").select("doc_id"))
+
+
+BOTH = f"gram IN (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT {OLD}) = 2)"
 
 
 @query("j4_heldout_spans", f"""WITH g AS (SELECT doc_id, unnest({GRAMS.format(32)}) AS gram FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents))
-SELECT DISTINCT doc_id FROM g WHERE NOT ({OLD}) AND gram IN (SELECT gram FROM g WHERE {OLD})""")
+SELECT DISTINCT doc_id FROM g WHERE {BOTH}""")
 def j4(t, spark):
+    """Documents that share 32 words in a row with the other corpus."""
     grams = t("documents").select("doc_id", F.explode(tx.shingles(tx.word_tokens(F.col("text")), 32)).alias("gram"))
-    held = grams.where(OLD).select("gram").distinct()
-    return grams.where(~F.expr(OLD)).join(held, "gram", "left_semi").select("doc_id").distinct()
+    return each_side(grams, lambda a, b: a.join(b.select("gram").distinct(), "gram", "left_semi").select("doc_id").distinct())
 
 
 def word_ids(t):
@@ -144,29 +159,39 @@ def p9(t, spark):
     return rows.where(F.size("ids") <= 262_144).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
 
 
-@query("p10_span_fingerprints", None)
+#: distinct fingerprints of 13 token ids in a row, modulo 2^64; a product of two 64-bit numbers fits UHUGEINT
+MIX = "((xor({0}, {0} >> {1})::UHUGEINT * {2}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+POLY = "list_reduce(list_prepend(0::HUGEINT, list_transform(ids[i:i + 12], lambda x: x::HUGEINT)), lambda a, x: (a * 1000003 + x + 1) % 18446744073709551616::HUGEINT)::UBIGINT"
+SPANS = f"""ids AS (SELECT doc_id, list_transform({WORDS.format('text')}, lambda w: ('0x' || left(md5(w), 7))::BIGINT) AS ids FROM documents),
+s0 AS (SELECT doc_id, list_transform(range(1, len(ids) - 11), lambda i: {POLY}) AS h FROM ids), s1 AS (SELECT doc_id, list_transform(h, lambda x: {MIX.format("x", 30, hs.SPAN_MIX_A)}) AS h FROM s0),
+s2 AS (SELECT doc_id, list_transform(h, lambda x: {MIX.format("x", 27, hs.SPAN_MIX_B)}) AS h FROM s1), spans AS (SELECT doc_id, list_sort(list_distinct(list_transform(h, lambda x: xor(x, x >> 31)))) AS h FROM s2)"""
+
+
+@query("p10_span_fingerprints", f"WITH {SPANS} SELECT doc_id, len(h) AS n_spans, sha256(array_to_string(list_transform(h, lambda x: lpad(to_hex(x), 16, '0')), ',')) AS spans_sha256 FROM spans")
 def p10(t, spark):
-    """Spans of 13 token ids, hashed modulo 2^64: no SQL type wraps, so tests replay it."""
+    """Spans of 13 token ids, hashed modulo 2^64."""
     rows = word_ids(t).select("doc_id", hs.span_fingerprints(F.col("ids")).alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.sha2(F.array_join(F.transform("s", lambda x: F.lpad(F.hex(x), 16, "0")), ","), 256).alias("spans_sha256"))
 
 
-@query("p11_sampled_spans", None)
+@query("p11_sampled_spans", f"WITH {SPANS} SELECT doc_id, len(list_filter(h, lambda x: x % 1024 = 0)) AS n_sampled FROM spans")
 def p11(t, spark):
     return word_ids(t).select("doc_id", F.size(hs.span_fingerprints(F.col("ids"), 13, 1024)).cast("long").alias("n_sampled"))
 
 
-@query("j5_near_copies", None)
+@query("j5_near_copies", f"""WITH {SPANS}, e AS (SELECT doc_id, {OLD} AS old, unnest(list_filter(h, lambda x: x % 4 = 0)) AS span FROM spans), k AS (SELECT span, bool_or(old) AS in_old, bool_or(NOT old) AS in_new FROM e GROUP BY span),
+n AS (SELECT doc_id, count(*) AS sampled, count(*) FILTER (CASE WHEN old THEN in_new ELSE in_old END) AS found FROM e JOIN k USING (span) GROUP BY doc_id) SELECT *, found >= 2 AND 2 * found >= sampled AS near_copy FROM n""")
 def j5(t, spark):
-    rows = word_ids(t)
-    return co.near_copies(rows.where(~F.expr(OLD)), rows.where(OLD), "ids")
+    """Sampled spans that the other corpus holds."""
+    return each_side(word_ids(t), lambda a, b: co.near_copies(a, b, "ids"))
 
 
 @query("j6_span_hits", f"""WITH g AS (SELECT DISTINCT doc_id, unnest({GRAMS.format(13)}) AS gram FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents))
-SELECT doc_id, count(*) AS hits FROM g WHERE NOT ({OLD}) AND gram IN (SELECT gram FROM g WHERE {OLD}) GROUP BY doc_id""")
+SELECT doc_id, count(*) AS hits FROM g WHERE {BOTH} GROUP BY doc_id""")
 def j6(t, spark):
+    """How many of its distinct 13-grams the other corpus holds."""
     grams = t("documents").select("doc_id", F.explode(F.array_distinct(tx.shingles(tx.word_tokens(F.col("text")), 13))).alias("gram"))
-    return grams.where(~F.expr(OLD)).join(grams.where(OLD).select("gram").distinct(), "gram").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return each_side(grams, lambda a, b: a.join(b.select("gram").distinct(), "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits")))
 
 
 @query("f19_holdout", f"SELECT doc_id, ('0x' || substr(d, 1, 16))::UBIGINT % 1000 = 0 AS holdout_1000, ('0x' || substr(d, 1, 16))::UBIGINT % 10 = 0 AS holdout_10 FROM (SELECT doc_id, {DIGEST.format('text')} AS d FROM documents)")
@@ -255,8 +280,9 @@ def j20(t, spark):
     return co.near_pair_counts(sign_bits(t), "bits", 12)
 
 
-@query("j11_hamming_anti", f"WITH b AS (SELECT vec_id, {BITS} AS bits FROM embeddings) SELECT vec_id FROM b x WHERE vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM b y WHERE y.vec_id % 2 = 0 AND bit_count(xor(x.bits, y.bits)) <= 14)")
+@query("j11_hamming_anti", f"WITH b AS (SELECT vec_id, {BITS} AS bits FROM embeddings) SELECT vec_id FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.vec_id % 2 <> x.vec_id % 2 AND bit_count(xor(x.bits, y.bits)) <= 14)")
 def j11(t, spark):
-    """Rows farther than 14 bits from every row of the prior set."""
+    """Rows farther than 14 bits from every row of the other set: even ids and odd ones."""
     rows = sign_bits(t)
-    return co.far_rows(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0"), "bits", 14).select("vec_id")
+    even, odd = rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1")
+    return co.far_rows(odd, even, "bits", 14).select("vec_id").unionByName(co.far_rows(even, odd, "bits", 14).select("vec_id"))

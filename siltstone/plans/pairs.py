@@ -23,10 +23,12 @@ def h(*parts):
 H = lambda *p: "sha256('s1|' || " + " || '|' || ".join(p) + ")"
 
 
-@query("j7_dimension_lookup", "SELECT coalesce(p_brand, 'unmatched') AS brand, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) ON l_partkey = p_partkey GROUP BY 1")
+@query("j7_dimension_lookup", "SELECT coalesce(p_brand, 'unmatched') AS brand, count(*) AS n FROM lineitem LEFT JOIN part ON CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END = p_partkey GROUP BY 1")
 def j7(t, spark):
-    dim = co.small(t("part").where("p_partkey % 10 <> 0").select("p_partkey", "p_brand"))
-    return t("lineitem").join(dim, C("l_partkey") == C("p_partkey"), "left").groupBy(F.coalesce("p_brand", F.lit("unmatched")).alias("brand")).agg(F.count("*").alias("n"))
+    """The seventh lines of an order name a part that the dimension does not have."""
+    dim = co.small(t("part").select("p_partkey", "p_brand"))
+    fact = t("lineitem").select(F.when(C("l_linenumber") == 7, -C("l_partkey")).otherwise(C("l_partkey")).alias("p_partkey"))
+    return fact.join(dim, "p_partkey", "left").groupBy(F.coalesce("p_brand", F.lit("unmatched")).alias("brand")).agg(F.count("*").alias("n"))
 
 
 @query("j8_fact_metadata", "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -77,9 +79,12 @@ def j17(t, spark):
     return sa.pair_by_rank(side(0, "a_id"), side(1, "b_id"), ["cls"], h("a_id"), h("b_id"))
 
 
-@query("j18_greedy_match", None)
+@query("j18_greedy_match", """WITH RECURSIVE l AS (SELECT p_brand AS cls, p_partkey AS a, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part WHERE p_size % 2 = 0),
+r AS (SELECT p_brand AS cls, list(p_partkey) AS free FROM part WHERE p_size % 2 = 1 GROUP BY 1),
+m AS (SELECT cls, 0::BIGINT AS rn, NULL::BIGINT AS a_id, NULL::BIGINT AS b_id, free FROM r
+UNION ALL SELECT cls, rn, a, pick, list_filter(free, lambda x: x <> pick) FROM (SELECT m.cls, l.rn, l.a, m.free, string_split(list_min(list_transform(m.free, lambda x: sha256(l.a || '|' || x) || '|' || x)), '|')[2]::BIGINT AS pick FROM m JOIN l ON l.cls = m.cls AND l.rn = m.rn + 1 WHERE m.rn < 20 AND len(m.free) > 0))
+SELECT cls, a_id, b_id FROM m WHERE rn > 0""")
 def j18(t, spark):
-    """Sequential inside a class: no SQL; tests replay it."""
     side = lambda odd, name: t("part").where(C("p_size") % 2 == odd).select(C("p_brand").alias("cls"), C("p_partkey").alias(name))
     return sa.greedy_match(side(0, "a_id"), side(1, "b_id"), "cls", "a_id", "b_id", 20)
 
@@ -140,10 +145,16 @@ def a26(t, spark):
     return g.groupBy("l_linenumber").agg(F.count("*").alias("n"), mean((~C("stopped")).cast("int")).alias("pointed"), mean(F.when(~C("stopped"), (C("e") == 0).cast("int"))).alias("exact"), mean(F.when(C("stopped"), 14).otherwise(C("e"))).alias("mean_error"))
 
 
-@query("p27_patch_action", f"SELECT l_orderkey, l_linenumber, greatest(cx - 2, 0) AS left_cell, least(cx + 3, 14) AS right_cell, CASE WHEN dx - cx > 4 THEN 'stop' WHEN dy - cy > 2 THEN 'zoom' ELSE 'point' END AS action FROM {GRID}")
+@query("p27_patch_action", f"""WITH g AS (SELECT *, [px / 4, py / 4, l_linenumber / 2, 1.5]::DOUBLE[] AS logits, (l_orderkey % 10) / 10 AS gain FROM {GRID}), p AS (SELECT *, list_max(logits) AS top FROM g)
+SELECT l_orderkey, l_linenumber, round(greatest(cx / 14 - 1 / 14, 0), 9) AS x1, round(greatest(cy / 14 - 1 / 14, 0), 9) AS y1, round(least((cx + 1) / 14 + 1 / 14, 1), 9) AS x2, round(least((cy + 1) / 14 + 1 / 14, 1), 9) AS y2,
+CASE WHEN gain >= 0.3 AND 1 / list_sum(list_transform(logits, lambda x: exp(x - top))) >= 0.4 THEN list_position(logits, top)::INT - 1 ELSE 3 END AS action FROM p""")
 def p27(t, spark):
-    action = F.when(C("dx") - C("cx") > 4, "stop").when(C("dy") - C("cy") > 2, "zoom").otherwise("point")
-    return grid(t).select("l_orderkey", "l_linenumber", F.greatest(C("cx") - 2, F.lit(0)).alias("left_cell"), F.least(C("cx") + 3, F.lit(14)).alias("right_cell"), action.alias("action"))
+    """A patch's crop, and which of three patches a router would look at, if any."""
+    g = grid(t)
+    box = pr.crop_box(C("cy") * 14 + C("cx"), 14)
+    logits = F.array(C("px") / 4, C("py") / 4, C("l_linenumber") / 2, F.lit(1.5))
+    rows = g.select("l_orderkey", "l_linenumber", box.alias("b"), pr.evidence_action(logits, (C("l_orderkey") % 10) / 10, 0.3, 0.4).alias("action"))
+    return rows.select("l_orderkey", "l_linenumber", *(F.round(C("b")[k], 9).alias(k) for k in ("x1", "y1", "x2", "y2")), "action")
 
 
 @query("p28_scene_query", "SELECT p_partkey, (p_size * 7) % 10 < (p_size * 3) % 10 AS left_of, list_count(list_filter([p_size % 3, (p_size + 1) % 3, (p_size * 2) % 3], lambda x: x = 1)) AS ones, p_size % 3 = (p_size * 2) % 3 AS same FROM part")
@@ -258,9 +269,14 @@ def w8(t, spark):
     return sa.best_row(rows, ["l_orderkey"], F.struct(off, h("l_orderkey", "l_linenumber"))).select("l_orderkey", "l_linenumber")
 
 
-@query("w14_folds", None)
+@query("w14_folds", """WITH RECURSIVE st AS (SELECT p_brand AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1),
+rec AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS name, [0, 0, 0, 0, 0]::BIGINT[] AS loads, [0, 0, 0, 0, 0]::BIGINT[] AS caps
+UNION ALL SELECT k, name, list_transform(range(1, 6), lambda i: loads[i] + caps[i]), caps FROM (SELECT k, name, loads, list_transform(range(5), lambda f: n // 5 + list_contains(list_transform(light[1:(n % 5)], lambda x: right(x, 1)::BIGINT), f)::BIGINT) AS caps
+FROM (SELECT st.k, st.name, st.n, rec.loads, list_sort(list_transform(range(5), lambda f: lpad(rec.loads[f + 1]::VARCHAR, 18, '0') || sha256('7' || chr(31) || 'extra-fold' || chr(31) || st.name || chr(31) || f) || f)) AS light FROM rec JOIN st ON st.k = rec.k + 1))),
+s AS (SELECT name, f, caps[f + 1] AS cap, sum(caps[f + 1]) OVER (PARTITION BY name ORDER BY sha256('7' || chr(31) || 'slot-order' || chr(31) || name || chr(31) || f)) AS high FROM (SELECT name, caps, unnest(range(5)) AS f FROM rec WHERE k > 0)),
+p AS (SELECT p_partkey::VARCHAR AS pair_id, p_brand AS class_name, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('7' || chr(31) || 'pair-rank' || chr(31) || p_brand || chr(31) || p_partkey)) AS r FROM part)
+SELECT pair_id, class_name, f::INT AS fold FROM p JOIN s ON class_name = name AND r > high - cap AND r <= high""")
 def w14(t, spark):
-    """Fold loads are sequential over strata: no SQL; tests check balance and replay."""
     return sa.assign_folds(t("part").select(C("p_partkey").cast("string").alias("pair_id"), C("p_brand").alias("class_name")), "pair_id", "class_name", 5, 7)
 
 
@@ -310,16 +326,21 @@ def w21(t, spark):
     return t("lineitem").select("l_orderkey", "l_linenumber").join(whole, "l_orderkey", "left_semi")
 
 
-@query("w22_interleaved_heads", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(text), doc_id) AS rn FROM documents WHERE source IN ('src1', 'src2')) SELECT doc_id, source, (row_number() OVER (ORDER BY rn, source))::INT AS pos FROM r WHERE rn <= 40")
+@query("w22_interleaved_heads", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(text), doc_id) AS rn FROM documents) SELECT doc_id, source, (row_number() OVER (ORDER BY rn, source))::INT AS pos FROM r WHERE rn <= 40")
 def w22(t, spark):
-    rows = t("documents").where("source IN ('src1', 'src2')").select("doc_id", "source", F.sha2("text", 256).alias("x"))
+    """The first 40 of each source by hash, one source after the other."""
+    rows = t("documents").select("doc_id", "source", F.sha2("text", 256).alias("x"))
     heads = sa.stratified_first(rows, ["source"], [C("x"), C("doc_id")], 40)
     return heads.select("doc_id", "source", F.row_number().over(Window.orderBy("rank", "source")).alias("pos"))
 
 
-@query("s16_round_robin", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents WHERE source IN ('src1', 'src2', 'src3')) SELECT doc_id, source, (rn // CASE source WHEN 'src1' THEN 4 WHEN 'src2' THEN 2 ELSE 1 END) AS cycle, (CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 4 ELSE 6 END + rn % CASE source WHEN 'src1' THEN 4 WHEN 'src2' THEN 2 ELSE 1 END)::INT AS place FROM r")
+@query("s16_round_robin", """WITH s AS (SELECT source, (row_number() OVER (ORDER BY source) - 1) % 4 + 1 AS w FROM (SELECT DISTINCT source FROM documents)), o AS (SELECT *, sum(w) OVER (ORDER BY source) - w AS first FROM s),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents) SELECT doc_id, source, rn // w AS cycle, (first + rn % w)::INT AS place FROM r JOIN o USING (source)""")
 def s16(t, spark):
-    return sa.interleave(t("documents").select("doc_id", "source"), "source", C("doc_id"), {"src1": 4, "src2": 2, "src3": 1})
+    """All sources of the table, with weights of 1 to 4 in the order of their names."""
+    rows = t("documents").select("doc_id", "source")
+    names = sorted(r[0] for r in rows.select("source").distinct().collect() if r[0] is not None)
+    return sa.interleave(rows, "source", "doc_id", {n: i % 4 + 1 for i, n in enumerate(names)})
 
 
 @query("m1_quotas", "WITH w AS (SELECT lang, count(*) / sum(count(*)) OVER () AS share FROM documents GROUP BY lang), q AS (SELECT lang, floor(share * 96900)::BIGINT AS base, share * 96900 - floor(share * 96900) AS rest FROM w) SELECT lang, base + (row_number() OVER (ORDER BY rest DESC, lang) <= 96900 - sum(base) OVER ())::INT::BIGINT AS quota FROM q")
@@ -393,22 +414,20 @@ def m9(t, spark):
 @query("m10_group_shuffle", "SELECT conv_id, turn, (dense_rank() OVER (ORDER BY sha256('g|' || conv_id)))::INT AS place FROM conversations")
 def m10(t, spark):
     """Groups shuffled as a whole; rows keep their order inside."""
-    groups = t("conversations").select("conv_id").distinct()
-    placed = groups.withColumn("place", F.row_number().over(Window.orderBy(stable_hash(F.lit("g"), C("conv_id")))))
+    groups = t("conversations").select("conv_id").distinct().withColumn("x", stable_hash(F.lit("g"), C("conv_id")))
+    placed = co.prefix_sums(groups, "x", F.lit(1), "before").select("conv_id", (C("before") + 1).cast("int").alias("place"))
     return t("conversations").select("conv_id", "turn").join(placed, "conv_id")
 
 
-@query("u1_union", "SELECT pool, count(*) AS n FROM (SELECT 'a' AS pool, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'b', doc_id FROM documents WHERE doc_id % 3 = 0) GROUP BY pool")
+@query("u1_union", "SELECT pool, count(*) AS n FROM (SELECT 'documents' AS pool, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY pool")
 def u1(t, spark):
-    d = t("documents").select("doc_id")
-    a, b = d.where("doc_id % 2 = 0").withColumn("pool", F.lit("a")), d.where("doc_id % 3 = 0").withColumn("pool", F.lit("b"))
-    return a.unionByName(b).groupBy("pool").agg(F.count("*").alias("n"))
+    pools = [t(name).select(F.lit(name).alias("pool"), "text") for name in ("documents", "benchmark")]
+    return pools[0].unionByName(pools[1]).groupBy("pool").agg(F.count("*").alias("n"))
 
 
-@query("u2_set_union", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
+@query("u2_set_union", "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")
 def u2(t, spark):
-    d = t("documents").select("doc_id")
-    return d.where("doc_id % 2 = 0").union(d.where("doc_id % 3 = 0")).distinct()
+    return t("documents").select("doc_id").union(t("labels").select("doc_id")).distinct()
 
 
 @query("u3_set_equality", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) AS only_right")
@@ -428,14 +447,13 @@ def u5(t, spark):
     return t("documents").select(F.floor(C("n_chars") / 10).alias("v")).distinct().orderBy("v")
 
 
-@query("p21_difference_hash", "WITH g AS (SELECT vec_id, list_transform(range(72), lambda i: (vec_id * 31 + i * i * 17) % 251) AS px FROM embeddings) SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(56), lambda k: (px[k // 8 * 9 + k % 8 + 1] > px[k // 8 * 9 + k % 8 + 2])::INT::BIGINT)), lambda a, b: a * 2 + b) AS dhash FROM g")
+@query("p21_difference_hash", """WITH g AS (SELECT vec_id, list_transform(range(72), lambda i: (vec_id * 31 + i * i * 17) % 251) AS px FROM embeddings),
+b AS (SELECT vec_id, list_reduce(list_prepend(0::HUGEINT, list_transform(range(64), lambda k: (px[k // 8 * 9 + k % 8 + 1] > px[k // 8 * 9 + k % 8 + 2])::INT::HUGEINT)), lambda a, b: a * 2 + b) AS v FROM g)
+SELECT vec_id, (CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END)::BIGINT AS dhash FROM b""")
 def p21(t, spark):
-    """Gradient bits of a grid of 9 grey values a row; seven rows, so that the sign bit stays free. Decoding images is left out."""
+    """Gradient bits of 8 rows of 9 grey values, which are made up: decoding images is left out."""
     px = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (C("vec_id") * 31 + i * i * 17) % 251)
-    g = t("embeddings").select("vec_id", px.alias("px"))
-    at = lambda k, d: F.get(C("px"), (F.floor(k / 8) * 9 + k % 8 + d).cast("int"))
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(55)), F.lit(0).cast("long"), lambda a, k: a * 2 + (at(k, 0) > at(k, 1)).cast("long"))
-    return g.select("vec_id", bits.alias("dhash"))
+    return t("embeddings").select("vec_id", px.alias("px")).select("vec_id", pr.difference_hash(C("px")).alias("dhash"))
 
 
 @query("p23_pose_summary", """WITH k AS (SELECT vec_id, [embedding[1], embedding[2]] AS a, [embedding[3], embedding[4]] AS b, [embedding[5], embedding[6]] AS c FROM embeddings), v AS (SELECT vec_id, a[1] - b[1] AS ux, a[2] - b[2] AS uy, c[1] - b[1] AS wx, c[2] - b[2] AS wy FROM k)

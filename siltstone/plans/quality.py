@@ -100,14 +100,14 @@ def allowed_sql(host: str, hosts, suffixes) -> str:
 
 
 SPAN = lambda units: f"(list_sum(list_transform({units}, lambda x: length(x))) - list_sum(list_transform(list_distinct({units}), lambda x: length(x))))"
-BASE_SQL = f"""{PROSE_SQL},
-units AS (SELECT *, {host_sql("identifier")} AS host, list_filter(list_transform(string_split_regex(lower(text), '[\\n.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 60) AS u FROM prose),
+POLICY_SQL = f"""units AS (SELECT *, {host_sql("identifier")} AS host, list_filter(list_transform(string_split_regex(lower(text), '[\\n.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 60) AS u FROM prose),
 base AS (SELECT *, CASE WHEN source = 'math' AND NOT {allowed_sql("host", po.MATH_HOSTS, po.MATH_SUFFIXES)} THEN 'math_provenance_not_allowlisted'
 WHEN length(text) - length(replace(text, chr(65533), '')) > greatest(2, length(text) * 0.003) THEN 'replacement_character_noise'
 WHEN source <> 'code' AND (tokens < 128 OR len(regexp_extract_all(text, '[A-Za-z]+')) < 70) THEN 'short_or_low_prose'
 WHEN source <> 'code' AND regexp_matches(text, '{po.ESSAY_MILL}') THEN 'essay_homework_commercial'
 WHEN source = 'dclm' AND regexp_matches(text, '{po.PRESS_WIRE}') THEN 'press_release_wire'
 WHEN source IN ('web', 'dclm') AND coalesce({SPAN("u")}, 0) > 0.20 * length(text) THEN 'repeated_prose' END AS reason FROM units)"""
+BASE_SQL = f"{PROSE_SQL},\n{POLICY_SQL}"
 
 
 @query("f8_base_policy", f"WITH {BASE_SQL} SELECT doc_id, reason FROM base")
@@ -162,14 +162,11 @@ def page_url():
     return F.when(i % 9 == 0, F.concat(F.lit("https://en.wikipedia.org/category/"), i.cast("string"))).when(i % 5 == 0, F.concat(F.lit("https://www.nature.com./articles/"), i.cast("string"))).otherwise(C("url"))
 
 
-@query("f9_web_policy", f"""WITH p AS (SELECT page_id, {PAGE_URL} AS u, html FROM pages), h AS (SELECT *, {host_sql("u")} AS host, regexp_extract(u, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM p)
-SELECT page_id, CASE WHEN NOT {allowed_sql("host", po.WEB_HOSTS, po.WEB_SUFFIXES)} THEN 'web_provenance_not_allowlisted' WHEN regexp_matches(path, '{po.AGGREGATE_PATH}') THEN 'web_aggregate_url'
-WHEN len(regexp_extract_all(html, '[A-Za-z]+')) < 70 THEN 'short_or_low_prose' END AS reason FROM h""")
+@query("f9_web_policy", f"""WITH prose AS (SELECT page_id AS doc_id, 'web' AS source, {PAGE_URL} AS identifier, html AS text, len(regexp_extract_all(lower(html), '[a-z0-9]+')) AS tokens FROM pages), {POLICY_SQL}
+SELECT doc_id AS page_id, CASE WHEN NOT {allowed_sql("host", po.WEB_HOSTS, po.WEB_SUFFIXES)} THEN 'web_provenance_not_allowlisted' WHEN regexp_matches(regexp_extract(identifier, '^[a-z]+://[^/?#]+([^?#]*)', 1), '{po.AGGREGATE_PATH}') THEN 'web_aggregate_url' ELSE reason END AS reason FROM base""")
 def f9(t, spark):
-    """Pages whose text is long enough; the prose rule on repeats is left to f8."""
     rows = t("pages").select("page_id", page_url().alias("u"), "html")
-    reason = po.web_reason(C("u"), C("html"), F.lit(1000))
-    return rows.select("page_id", F.when(reason != "repeated_prose", reason).alias("reason"))
+    return rows.select("page_id", po.web_reason(C("u"), C("html"), F.size(tx.word_tokens(C("html")))).alias("reason"))
 
 
 @query("p12_url_host", f"SELECT page_id, {host_sql('url')} AS host FROM pages")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from siltstone.functions.scratch import scratch_path
+from siltstone.operators import sampling as sa
 from siltstone.plans.base import query
 from siltstone.sources import files
 from siltstone.streaming import ingest
@@ -112,14 +113,10 @@ def s7(t, spark):
     return back.groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("s7_interleaved_reader", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents WHERE source IN ('src1', 'src2')) SELECT doc_id, (row_number() OVER (ORDER BY rn // 32, source, rn))::INT AS pos FROM r")
+@query("s7_interleaved_reader", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents) SELECT doc_id, row_number() OVER (ORDER BY rn // 32, source, rn) - 1 AS pos FROM r")
 def s7b(t, spark):
     """Turns of 32 lines from each source."""
-    from pyspark.sql import Window
-
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = t("documents").where("source IN ('src1', 'src2')").select("doc_id", "source", rn.alias("rn"))
-    return rows.select("doc_id", F.row_number().over(Window.orderBy(F.floor(C("rn") / 32), "source", "rn")).alias("pos"))
+    return sa.take_turns(t("documents").select("doc_id", "source"), "source", "doc_id", 32, "pos").select("doc_id", "pos")
 
 
 @query("s11_blob_fetch", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE doc_id % 10 <> 3")
@@ -165,3 +162,68 @@ def t4(t, spark):
     path, out, mark = copied(t, spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "mark")
     seen = ingest.ingest_distinct(ingest.stream_files(spark, path, t("documents").schema), out, mark)
     return spark.createDataFrame([(sum(p["seen"] for p in seen), len(seen))], "seen long, batches int")
+
+
+@query("s2_admission", "SELECT * FROM (VALUES ('complete', 1), ('missing', 1), ('partial', 1), ('wrong_digest', 1), ('wrong_size', 1)) AS v(status, files)")
+def s2(t, spark):
+    """Four files against a list that is right about one of them and names a fifth."""
+    table = files.file_table(spark, copied(t, spark, "admission")).select("name", "length", "sha256")
+    rank = files.listing(table, "part-", 7).select("name", "length", "sha256", "rank")
+    length = C("length") + F.when(C("rank") == 2, 1).when(C("rank") == 3, -1).otherwise(0)
+    wrong = rank.select("name", length.alias("length"), F.when(C("rank") == 4, F.sha2("sha256", 256)).otherwise(C("sha256")).alias("sha256"))
+    expected = wrong.unionByName(spark.createDataFrame([("absent.parquet", 1, "")], "name string, length long, sha256 string"))
+    return files.admission(table, expected).groupBy("status").agg(F.count("*").cast("int").alias("files"))
+
+
+@query("s10_tar_scan", "SELECT doc_id || '.tar' AS name, 'texts/' || doc_id || '.txt' AS member, octet_length(encode(text))::BIGINT AS length, sha256(text) AS sha256 FROM documents")
+def s10(t, spark):
+    """An archive for each document and back."""
+
+    @F.pandas_udf("binary")
+    def archive(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        import io
+        import tarfile
+
+        def one(i, x):
+            out, data = io.BytesIO(), x.encode()
+            with tarfile.open(fileobj=out, mode="w") as tar:
+                info = tarfile.TarInfo(f"texts/{i}.txt")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+            return out.getvalue()
+
+        return pd.Series([one(i, x) for i, x in zip(ids, texts, strict=True)])
+
+    path = F.concat(F.lit("in/"), C("doc_id").cast("string"), F.lit(".tar"))
+    return files.tar_members(t("documents").where("text IS NOT NULL").select(path.alias("path"), archive("doc_id", "text").alias("content")))
+
+
+NAMES = ["model.safetensors", "sub/model.safetensors", "pytorch_model.bin", "pytorch_model-00001-of-00002.bin", "config.json", "README.md"]
+
+
+@query("s15_model_files", f"""WITH f AS (SELECT p_brand AS repo, p_partkey, {NAMES}[(p_partkey % 6 + p_size % 2) % 6 + 1] AS name FROM part), k AS (SELECT *, CASE WHEN contains(name, '/') THEN -1 WHEN name LIKE '%.safetensors' THEN 2 WHEN name LIKE 'pytorch_model%.bin' THEN 1 WHEN name = 'config.json' THEN 0 ELSE -1 END AS kind FROM f),
+b AS (SELECT repo, max(kind) AS best FROM k GROUP BY repo) SELECT repo, p_partkey, name FROM k JOIN b USING (repo) WHERE best > 0 AND kind IN (0, best)""")
+def s15(t, spark):
+    """Brands stand in for repositories and parts for their files; the crawl itself needs a network."""
+    i = ((C("p_partkey") % 6 + C("p_size") % 2) % 6).cast("int")
+    listing = t("part").select(C("p_brand").alias("repo"), "p_partkey", F.get(F.array(*map(F.lit, NAMES)), i).alias("name"))
+    return files.model_files(listing, "repo", "name")
+
+
+@query("t3_stop_and_resume", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS docs FROM documents")
+def t3(t, spark):
+    """Stopped after two micro-batches, then run to the end over the same checkpoint: each row is there once."""
+    path, out, mark = copied(t, spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "mark")
+    source = ingest.stream_files(spark, path, t("documents").schema)
+    ingest.ingest_some(source, out, mark, 2)
+    ingest.ingest(source, out, mark)
+    return spark.read.parquet(out).agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("t5_fixed_batches", "SELECT count(*) AS seen, 0 AS too_large FROM documents")
+def t5(t, spark):
+    """Micro-batches of at most 1024 documents: files of that size, one a batch."""
+    path, out, mark = scratch_path(spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "mark")
+    t("documents").repartitionByRange(4, "doc_id").write.option("maxRecordsPerFile", 1024).parquet(path)
+    seen = [p["seen"] for p in ingest.ingest_distinct(ingest.stream_files(spark, path, t("documents").schema), out, mark)]
+    return spark.createDataFrame([(sum(seen), sum(n > 1024 for n in seen))], "seen long, too_large int")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.scratch import fresh, stored
+
 
 def file_table(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """path, length, sha256 of every file below path, found recursively."""
@@ -30,11 +32,102 @@ def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
     return rows
 
 
+def arrow_file(path: str):
+    """(file system, path in it) as pyarrow opens them; raises where it has no such file system."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """path, number, first, rows of every row group below path, from the footers alone."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                system, name = arrow_file(file)
+                meta = pq.read_metadata(name, filesystem=system)
+                rows = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+                yield pa.RecordBatch.from_pydict(
+                    {"path": [file] * len(rows), "number": range(len(rows)), "first": [sum(rows[:i]) for i in range(len(rows))], "rows": rows},
+                    pa.schema([("path", pa.string()), ("number", pa.int32()), ("first", pa.int64()), ("rows", pa.int64())]),
+                )
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select("path").mapInArrow(run, "path string, number int, first long, rows long")
+
+
 def rows_after(spark: SparkSession, path: str, cursor: int) -> DataFrame:
-    """Rows of Parquet files from the cursor on, by their place in each file. The scan still reads the row groups before it:
-    Spark pushes no filter on a row's place."""
-    df = spark.read.parquet(path)
-    return df.select("*", F.col("_metadata.row_index").alias("row_index")).where(F.col("row_index") >= cursor)
+    """Rows of Parquet files from the cursor on, by their place in each file, and row_index. Row groups that end before the
+    cursor are not read, and each of the others is a task's work. Where pyarrow cannot open the file system, which only
+    Spark's readers can then, all are read and a filter drops the rows. Columns from folder names are not given."""
+    import pyarrow as pa
+
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    try:
+        arrow_file(df.select("_metadata.file_path").limit(1).first()[0] if df.limit(1).count() else "/")
+    except (OSError, ValueError, pa.ArrowException):
+        return df.select("*", F.col("_metadata.row_index").alias("row_index")).where(F.col("row_index") >= cursor)
+    schema = T.StructType([*df.schema.fields, T.StructField("row_index", T.LongType())])
+    groups = stored(row_groups(spark, path).where(F.col("first") + F.col("rows") > cursor), "groups")
+
+    def run(batches):
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(schema)
+        for batch in batches:
+            for g in batch.to_pylist():
+                system, name = arrow_file(g["path"])
+                at = g["first"]
+                with system.open_input_file(name) as file:
+                    for part in pq.ParquetFile(file).iter_batches(1024, row_groups=[g["number"]], columns=want.names[:-1]):
+                        here, at = at, at + part.num_rows
+                        if at > cursor:
+                            skip = max(cursor - here, 0)
+                            table = pa.Table.from_batches([part.slice(skip)]).append_column("row_index", pa.array(range(here + skip, at), pa.int64()))
+                            yield from table.select(want.names).cast(want).to_batches()
+
+    dealt = groups.repartition(max(groups.count(), 1), "path", "number").select("path", "number", "first")
+    return dealt.mapInArrow(run, schema)
+
+
+def admission(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """name and status of each expected file (name, length, sha256): complete; partial, where it is shorter and the
+    download would go on from there; wrong_size; wrong_digest; missing. Files that nobody expects are left out."""
+    got = files.select("name", F.col("length").alias("have"), F.col("sha256").alias("digest"))
+    status = (
+        F.when(F.col("have").isNull(), "missing")
+        .when(F.col("have") < F.col("length"), "partial")
+        .when(F.col("have") > F.col("length"), "wrong_size")
+        .when(F.col("digest") != F.col("sha256"), "wrong_digest")
+        .otherwise("complete")
+    )
+    return expected.join(got, "name", "left").select("name", status.alias("status"))
+
+
+#: Files that come with a model's weights.
+MODEL_METADATA = [
+    "config.json", "generation_config.json", "tokenizer.json", "tokenizer_config.json", "special_tokens_map.json", "added_tokens.json",
+    "vocab.json", "merges.txt", "tokenizer.model", "model.safetensors.index.json", "pytorch_model.bin.index.json",
+]
+
+
+def model_files(files: DataFrame, repo: str, name: str) -> DataFrame:
+    """Of each repository's listing the files to load, those at its root: safetensors weights, or PyTorch's where there are
+    none, and metadata. A repository without weights gives no rows."""
+    c = F.col(name)
+    kind = F.when(c.endswith(".safetensors"), 2).when(c.rlike(r"^pytorch_model(-\d+-of-\d+)?\.bin$"), 1).when(c.isin(MODEL_METADATA), 0)
+    k, best = fresh(files.columns, "kind", "best")
+    rows = files.where(~c.contains("/")).withColumn(k, kind).where(F.col(k).isNotNull())
+    rows = rows.withColumn(best, F.max(k).over(Window.partitionBy(repo)))
+    return rows.where((F.col(best) > 0) & F.col(k).isin(0, F.col(best))).select(*files.columns)
 
 
 def upsert_ledger(ledger: DataFrame, updates: DataFrame, key: list[str], version: str) -> DataFrame:

@@ -20,6 +20,25 @@ def ingest(source: DataFrame, target: str, checkpoint: str) -> int:
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
+def ingest_some(source: DataFrame, target: str, checkpoint: str, batches: int) -> int:
+    """As ingest, but asked to stop once `batches` micro-batches are committed or nothing is new. What was under way at the
+    stop is not committed, and the next run over the checkpoint takes it up. Micro-batches seen."""
+    import time
+
+    query = source.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).start()
+    try:
+        while True:
+            done = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+            idle = query.recentProgress and not query.status["isDataAvailable"] and not query.status["isTriggerActive"]
+            if query.exception():
+                raise query.exception()
+            if done >= batches or idle:
+                return done
+            time.sleep(0.05)
+    finally:
+        query.stop()
+
+
 def ingest_distinct(source: DataFrame, target: str, checkpoint: str, key: str = "text", order: str = "doc_id") -> list[dict]:
     """As ingest, but only texts not seen before: each micro-batch keeps the first row of each digest and anti-joins
     the digests already written. The accepted table is the only state, so a repeated batch is harmless: batches write

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import hashing as hs
 from siltstone.functions import text as tx
 from siltstone.operators import corpus as co
+from siltstone.operators import pairs as pr
 from siltstone.operators import policies as po
 from siltstone.operators import sampling as sa
 from siltstone.operators import stats as st
@@ -283,6 +284,84 @@ def test_row_resume(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.range(1000).coalesce(1).write.option("parquet.block.size", 1024).parquet(path)
     assert sorted(r["id"] for r in files.rows_after(spark, path, 637).collect()) == list(range(637, 1000))
+    groups = files.row_groups(spark, path).collect()
+    assert sum(r["rows"] for r in groups) == 1000
+    if len(groups) > 1:
+        assert files.rows_after(spark, path, 637).rdd.getNumPartitions() == sum(r["first"] + r["rows"] > 637 for r in groups)
+    assert files.rows_after(spark, path, 1000).count() == 0
+
+
+def test_row_groups_before_the_cursor_are_not_read(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "p").mkdir()
+    for k in range(2):
+        pq.write_table(pa.table({"a": [None if i % 7 == 0 else f"x{i}" for i in range(1000)], "i": range(1000)}), tmp_path / "p" / f"{k}.parquet", row_group_size=100)
+    got = files.rows_after(spark, str(tmp_path / "p"), 637)
+    assert got.rdd.getNumPartitions() == 8
+    want = [(None if i % 7 == 0 else f"x{i}", i, i) for i in range(637, 1000)] * 2
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
+def test_admission(spark):
+    schema = "name string, length long, sha256 string"
+    have = spark.createDataFrame([("a", 3, "x"), ("b", 2, "x"), ("c", 4, "x"), ("d", 3, "y"), ("f", 1, "z")], schema)
+    want = spark.createDataFrame([(n, 3, "x") for n in "abcde"], schema)
+    got = {r["name"]: r["status"] for r in files.admission(have, want).collect()}
+    assert got == {"a": "complete", "b": "partial", "c": "wrong_size", "d": "wrong_digest", "e": "missing"}
+
+
+def test_stop_between_batches(spark, tmp_path):
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    spark.range(60).repartition(6).write.parquet(path)
+    source = ingest.stream_files(spark, path, spark.range(1).schema)
+    assert ingest.ingest_some(source, out, mark, 2) >= 2
+    ingest.ingest(source, out, mark)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(60))
+    assert ingest.ingest_some(source, out, mark, 2) == 0
+
+
+def test_places_and_turns(spark):
+    rows = [(s, i % 5) for i in range(40) for s in ("a", "b", None)] + [("c", 1)]
+    df = spark.createDataFrame(rows, "s string, o int")
+    got = co.places(df, "s", "o", "place").collect()
+    for s in ("a", "b", "c", None):
+        own = sorted((r["place"], r["o"]) for r in got if r["s"] == s)
+        assert [p for p, _ in own] == list(range(len(own))) and [o for _, o in own] == sorted(o for _, o in own)
+    turns = sorted((r["pos"], r["s"]) for r in sa.take_turns(df.where("s IS NOT NULL"), "s", "o", 16, "pos").collect())
+    assert [s for _, s in turns] == ["a"] * 16 + ["b"] * 16 + ["c"] + (["a"] * 16 + ["b"] * 16) + ["a"] * 8 + ["b"] * 8
+    assert [p for p, _ in turns] == list(range(81))
+    assert co.places(df.limit(0), "s", "o", "place").count() == 0
+
+
+def test_audit_of_no_rows_and_of_the_first_ones(spark):
+    df = spark.createDataFrame([(i, ("word " * 50 + str(i // 2)) if i != 3 else None, "en" if i != 5 else None) for i in range(9)], "i long, text string, lang string")
+    run = lambda d, **k: co.corpus_audit(d, "i", "text", F.lit("http://X.org/a"), F.col("lang"), F.lit(0.95), F.lit(None), **k).first()
+    got = run(df, limit=4)
+    assert (got["docs"], got["rows_scanned"], got["language_rejected"], got["duplicates"], got["domains"], got["top_domain_share"]) == (4, 5, 0, 1, 1, 1.0)
+    got = run(df)
+    assert (got["docs"], got["rows_scanned"], got["language_rejected"], got["score_median"]) == (7, 9, 1, 0.0)
+    none = run(df.where("i < 0"))
+    assert (none["docs"], none["rows_scanned"], none["p95_chars"], none["top_domain_share"]) == (0, 0, None, None)
+
+
+def test_crops_actions_and_gradient_bits(spark):
+    df = spark.createDataFrame([(0,), (5,), (15,), (16,), (None,)], "p int")
+    got = [r["b"] and tuple(round(x, 6) for x in r["b"]) for r in df.select(pr.crop_box(F.col("p"), 4, 0.5).alias("b")).collect()]
+    assert got == [(0.0, 0.0, 0.375, 0.375), (0.125, 0.125, 0.625, 0.625), (0.625, 0.625, 1.0, 1.0), None, None]
+    rows = [([5.0, 1.0, 0.0], 1.0), ([5.0, 1.0, 0.0], 0.1), ([1.0, 1.0, 1.0], 1.0), ([0.0, 0.0, 9.0], 1.0), ([0.0, 9.0, 0.0], None)]
+    acts = spark.createDataFrame(rows, "l array<double>, g double").select(pr.evidence_action(F.col("l"), F.col("g"), 0.5, 0.6).alias("a")).collect()
+    assert [r["a"] for r in acts] == [0, 2, 2, 2, 2]
+    grey = spark.createDataFrame([([9 - i for i in range(9)] * 8,), (list(range(9)) * 8,)], "px array<int>")
+    assert [r["h"] for r in grey.select(pr.difference_hash(F.col("px")).alias("h")).collect()] == [-1, 0]
+
+
+def test_model_files(spark):
+    names = {"a": ["x.safetensors", "pytorch_model.bin", "config.json", "sub/y.safetensors", "notes"], "b": ["pytorch_model-1-of-2.bin", "merges.txt"], "c": ["config.json"]}
+    df = spark.createDataFrame([(r, n) for r, ns in names.items() for n in ns], "repo string, name string")
+    got = sorted(map(tuple, files.model_files(df, "repo", "name").collect()))
+    assert got == [("a", "config.json"), ("a", "x.safetensors"), ("b", "merges.txt"), ("b", "pytorch_model-1-of-2.bin")]
 
 
 def test_csv_map_rejects_repeats(spark, tmp_path):
@@ -343,16 +422,12 @@ def test_bpe_encode(spark):
 
 
 def test_string_leaves_of_any_schema(spark):
-    from siltstone.operators import pairs as pr
-
     df = spark.sql("SELECT named_struct('a', 'x', 'n', 1, 'l', array(named_struct('b', 'y', 'm', map('k', array('z', NULL)))), 'e', CAST(NULL AS STRING)) AS v UNION ALL SELECT NULL")
     got = [r[0] for r in df.select(pr.string_leaves(F.col("v"), df.schema["v"].dataType).alias("s")).collect()]
     assert sorted(got, key=len) == [[], ["x", "y", "z"]]
 
 
 def test_deranged_donors(spark):
-    from siltstone.operators import pairs as pr
-
     rows = [("a", i, i // 3, i) for i in range(9)] + [("b", i, i, i // 2) for i in range(5)] + [(None, i, i, i) for i in range(2)]
     df = spark.createDataFrame(rows, "s string, i long, cluster long, image long")
     got = {(r["s"], r["i"]): r["donor"] for r in pr.deranged_donors(df, ["s"], "i", "cluster", "image").collect()}
@@ -362,8 +437,6 @@ def test_deranged_donors(spark):
 
 
 def test_metadata_reasons_in_order(spark):
-    from siltstone.operators import pairs as pr
-
     rows = [
         ("validation", "l", "a", "u", "0", "t", "wrong_subset"), (None, "l", "a", "u", "0", "t", "wrong_subset"), ("train", "m", "a", "u", "0", "t", "license_rejection"),
         ("train", "l", None, "u", "x", "t", "missing_attribution"), ("train", "l", "a", "", "0", "t", "missing_attribution"), ("train", "l", "a", "u", "x", "t", "invalid_rotation"),
