@@ -134,11 +134,12 @@ def near_copies(docs: DataFrame, old: DataFrame, ids: str, doc_id: str = "doc_id
     return got.withColumn("near_copy", (F.col("found") >= least) & (2 * F.col("found") >= F.col("sampled")))
 
 
-def near_values(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
-    """u, w, d: distinct 64-bit values u of left.v and w of right.v that differ in d <= radius bits.
+def near_blocks(left: DataFrame, right: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """u, block, part of the distinct 64-bit values u of left.v and w, block, part of those of right.v.
 
-    The 64 bits are cut into radius // 3 + 1 blocks, so a pair agrees in some block but for two bits at most: left values
-    ask for every neighbour of that kind of each of their blocks, right values stand under their blocks."""
+    The 64 bits are cut into radius // 3 + 1 blocks, so a pair within the radius agrees in some block but for two bits at
+    most: left values ask for every neighbour of that kind of each of their blocks, right values stand under their blocks.
+    Spark takes neither side for longer than the values it comes from, so a join of them says that it is none to broadcast."""
     blocks = radius // 3 + 1
     reach = radius // blocks
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -153,6 +154,12 @@ def near_values(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
         stands.append(F.struct(F.lit(i).alias("block"), part(masks[i]).alias("part")))
     ask = left.select("v").distinct().select(F.col("v").alias("u"), F.explode(F.concat(*asked)).alias("k")).select("u", "k.block", "k.part")
     stand = right.select("v").distinct().select(F.col("v").alias("w"), F.explode(F.array(*stands)).alias("k")).select("w", "k.block", "k.part")
+    return ask.hint("merge"), stand.hint("merge")
+
+
+def near_values(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """u, w, d: distinct 64-bit values u of left.v and w of right.v that differ in d <= radius bits."""
+    ask, stand = near_blocks(left, right, radius)
     d = F.bit_count(F.col("u").bitwiseXOR(F.col("w"))).cast("long")
     return ask.join(stand, ["block", "part"]).where(d <= radius).select("u", "w").distinct().withColumn("d", d)
 
@@ -176,7 +183,9 @@ def near_pair_counts(df: DataFrame, bits: str, radius: int) -> DataFrame:
 
 def far_rows(df: DataFrame, prior: DataFrame, bits: str, radius: int) -> DataFrame:
     """Rows of df that differ in more than radius bits from every row of prior."""
-    near = near_values(df.select(F.col(bits).alias("v")), prior.select(F.col(bits).alias("v")), radius).select(F.col("u").alias(bits)).distinct()
+    ask, stand = near_blocks(df.select(F.col(bits).alias("v")), prior.select(F.col(bits).alias("v")), radius)
+    on = (ask["block"] == stand["block"]) & (ask["part"] == stand["part"]) & (F.bit_count(F.col("u").bitwiseXOR(F.col("w"))) <= radius)
+    near = ask.join(stand, on, "left_semi").select(F.col("u").alias(bits)).distinct()
     return df.join(near, bits, "left_anti")
 
 

@@ -421,6 +421,15 @@ def test_bpe_encode(spark):
     assert col(spark, values, lambda c: bpe_encode(c, path)) == want
 
 
+def test_near_values_broadcast_no_expanded_side(spark):
+    """A value stands for some hundred keys, which Spark's estimate does not see."""
+    df = spark.range(40).select(F.col("id").alias("k"), F.xxhash64("id").alias("v"))
+    for found in (co.near_values(df, df, 14), co.far_rows(df.where("k >= 9"), df.where("k < 9"), "v", 14)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        join = next(x for x in plan.splitlines() if "Join" in x and "part#" in x)
+        assert "SortMergeJoin" in join, plan
+
+
 def test_string_leaves_of_any_schema(spark):
     df = spark.sql("SELECT named_struct('a', 'x', 'n', 1, 'l', array(named_struct('b', 'y', 'm', map('k', array('z', NULL)))), 'e', CAST(NULL AS STRING)) AS v UNION ALL SELECT NULL")
     got = [r[0] for r in df.select(pr.string_leaves(F.col("v"), df.schema["v"].dataType).alias("s")).collect()]
