@@ -421,6 +421,42 @@ def test_bpe_encode(spark):
     assert col(spark, values, lambda c: bpe_encode(c, path)) == want
 
 
+def test_bpe_encode_by_slices(spark):
+    """Ids do not depend on the slices, no slice holds more than its bound, and a filter on the ids does not encode twice."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from siltstone.functions.tokens import bpe_encode, text_slices
+
+    texts = ["x" * 5, None, "", "y" * 12, "z", "é" * 9]
+    assert list(text_slices(texts, 10)) == [texts[:3], texts[3:4], texts[4:]]
+    assert list(text_slices([], 10)) == []
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    values = [f"word{i} of " * (20_000 if i % 3 else 1) for i in range(7)] + [None, ""]
+    df = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).select(bpe_encode(F.col("v"), path).alias("ids")).where(F.size("ids") >= 1)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = [model.encode(v, add_special_tokens=False).ids + [0] for v in values if v is not None]
+    assert sorted(r["ids"] for r in df.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_kept_words_change_no_ids(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from siltstone.functions.tokens import Words
+
+    path = public_tokenizers.path(name)
+    model, words = Tokenizer.from_file(path), Words(path)
+    added = [t.content for t in model.get_added_tokens_decoder().values()][:3]
+    space = "a  b\u00a0 c \u3000d\x1c e\x85 f\t g \n h  "
+    texts = ["", " ", " x", "x ", "it's we'll  don 't", space, "1 2 33,4 ... !? é ñ\u0301 \u6f22\u5b57 \U0001f600 x", *(f"a {t} b{t}c" for t in added)]
+    texts += ["".join(np.random.default_rng(k).choice(list(" \n\ta'b1.é\x1c\u00a0s"), 60)) for k in range(200)]
+    for _ in range(2):
+        assert [x.tolist() for x in words.encode(texts)] == [model.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_near_values_broadcast_no_expanded_side(spark):
     """A value stands for some hundred keys, which Spark's estimate does not see."""
     df = spark.range(40).select(F.col("id").alias("k"), F.xxhash64("id").alias("v"))
