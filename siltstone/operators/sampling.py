@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import stable_hash
 from siltstone.functions.scratch import fresh
+from siltstone.functions.shipping import ship
 from siltstone.operators.corpus import places, prefix_sums, small
 
 
@@ -50,6 +54,49 @@ def pair_by_rank(left: DataFrame, right: DataFrame, on: list[str], order_left: C
     return a.join(b, [*on, "rn"])
 
 
+#: Keys and pool rows that meet in one row of a task.
+POOL_KEYS, POOL_ROWS = 512, 4096
+
+
+def least_of_pool(rows: DataFrame, pool: DataFrame, key: str, group: str, pool_id: str, pool_group: str, seed: str) -> DataFrame:
+    """key, pool_id: for each key the pool's row of the same group for which the stable hash of seed, key and id is least.
+
+    Every pair is hashed, but no pair is ever a row: pieces of a group's keys meet pieces of its pool as arrays, dealt evenly
+    whatever the groups' sizes, and each piece gives one row per key."""
+
+    def pieces(df: DataFrame, value: str, by: str, most: int, n: str, values: str, texts: str) -> DataFrame:
+        largest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 1
+        cut = F.pmod(F.xxhash64(value), F.lit(-(-largest // most)))
+        each = F.struct(F.col(value).alias("v"), F.col(value).cast("string").alias("t"))
+        some = df.groupBy(F.col(by).alias("g"), cut.alias(n)).agg(F.collect_list(each).alias("s"))
+        return some.select("g", n, F.col("s.v").alias(values), F.col("s.t").alias(texts))
+
+    ship(rows.sparkSession)
+    tasks = 8 * rows.sparkSession.sparkContext.defaultParallelism
+    met = pieces(rows, key, group, POOL_KEYS, "a", "keys", "heads").join(pieces(pool, pool_id, pool_group, POOL_ROWS, "b", "ids", "tails"), "g")
+    kinds = (rows.schema[key].dataType.simpleString(), pool.schema[pool_id].dataType.simpleString())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        start = seed.encode()
+        for whole in batches:
+            for r in range(whole.num_rows):
+                keys, ids, heads, tails = (whole.column(c)[r] for c in ("keys", "ids", "heads", "tails"))
+                ends = [b"" if x is None else b"|" + x.encode() for x in tails.as_py()]
+                best = []
+                for x in heads.as_py():
+                    head = start if x is None else start + b"|" + x.encode()
+                    hashes = [sha256(head + end).digest() for end in ends]
+                    least = min(hashes)
+                    best.append((hashes.index(least), least))
+                at = pa.array([j for j, _ in best], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys.values, ids.values.take(at), pa.array([h for _, h in best], pa.binary())], names=["k", "i", "h"])
+
+    found = met.select("keys", "ids", "heads", "tails", "g", "a", "b").repartition(tasks, "g", "a", "b").drop("g", "a", "b").mapInArrow(run, f"k {kinds[0]}, i {kinds[1]}, h binary")
+    return found.groupBy(F.col("k").alias(key)).agg(F.min_by("i", "h").alias(pool_id))
+
+
 def fold_slots(sizes: list[tuple[str, int]], folds: int, seed: int) -> list[tuple[str, int, int, int]]:
     """(stratum, fold, first rank, last rank): equal shares per stratum; strata in falling size give remainders to the
     lightest folds. Work and result grow with strata and folds, not with rows."""

@@ -92,9 +92,8 @@ def j18(t, spark):
 @query("j19_control", f"WITH x AS (SELECT c.c_custkey, s.s_suppkey, row_number() OVER (PARTITION BY c.c_custkey ORDER BY {H('c.c_custkey', 's.s_suppkey')}) AS r FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE s.s_suppkey % 7 <> 0) SELECT c_custkey, s_suppkey FROM x WHERE r = 1")
 def j19(t, spark):
     """The row of least hash from the pool of the same class, excluded ids left out."""
-    pool = t("supplier").where("s_suppkey % 7 <> 0").select("s_suppkey", C("s_nationkey").alias("c_nationkey"))
-    rows = t("customer").select("c_custkey", "c_nationkey").join(pool, "c_nationkey")
-    return rows.groupBy("c_custkey").agg(F.min_by("s_suppkey", h("c_custkey", "s_suppkey")).alias("s_suppkey"))
+    pool = t("supplier").where("s_suppkey % 7 <> 0").select("s_suppkey", "s_nationkey")
+    return sa.least_of_pool(t("customer").select("c_custkey", "c_nationkey"), pool, "c_custkey", "c_nationkey", "s_suppkey", "s_nationkey", "s1")
 
 
 BOX = "(SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 2 AS x1, least(l_discount * 2 + l_tax * 5 + 0.01, 1.2) AS x2, l_tax * 4 AS y1, l_tax * 4 + l_quantity / 100 AS y2 FROM lineitem)"

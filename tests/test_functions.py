@@ -466,6 +466,28 @@ def test_near_values_broadcast_no_expanded_side(spark):
         assert "SortMergeJoin" in join, plan
 
 
+def test_least_of_pool(spark, monkeypatch):
+    """Against all pairs: groups of unequal size, more rows than a piece holds, a key in two groups, null keys and groups."""
+    from hashlib import sha256
+
+    monkeypatch.setattr(sa, "POOL_KEYS", 7)
+    monkeypatch.setattr(sa, "POOL_ROWS", 11)
+    left = [(i, "a" if i % 10 else "b") for i in range(60)] + [(5, "b"), (None, "a"), (61, None), (62, "none")]
+    right = [(i, "a" if i % 4 else "b") for i in range(90)] + [(91, None)]
+    rows = spark.createDataFrame(left, "c long, g string")
+    pool = spark.createDataFrame(right, "s int, h string")
+    want: dict = {}
+    for c, g in left:
+        for s, h in right:
+            if g is not None and g == h:
+                text = "|".join(["s1", *(str(x) for x in (c, s) if x is not None)])
+                want[c] = min(want.get(c, ("z", 0)), (sha256(text.encode()).hexdigest(), s))
+    got = sa.least_of_pool(rows, pool, "c", "g", "s", "h", "s1")
+    assert got.schema.simpleString() == "struct<c:bigint,s:int>"
+    assert {r["c"]: r["s"] for r in got.collect()} == {c: s for c, (_, s) in want.items()}
+    assert sa.least_of_pool(rows.limit(0), pool, "c", "g", "s", "h", "s1").count() == 0
+
+
 def test_string_leaves_of_any_schema(spark):
     df = spark.sql("SELECT named_struct('a', 'x', 'n', 1, 'l', array(named_struct('b', 'y', 'm', map('k', array('z', NULL)))), 'e', CAST(NULL AS STRING)) AS v UNION ALL SELECT NULL")
     got = [r[0] for r in df.select(pr.string_leaves(F.col("v"), df.schema["v"].dataType).alias("s")).collect()]
