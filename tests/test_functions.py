@@ -409,6 +409,25 @@ def test_stream_dedup_across_restarts(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [1, 4]
 
 
+def test_older_digests_come_from_few_folders(spark, tmp_path, monkeypatch):
+    """First rows over many batches and a restart, with merged digests; a batch reads few folders; repeating one is harmless."""
+    monkeypatch.setattr(ingest, "MERGE", 3)
+    src, out, mark, schema = (*(str(tmp_path / x) for x in ("in", "out", "mark")), "doc_id long, text string")
+    texts = [f"t{i * i % 7}" for i in range(23)]
+
+    def run(ids):
+        for i in ids:
+            spark.createDataFrame([(i, texts[i])], schema).coalesce(1).write.mode("append").parquet(src)
+        return ingest.ingest_distinct(ingest.stream_files(spark, src, spark.createDataFrame([], schema).schema), out, mark)
+
+    first, second = run(range(12)), run(range(12, 23))
+    assert [p["seen"] for p in first + second] == [1] * 23
+    assert sum(p["accepted"] for p in first + second) == len(set(texts))
+    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == sorted(set(texts))
+    old = ingest._older(spark, out, 22)
+    assert len(old.inputFiles()) <= 2 * 3 and {r["digest"] for r in old.collect()} == {sha256(x.encode()).hexdigest() for x in texts[:22]}
+
+
 def test_bpe_encode(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
