@@ -140,8 +140,7 @@ BOTH = f"gram IN (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT {OLD})
 SELECT DISTINCT doc_id FROM g WHERE {BOTH}""")
 def j4(t, spark):
     """Documents that share 32 words in a row with the other corpus."""
-    grams = t("documents").select("doc_id", F.explode(tx.shingles(tx.word_tokens(F.col("text")), 32)).alias("gram"))
-    return each_side(grams, lambda a, b: a.join(b.select("gram").distinct(), "gram", "left_semi").select("doc_id").distinct())
+    return co.shared_spans(t("documents").withColumn("old", F.expr(OLD)), "old")
 
 
 def word_ids(t):

@@ -409,6 +409,19 @@ def test_stream_dedup_across_restarts(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [1, 4]
 
 
+def test_shared_spans(spark):
+    """Against all spans: shared at the ends, one word short, in another order, on one side only, texts too short or missing."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    a, b, rep = word(32), word(31), ["x"] * 50
+    texts = [word(9) + a + word(3), a, word(40) + a, word(5) + b + word(5), b + word(30), a[::-1], rep, rep[:31], rep[:33], word(200), [], a[:31]]
+    rows = [(k, k % 3 == 0, None if k == 10 else ", ".join(x).upper()) for k, x in enumerate(texts)]
+    grams = {k: {tuple(x[i : i + 32]) for i in range(len(x) - 31)} for k, x in enumerate(texts)}
+    want = {k for k, old, _ in rows if any(grams[k] & grams[j] for j, other, _ in rows if other != old)}
+    got = [r[0] for r in co.shared_spans(spark.createDataFrame(rows, "doc_id long, old boolean, text string"), "old").collect()]
+    assert sorted(got) == sorted(want) and {0, 1, 2, 6, 8} == want
+
+
 def test_older_digests_come_from_few_folders(spark, tmp_path, monkeypatch):
     """First rows over many batches and a restart, with merged digests; a batch reads few folders; repeating one is harmless."""
     monkeypatch.setattr(ingest, "MERGE", 3)
