@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             yield batch.slice(start)
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each length in turn."""
+    out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out += np.arange(len(out), dtype=np.int64)
+    return out
+
+
 def release() -> None:
     """Give memory that a task no longer uses back to the system; workers live on between tasks beside the JVM."""
     gc.collect()

@@ -2,11 +2,12 @@
 
 The benchmark is the stated query set; all its items share one index, and every document passes it once (items beyond
 `WAVE_ITEMS`, which bounds the index in memory, take another pass). Document frequencies of the items' words come from
-all documents. A distributed randomised SVD of the TF-IDF passages of a bounded sample of documents (`SAMPLE_DOCS`
-distinct texts, lowest hashes of a hash share, joined by the items with the same total weight) gives blocks of
-`BLOCK_ITEMS` items a latent space of `RANK` dimensions, or as many as the block has items if those are more. An item's
-latent vector is kept as the `LATENT_WORDS` words that it weighs most, so that a cosine in the latent space is a sparse
-product with a passage.
+all documents. A distributed randomised SVD of the TF-IDF passages of all documents, joined by the items with the same
+total weight, gives blocks of at most `BLOCK_ITEMS` items and `BLOCK_WORDS` distinct words a latent space of `RANK`
+dimensions, or as many as the block has items if those are more. The passages are read once for every `FIT_BLOCKS`
+blocks: tasks add up their Gram matrix (dense for a block's `HEAD_WORDS` most frequent words, pair by pair for the others),
+which is stored, and the products of the SVD are taken with it. An item's latent vector is kept as the `LATENT_WORDS`
+words that it weighs most, so that a cosine in the latent space is a sparse product with a passage.
 
 An item is only sought where one of its rarest words stands (one more of them than a common subsequence of the wanted
 length can lack, hence an exact filter), and where `MIN_LCS` of its words stand near. Passages are windows of the item's
@@ -40,10 +41,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.shipping import ship
-from siltstone.llm.common import alnum_words, stored, tidy, utf8
+from siltstone.llm.common import alnum_words, ranges, slices, stored, tidy, utf8
 
-WAVE_ITEMS, BLOCK_ITEMS, FIT_BLOCKS, SAMPLE_DOCS, RANK, POWER_ROUNDS, OVERSAMPLE, LATENT_WORDS = 16_384, 256, 4, 1000, 256, 1, 8, 128
-WINDOW, STEP, ITEM_WORDS, LEAST_WINDOW, CHUNK_ROWS, KEPT_ITEMS = 64, 32, 64, 8, 1024, 4096
+WAVE_ITEMS, BLOCK_ITEMS, FIT_BLOCKS, RANK, POWER_ROUNDS, OVERSAMPLE, LATENT_WORDS = 16_384, 256, 4, 256, 1, 8, 128
+BLOCK_WORDS, HEAD_WORDS, BATCH_BYTES, PASSAGES = 4096, 256, 1 << 18, 1024
+WINDOW, STEP, ITEM_WORDS, LEAST_WINDOW, CHUNK_ROWS, KEPT_ITEMS = 64, 32, 64, 8, 128, 4096
 MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.2, 0.6, 0.5
 
 
@@ -229,6 +231,66 @@ def times_gram(rows, basis: np.ndarray) -> np.ndarray:
     return out
 
 
+class Gram:
+    """Sum of the outer products of sparse rows, its lower triangle: dense for the first words, the others pair by pair."""
+
+    def __init__(self, words: int):
+        self.words, self.head, self.rows = words, min(HEAD_WORDS, words), 0
+        self.dense = np.zeros((self.head, self.head))
+        self.base = self.head * (self.head + 1) // 2
+        self.tail = np.zeros(words * (words + 1) // 2 - self.base, dtype=np.float32)
+
+    def add(self, row: np.ndarray, word: np.ndarray, weight: np.ndarray) -> None:
+        """Entries in the order of their rows (numbers from 0) and words; a word stands once in a row."""
+        if not len(row):
+            return
+        self.rows += int(np.count_nonzero(np.diff(row))) + 1
+        inside = word < self.head
+        part = np.zeros((int(row[-1]) + 1, self.head), dtype=np.float32)
+        part[row[inside], word[inside]] = weight[inside]
+        self.dense += part.T @ part
+        last = np.flatnonzero(~inside)  # with all words up to it in its row
+        start = np.searchsorted(row, row[last])
+        each = last - start + 1
+        first = ranges(start, each)
+        at = np.repeat(word[last] * (word[last] + 1) // 2 - self.base, each)
+        at += word[first]
+        np.add.at(self.tail, at, np.repeat(weight[last], each) * weight[first])
+
+    def chunk(self, low: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of CHUNK_ROWS rows from `low`: places (row by row, as wide as there are words) and values, zeros left out."""
+        out = np.zeros((min(CHUNK_ROWS, self.words - low), self.words), dtype=np.float32)
+        for i in range(low, low + len(out)):
+            start = i * (i + 1) // 2 - self.base
+            out[i - low, : i + 1] = self.dense[i, : i + 1] if i < self.head else self.tail[start : start + i + 1]
+        at = np.flatnonzero(out)
+        return at.astype(np.int32), out.ravel()[at]
+
+
+def entries(lines: list[np.ndarray], idf: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of all passages of texts (word ids, 0 for other words): row, the word's place and its weight, `PASSAGES` at a time.
+    Words without a place (-1) count in a passage's norm only."""
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    flat, first = np.concatenate(lines), np.cumsum(sizes) - sizes
+    square = np.concatenate(([0.0], np.cumsum(idf[flat].astype(np.float64) ** 2)))
+    per = np.where(sizes > 0, np.maximum(1, -(-(sizes - WINDOW + STEP) // STEP)), 0)
+    text = np.repeat(np.arange(len(lines)), per)
+    low = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STEP
+    high = np.minimum(low + WINDOW, (first + sizes)[text])
+    norm = np.sqrt(np.maximum(square[high] - square[low], 1e-12))
+    local, own = place[flat], np.zeros(int(place.max()) + 1)
+    own[place[place >= 0]] = idf[place >= 0]
+    held = np.flatnonzero(local >= 0)
+    a, b = np.searchsorted(held, low), np.searchsorted(held, high)
+    for k in range(0, len(text), PASSAGES):
+        each = b[k : k + PASSAGES] - a[k : k + PASSAGES]
+        key = np.repeat(np.arange(len(each)) * len(place), each)
+        key += local[held[ranges(a[k : k + PASSAGES], each)]]
+        got, n = np.unique(key, return_counts=True)
+        row, word = np.divmod(got, len(place))
+        yield row, word, (np.sqrt(n) * own[word] / norm[k + row]).astype(np.float32)
+
+
 def frequencies(df: DataFrame, index: Index, text: str) -> tuple[dict[int, int], int]:
     """Documents that hold each word of the items, and all documents. The result has at most a row per word."""
     ids = df.sparkSession.sparkContext.broadcast(index.ids)
@@ -246,43 +308,65 @@ def frequencies(df: DataFrame, index: Index, text: str) -> tuple[dict[int, int],
     return got, got.pop(0, 0)
 
 
-def sampled(df: DataFrame, rows: int, text: str) -> DataFrame:
-    """text: SAMPLE_DOCS distinct texts at most, the same whatever the partitions."""
-    share = max(1, math.ceil(rows / (2 * SAMPLE_DOCS)))
-    h = F.xxhash64(text)
-    some = df.select(F.col(text).alias("text"), h.alias("h")).where(F.pmod(h, F.lit(share)) == 0).groupBy("h").agg(F.first("text").alias("text"))
-    return stored(some.orderBy("h").limit(SAMPLE_DOCS).repartition(8, "h").select("text"), "sample")
-
-
-def fit(index: Index, sample: DataFrame, members: list[list[int]], rank: int | None = None, seed: int = 11) -> None:
-    """Latent vectors of the items of some blocks (their numbers), by randomised SVD over the sample's passages and the
-    items. Products with the Gram matrix are summed over partitions, block by block and chunk by chunk."""
-    spark = sample.sparkSession
+def fit(index: Index, docs: DataFrame, members: list[list[int]], rank: int | None = None, seed: int = 11, text: str = "text") -> None:
+    """Latent vectors of the items of some blocks (their numbers), by randomised SVD over the passages of all rows and the
+    items. The Gram matrix is summed over partitions, block by block and chunk by chunk."""
+    spark = docs.sparkSession
     words = [np.unique(np.concatenate([index.words[k] for k in block])) for block in members]
-    shared = spark.sparkContext.broadcast((index.ids, index.idf, words))
-
-    def passages(batches):
+    words = [mine[np.argsort(index.idf[mine], kind="stable")] for mine in words]  # most frequent first
+    places = np.full((len(members), len(index.ids) + 1), -1, dtype=np.int32)
+    for place, mine in zip(places, words, strict=True):
+        place[mine] = np.arange(len(mine))
+    sizes = [len(mine) for mine in words]
+    shared = spark.sparkContext.broadcast((index.ids, index.idf, places))
+    names = ["block", "at", "n", "places", "parts"]
+
+    def one(block: int, at: int, n: int, where: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array([block], pa.int32()), pa.array([at], pa.int32()), pa.array([n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (where, part))]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def summed(batches):
         ids, idf, own = shared.value
+        grams = [Gram(size) for size in sizes]
+        for whole in batches:
+            for batch in slices([whole.set_column(0, "text", whole.column(0).cast(pa.binary()))], "text", BATCH_BYTES):
+                split = [alnum_words(raw or b"") for raw in batch.column(0).to_pylist()]
+                lines = [np.fromiter(map(ids.get, x, repeat(0)), dtype=np.int64, count=len(x)) for x in split]
+                for g, place in zip(grams, own, strict=True):
+                    for got in entries(lines, idf, place):
+                        g.add(*got)
+        for b, g in enumerate(grams):
+            for low in range(0, g.words, CHUNK_ROWS):
+                where, part = g.chunk(low)
+                if low == 0 or len(where):
+                    yield one(b, low, 0 if low else g.rows, where, part)
+
+    def added(batches):
+        """Rows come in the order of block and chunk."""
+        held = total = None
+        n = 0
+
+        def done():
+            where = np.flatnonzero(total)
+            return one(*held, n, where.astype(np.int32), total[where].astype(np.float32))
+
         for batch in batches:
-            block, cols, weights = [], [], []
-            for raw in utf8(batch, "text"):
-                split = alnum_words(raw or b"")
-                line = np.fromiter(map(ids.get, split, repeat(0)), dtype=np.int64, count=len(split))
-                square = np.concatenate(([0.0], np.cumsum(idf[line].astype(np.float64) ** 2)))
-                for at in range(0, max(1, len(line) - WINDOW + STEP), STEP):
-                    got, n = np.unique(line[at : at + WINDOW], return_counts=True)
-                    weight = np.sqrt(n) * idf[got] / math.sqrt(max(square[min(at + WINDOW, len(line))] - square[at], 1e-12)) if len(got) else n
-                    for b, mine in enumerate(own):
-                        keep = np.isin(got, mine, assume_unique=True)
-                        if keep.any():
-                            block.append(b)
-                            cols.append(np.searchsorted(mine, got[keep]).tolist())
-                            weights.append(weight[keep].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cols, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["block", "ids", "weights"])
-
-    rows = stored(sample.mapInArrow(passages, "block int, ids array<int>, weights array<float>"), "passages")
-    counts = {r["block"]: r["count"] for r in rows.groupBy("block").count().collect()}
-    units = [[(np.searchsorted(mine, i), w) for i, w in map(index.unit, block)] for mine, block in zip(words, members, strict=True)]
+            for r in zip(*(batch.column(x) for x in names), strict=True):
+                block, at, more = (x.as_py() for x in r[:3])
+                if (block, at) != held:
+                    if held is not None:
+                        yield done()
+                    held, n, total = (block, at), 0, np.zeros(CHUNK_ROWS * sizes[block])
+                n += more
+                total[np.frombuffer(r[3].as_py(), dtype=np.int32)] += np.frombuffer(r[4].as_py(), dtype=np.float32)
+        if held is not None:
+            yield done()
+
+    kind = "block int, at int, n long, places binary, parts binary"
+    parts = docs.select(text).mapInArrow(tidy(summed), kind)
+    rows = stored(parts.repartition("block", "at").sortWithinPartitions("block", "at").mapInArrow(tidy(added), kind), "gram")
+    counts = {r["block"]: r["n"] for r in rows.where("at = 0").select("block", "n").collect()}
+    units = [[(place[i], w) for i, w in map(index.unit, block)] for place, block in zip(places, members, strict=True)]
 
     def gram(bases: list[np.ndarray]) -> list[np.ndarray]:
         sent = spark.sparkContext.broadcast(bases)
@@ -290,22 +374,25 @@ def fit(index: Index, sample: DataFrame, members: list[list[int]], rank: int | N
         def run(batches):
             out: dict[int, np.ndarray] = {}
             for batch in batches:
-                held: dict[int, list] = {}
-                for b, i, w in zip(*(batch.column(x).to_pylist() for x in ("block", "ids", "weights")), strict=True):
-                    held.setdefault(b, []).append((np.array(i), np.array(w, dtype=np.float32)))
-                for b, these in held.items():
-                    part = times_gram(these, sent.value[b])
-                    out[b] = out[b] + part if b in out else part
+                for b, at, where, part in zip(*(batch.column(x).to_pylist() for x in ("block", "at", "places", "parts")), strict=True):
+                    basis = sent.value[b]
+                    lower = np.zeros((min(CHUNK_ROWS, sizes[b] - at), sizes[b]), dtype=np.float32)
+                    lower.ravel()[np.frombuffer(where, dtype=np.int32)] = np.frombuffer(part, dtype=np.float32)
+                    if b not in out:
+                        out[b] = np.zeros_like(basis)
+                    out[b][at : at + len(lower)] += lower @ basis
+                    lower[np.arange(len(lower)), at + np.arange(len(lower))] = 0
+                    out[b] += lower.T @ basis[at : at + len(lower)]
             for b, part in out.items():
-                for at in range(0, len(part), CHUNK_ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([at], pa.int32()), pa.array([part[at : at + CHUNK_ROWS].tobytes()], pa.binary())], names=["block", "at", "part"])
+                for at in range(0, len(part), 8 * CHUNK_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([at], pa.int32()), pa.array([part[at : at + 8 * CHUNK_ROWS].tobytes()], pa.binary())], names=["block", "at", "part"])
 
         def add(table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in table.column("part").to_pylist())
             return pa.table({"block": table.column("block").slice(0, 1), "at": table.column("at").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        kind = "block int, at int, part binary"
-        found = rows.mapInArrow(tidy(run), kind).groupBy("block", "at").applyInArrow(add, kind).collect()
+        kept = "block int, at int, part binary"
+        found = rows.mapInArrow(tidy(run), kept).groupBy("block", "at").applyInArrow(add, kept).collect()
         out = [max(1, counts.get(b, 0)) / len(u) * times_gram(u, g) for b, (u, g) in enumerate(zip(units, bases, strict=True))]
         for r in found:
             part = np.frombuffer(r["part"], dtype=np.float32).reshape(-1, bases[r["block"]].shape[1])
@@ -328,12 +415,25 @@ def fit(index: Index, sample: DataFrame, members: list[list[int]], rank: int | N
             index.latent[k] = words[b][top].astype(np.int32), smooth[top].astype(np.float32)
 
 
+def item_blocks(index: Index) -> list[list[int]]:
+    """Items in their order, cut into blocks of at most BLOCK_ITEMS items and BLOCK_WORDS distinct words."""
+    out, held = [[]], set()
+    for k, words in enumerate(index.words):
+        more = held.union(words.tolist())
+        if out[-1] and (len(out[-1]) == BLOCK_ITEMS or len(more) > BLOCK_WORDS):
+            out.append([])
+            more = set(words.tolist())
+        out[-1].append(k)
+        held = more
+    return out
+
+
 def indexes(df: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> Iterator[Index]:
     """Fitted indexes of at most WAVE_ITEMS items (about), one at a time."""
     ship(df.sparkSession)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"), answer.alias("a"))
-    waves, sample = math.ceil(items.count() / WAVE_ITEMS), None
+    waves = math.ceil(items.count() / WAVE_ITEMS)
     for wave in range(waves):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(waves)) == wave).collect()
         parts = [(r["i"], words, wanted) for r in sorted(rows, key=lambda r: (str(r["i"]), r["t"] or "")) for words, wanted in item_parts(r["t"], r["a"])]
@@ -342,10 +442,9 @@ def indexes(df: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_t
         index = Index(parts)
         found, n = frequencies(df, index, text)
         index.weigh(found, n)
-        sample = sampled(df, n, text) if sample is None else sample
-        blocks = [list(range(a, min(a + BLOCK_ITEMS, len(parts)))) for a in range(0, len(parts), BLOCK_ITEMS)]
+        blocks = item_blocks(index)
         for a in range(0, len(blocks), FIT_BLOCKS):
-            fit(index, sample, blocks[a : a + FIT_BLOCKS])
+            fit(index, df, blocks[a : a + FIT_BLOCKS], text=text)
         yield index
 
 

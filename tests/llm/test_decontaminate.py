@@ -94,3 +94,72 @@ def test_latent_vectors_are_those_of_the_plain_svd(spark):
         i, w = index.latent[k]
         got[np.searchsorted(own, i)] = w
         assert np.dot(got, smooth) > 0.95 * np.linalg.norm(got) * np.linalg.norm(smooth)
+
+
+def plain_space(index, texts, rank):
+    """The items' words, and numpy's leading directions of all passages (texts of one window) and the items."""
+    own = sorted({i for w in index.words for i in w.tolist()})
+    rows = []
+    for t in texts:
+        ids = np.array([index.ids.get(w.encode(), 0) for w in t.split()])
+        row = np.array([np.sqrt((ids == i).sum()) * index.idf[i] for i in own])
+        rows.append(row / np.sqrt((index.idf[ids].astype(float) ** 2).sum()))
+    units = np.zeros((len(index.words), len(own)))
+    for k in range(len(units)):
+        i, w = index.unit(k)
+        units[k, np.searchsorted(own, i)] = w
+    held = sum(r.any() for r in rows)
+    _, _, v = np.linalg.svd(np.vstack([np.array(rows), np.sqrt(held / len(units)) * units]), full_matrices=False)
+    return own, units, v[:rank]
+
+
+def test_latent_space_is_that_of_every_row(spark, monkeypatch):
+    """3000 texts, some words of which stand together in few of them: none may be left out of the fit."""
+    rng = np.random.default_rng(21)
+    items = [(k, " ".join(f"w{x}" for x in rng.choice(80, 12, replace=False))) for k in range(40)]
+    texts = [" ".join(f"w{x}" for x in (5 * rng.integers(0, 1 + d % 16) + rng.integers(0, 6, 40)) % 100) for d in range(3000)]
+    monkeypatch.setattr(decontaminate, "RANK", 40)
+    monkeypatch.setattr(decontaminate, "POWER_ROUNDS", 30)
+    df, bench = spark.createDataFrame([(t,) for t in texts], "body string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    real, fitted = decontaminate.fit, []
+
+    def watched(index, docs, *rest, **more):
+        fitted.append(docs.count())
+        real(index, docs, *rest, **more)
+
+    monkeypatch.setattr(decontaminate, "fit", watched)
+    (index,) = decontaminate.indexes(df, bench, "body", "item_id", "text")
+    assert fitted == [3000]
+    own, units, v = plain_space(index, texts, 40)
+    for k in range(len(items)):
+        smooth = v.T @ (v @ units[k])
+        got = np.zeros(len(own))
+        i, w = index.latent[k]
+        got[np.searchsorted(own, i)] = w
+        assert np.abs(got - smooth / np.linalg.norm(v @ units[k])).max() < 0.01
+
+
+def test_gram_matrix_of_batches(monkeypatch):
+    """Dense head and paired tail, cut into chunks, against the plain product."""
+    monkeypatch.setattr(decontaminate, "HEAD_WORDS", 7)
+    monkeypatch.setattr(decontaminate, "CHUNK_ROWS", 16)
+    rng = np.random.default_rng(22)
+    gram, total = decontaminate.Gram(50), np.zeros((50, 50))
+    for _ in range(4):
+        rows = rng.random((30, 50)) * (rng.random((30, 50)) < 0.2)
+        row, word = np.nonzero(rows)
+        gram.add(row, word, rows[row, word].astype(np.float32))
+        total += rows.T @ rows
+    got = np.zeros((50, 50))
+    for low in range(0, 50, 16):
+        at, part = gram.chunk(low)
+        got[low + at // 50, at % 50] = part
+    assert np.allclose(got, np.tril(total), atol=1e-4) and gram.rows == 120
+
+
+def test_blocks_are_bounded_by_their_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    index = decontaminate.Index([(k, [b"w%d" % (3 * k + j) for j in range(4)], frozenset()) for k in range(7)])
+    blocks = decontaminate.item_blocks(index)
+    assert sum(blocks, []) == list(range(7)) and len(blocks) > 1
+    assert all(len({w for k in b for w in index.words[k].tolist()}) <= 10 for b in blocks)
