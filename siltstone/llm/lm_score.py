@@ -10,7 +10,9 @@ transitions. Both tables grow with the corpus; the hash tables of the fourth and
 words, from 2^`LEAST_BITS` to 2^`MOST_BITS` counters (the broadcast holds one byte for each).
 
 The predictors' logits are mixed by weights that a gate selects (the place in the word, and how deep in the tree),
-fitted on a bounded sample of training rows (`MIX_DOCS` distinct whole texts, lowest hashes of a hash share). The gated
+fitted on the bits of all training rows by Newton steps: what the predictors say of the first `JOINT` bytes of a word
+follows from its transition, of all others from the word, so sums over the two tables, with their counts, are those over the
+rows. Bits that look alike to the mixer are counted together once, and the steps are taken with these counts. The gated
 weights are refined adaptively: to them is added a correction that starts at zero with a text and runs through all of
 it, moving along the coding gradient after every `BLOCK_BITS` bits (counted anew after `PIECE_WORDS` words, which bounds
 what is in memory). The sum of log10 over bits is the score; the bits
@@ -39,12 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.scratch import fresh
-from siltstone.llm.common import slices, stored, tidy, utf8
+from siltstone.llm.common import ranges, slices, stored, tidy, utf8
 
 ORDERS, JOINT = 5, 3  # the last predictor crosses words
 SMALL_BITS, LEAST_BITS, MOST_BITS = (14, 17, 19), 18, 22
 END = b"\xff"
-HEAD, FLUSH_WORDS, BATCH_BYTES, BLOCK_BITS, MIX_DOCS, PREPARED, PIECE_WORDS = 1_000_000, 300_000, 1 << 19, 256, 200, 20_000, 200_000
+HEAD, FLUSH_WORDS, BATCH_BYTES, BLOCK_BITS, PREPARED, PIECE_WORDS = 1_000_000, 300_000, 1 << 19, 256, 20_000, 200_000
+ROUNDS, ALIKE = 6, 2_000_000
 RATE, CLIP, STEPS_OF_LOGIT, GATES, CHUNK = 0.006, 7.9375, 16, 16, 1 << 16
 _P, _SPREAD = np.uint64(0x9E3779B97F4A7C15), 0x85EBCA6B
 _PRIME = 1_000_003
@@ -96,20 +99,6 @@ class Code:
         self.depth = np.array([min(i, 3) for p in paths for i in range(len(p))], dtype=np.int8)
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each length in turn."""
-    out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    out += np.arange(len(out), dtype=np.int64)
-    return out
-
-
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each length in turn."""
-    out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    out += np.arange(len(out), dtype=np.int64)
-    return out
-
-
 def coded(units: list[bytes], code: Code):
     """Bytes, their places in the unit, each unit's first byte; for each bit its byte, node, value, gate; bits per unit."""
     data = np.frombuffer(b"".join(units), dtype=np.uint8)
@@ -199,20 +188,50 @@ class Mixer:
         x = signed(self.stretch, slots, bits)
         return x, x * self.weights[:, ORDERS - 1].take(gates), sizes
 
-    def fit(self, texts: list[bytes], rounds: int = 6, ridge: float = 1.0) -> None:
+    def fit(self, texts: list[bytes], rounds: int = ROUNDS) -> None:
         """Each gate's weights by Newton steps on the bits of the texts; the texts are coded anew in each round."""
         for _ in range(rounds):
-            slope, bend = -ridge * (self.weights.astype(np.float64) - 0.3), np.tile(ridge * np.eye(ORDERS), (GATES, 1, 1))
+            slope, bend = np.zeros((GATES, ORDERS)), np.zeros((GATES, ORDERS, ORDERS))
             for x, gates in (part for raw in texts for part in self.inputs(raw)):
-                order = np.argsort(gates, kind="stable")
-                x, cuts = x[:, order], np.searchsorted(gates[order], np.arange(GATES + 1))
-                for g in range(GATES):
-                    xs = x[:, cuts[g] : cuts[g + 1]].astype(np.float64)
-                    p = 1 / (1 + np.exp(self.weights[g] @ xs))
-                    slope[g] -= xs @ (1 - p)
-                    bend[g] += (xs * (p * (1 - p))) @ xs.T
-            for g in range(GATES):
-                self.weights[g] = np.clip(self.weights[g] + np.linalg.solve(bend[g], slope[g]), -1, 2)
+                self.slopes(x, gates, np.ones(len(gates)), slope, bend)
+            self.step(slope, bend)
+
+    def slopes(self, x: np.ndarray, gates: np.ndarray, times: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> None:
+        """Adds to each gate's derivatives what bits (ORDERS x bits, each so many times) give."""
+        order = np.argsort(gates, kind="stable")
+        x, times, cuts = x[:, order], times[order], np.searchsorted(gates[order], np.arange(GATES + 1))
+        for g in range(GATES):
+            xs, n = x[:, cuts[g] : cuts[g + 1]].astype(np.float64), times[cuts[g] : cuts[g + 1]]
+            p = 1 / (1 + np.exp(self.weights[g] @ xs))
+            slope[g] -= xs @ (n * (1 - p))
+            bend[g] += (xs * (n * p * (1 - p))) @ xs.T
+
+    def step(self, slope: np.ndarray, bend: np.ndarray, ridge: float = 1.0) -> None:
+        slope = slope - ridge * (self.weights.astype(np.float64) - 0.3)
+        bend = bend + ridge * np.eye(ORDERS)
+        for g in range(GATES):
+            self.weights[g] = np.clip(self.weights[g] + np.linalg.solve(bend[g], slope[g]), -1, 2)
+
+    def alike(self, words: list[bytes], times: np.ndarray, joints: list[bytes], joint_times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all bits of words from the byte JOINT on, and of transitions: keys (the gate and each predictor's logit against
+        the bit, a byte each) and how often each occurs."""
+        keys, counts = [], []
+        long = [i for i, w in enumerate(words) if len(w) >= JOINT]
+        for across, some, n in ((False, [words[i] + b" " for i in long], times[long]), (True, [joint_unit(j) for j in joints], joint_times)):
+            if not some:
+                continue
+            slots, bits, gates, sizes = unit_bits(some, self.code, self.table)
+            sign = np.array([1, -1], dtype=np.int8).take(bits)
+            x = [self.stretch.take(row) * sign for row in slots]
+            x.append(self.stretch.take(joint_bits(joints, self.code, self.table)[0]) * sign if across else np.zeros(len(bits), dtype=np.int8))
+            key = gates.astype(np.int64)
+            for row in x:
+                key <<= 8
+                key |= row.view(np.uint8)
+            keep = gates < 4 * JOINT if across else gates >= 4 * JOINT
+            keys.append(key[keep])
+            counts.append(np.repeat(n, sizes)[keep])
+        return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def inputs(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """ORDERS x bits of a text, and gates, PIECE_WORDS words at a time."""
@@ -284,6 +303,20 @@ class Mixer:
         return total / math.log(10), moved
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (ORDERS x bits) and gates of keys."""
+    x = np.stack([(keys >> 8 * (ORDERS - 1 - i) & 255).astype(np.uint8).view(np.int8) for i in range(ORDERS)]).astype(np.float32)
+    return x / np.float32(STEPS_OF_LOGIT), (keys >> 8 * ORDERS).astype(np.int64)
+
+
 def laid_out(flat: np.ndarray, marks: np.ndarray, sizes: np.ndarray, joint_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the words of a text in turn: each bit's place among the units' bits; where the bits of transitions stand among
     them, and their places among the transitions' bits."""
@@ -396,6 +429,51 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
+def fit_weights(counted: DataFrame, mixer: Mixer) -> None:
+    """The mixer's gated weights, from the bits of all training tokens."""
+    sc = counted.sparkSession.sparkContext
+    shared = sc.broadcast(mixer)
+
+    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows(pairs):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(*(np.concatenate(x) for x in zip(*pairs, strict=True)))], names=["k", "n"])
+
+        for whole in batches:
+            for batch in slices([whole], "w", BATCH_BYTES):
+                joint = batch.column("joint").to_numpy(zero_copy_only=False)
+                keys, n = batch.column("w").to_pylist(), batch.column("n").to_numpy(zero_copy_only=False)
+                a, b = np.flatnonzero(~joint).tolist(), np.flatnonzero(joint).tolist()
+                held.append(shared.value.alike([keys[i] for i in a], n[a], [keys[i] for i in b], n[b]))
+                if sum(len(k) for k, _ in held) > ALIKE:
+                    yield rows(held)
+                    held.clear()
+        if held:
+            yield rows(held)
+
+    alike = stored(counted.mapInArrow(tidy(like), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "alike")
+    for _ in range(ROUNDS):
+        sent = sc.broadcast(mixer.weights)
+
+        def derive(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = Mixer(None, None, None)
+            own.weights = sent.value
+            slope, bend = np.zeros((GATES, ORDERS)), np.zeros((GATES, ORDERS, ORDERS))
+            for batch in batches:
+                x, gates = apart(batch.column("k").to_numpy())
+                own.slopes(x, gates, batch.column("n").to_numpy().astype(np.float64), slope, bend)
+            flat = np.concatenate((slope.ravel(), bend.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "v"])
+
+        total = np.zeros(GATES * ORDERS * (ORDERS + 1))
+        for r in alike.mapInArrow(tidy(derive), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            total[r["i"]] = r["v"]
+        mixer.step(total[: GATES * ORDERS].reshape(GATES, ORDERS), total[GATES * ORDERS :].reshape(GATES, ORDERS, ORDERS))
+        sent.destroy()
+    shared.destroy()
+
+
 class Model:
     """Word table (a stored DataFrame), totals, frequent words, and the mixer."""
 
@@ -405,27 +483,14 @@ class Model:
 
 def learn(df: DataFrame, text: str = "text") -> Model:
     """From every row of df."""
-    spark = df.sparkSession
     counted = stored(text_counts(df, text), "counts")
     words = counted.where("not joint").select("w", "n")
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("w") == 0, F.col("n"))).alias("rows")).first()
+    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total["n"] or 0, total["v"]
     head = {bytes(r["w"]): r["n"] for r in words.where(F.col("n") * HEAD >= tokens).collect()}
     code, table = Code(byte_counts(words)), Slots(distinct)
     mixer = Mixer(code, table, train_counts(counted, code, table))
-    share, h = max(1, (total["rows"] or 0) // (2 * MIX_DOCS)), F.xxhash64(text)
-    once = df.select(F.col(text).alias("t"), h.alias("h")).where(F.pmod(h, F.lit(share)) == 0).dropna().groupBy("h").agg(F.first("t").alias("t"))
-    sample = stored(once.orderBy("h").limit(MIX_DOCS), "mixed")
-    shared = spark.sparkContext.broadcast(mixer)
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(raw for batch in batches for raw in utf8(batch, "t"))
-        shared.value.fit(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([shared.value.weights.tobytes()], pa.binary())], names=["weights"])
-
-    for r in sample.coalesce(1).mapInArrow(fit, "weights binary").collect():
-        mixer.weights = np.frombuffer(r["weights"], dtype=np.float32).reshape(GATES, ORDERS).copy()
-    shared.destroy()
+    fit_weights(counted, mixer)
     return Model(words, tokens, distinct, head, mixer)
 
 

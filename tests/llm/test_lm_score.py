@@ -167,3 +167,15 @@ def test_word_order_counts(corpus):
     model = mixer(["alpha beta gamma delta " * 5] * 2 + [t for _, t in corpus])
     seen, shuffled = scores(model, ["alpha beta gamma delta", "delta beta alpha gamma"])
     assert seen > shuffled
+
+
+def test_weights_come_from_every_training_row(spark, corpus):
+    """500 distinct texts and a copy: the gated weights are those of a fit on all of them, text by text."""
+    rng = np.random.default_rng(17)
+    words = [w for _, t in corpus for w in t.split()]
+    texts = [" ".join(rng.choice(words, 12)) + f" {k}" for k in range(500)] + ["a stone"] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    got = lm_score.learn(df).mixer
+    whole = lm_score.Mixer(got.code, got.table, got.stretch)
+    whole.fit([t.encode() for t in texts])
+    assert np.abs(got.weights - whole.weights).max() < 1e-3
