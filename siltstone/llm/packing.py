@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ class WordTokenizer:
 
     White space ends every pre-token of this tokenizer and is dropped, so the ids of a text are those of its
     words in turn. Words are looked up in a cache of two generations: when the younger is full it becomes the
-    elder, so frequent words stay. Words of Latin-1 letters, digits and ASCII punctuation (no apostrophe) are cut
+    elder, so frequent words stay. A longer run of letters in a word is a word of the cache itself, so that a word costs
+    the model once, whatever punctuation stands at it. Words of Latin-1 letters, digits and ASCII punctuation (no apostrophe) are cut
     into the pre-tokenizer's pieces here and go to the BPE model directly; all others go through the whole tokenizer.
     The tokenizer's special strings are cut out of the raw text first, since it finds them before it normalises; a
     word that only looks like one in lower case is ordinary text.
@@ -61,6 +63,8 @@ class WordTokenizer:
     PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[0-9]|[!-&(-/:-@\[-`{-~])+")
     PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
+    STOPS = frozenset((b".", b",", b"?", b":", b";"))
+
     def __init__(self, path: str):
         import os
 
@@ -78,13 +82,24 @@ class WordTokenizer:
         self.bytes_as_letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
         self.cache = WordCache(self.word, {})
         self.pieces: dict[str, bytes] = {}
+        self.number, self.packs = attrgetter("id"), [struct.Struct(f"<{n}H").pack for n in range(64)]
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
+    def _pack(self, letters: str) -> bytes:
+        ids = list(map(self.number, self.bpe.tokenize(letters)))
+        n = len(ids)
+        return self.packs[n](*ids) if n < len(self.packs) else struct.pack(f"<{n}H", *ids)
+
     def _piece(self, piece: str) -> bytes:
-        got = self.bpe.tokenize(piece if piece.isascii() else piece.translate(self.bytes_as_letters))
-        ids = struct.pack(f"<{len(got)}H", *[t.id for t in got])
+        if len(piece) > 3 and piece[0].isalpha():
+            word = piece.encode()
+            ids = self.cache.get(word) or self.cache.elder.get(word)
+            if ids is None:
+                self.cache[word] = ids = self._pack(piece if piece.isascii() else piece.translate(self.bytes_as_letters))
+            return ids
+        ids = self._pack(piece if piece.isascii() else piece.translate(self.bytes_as_letters))
         if len(piece) <= 3:
             if len(self.pieces) > CACHE_WORDS:
                 self.pieces.clear()
@@ -92,6 +107,15 @@ class WordTokenizer:
         return ids
 
     def word(self, w: bytes) -> bytes:
+        if w.isalpha() and w.islower():  # of ASCII letters
+            return self._pack(w.decode())
+        stem = w[:-1]
+        if w[-1:] in self.STOPS and stem.isalpha() and stem.islower():
+            ids = self.cache.get(stem) or self.cache.elder.get(stem)
+            if ids is None:
+                self.cache[stem] = ids = self._pack(stem.decode())
+            stop = w[-1:].decode()
+            return ids + (self.pieces.get(stop) or self._piece(stop))
         text = w.decode()
         if self.PLAIN.fullmatch(text):
             known = self.pieces.get

@@ -421,3 +421,22 @@ def test_pipeline(spark, texts, duck):
         assert not secret_scan.find_secrets(r["text"].encode())[0]
     e = corpus_pipeline.run(spark, DATA).collect()
     assert {r["doc_id"] for r in e} == set(d)
+
+
+def test_words_meet_the_model_once_whatever_their_punctuation():
+    """Ids as the tokenizer's own, with one call for all words of the same letters."""
+    from tokenizers import Tokenizer
+
+    tok, plain = packing.WordTokenizer(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    model, asked = tok.bpe, []
+
+    class Counting:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    tok.bpe = Counting()
+    text = "Stoneword stoneword. (stoneword), STONEWORD? stoneword;x señorial señorial. seÑorial: don't"
+    (got,) = tok.encode([text.encode()])
+    assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert asked.count("stoneword") == 1
