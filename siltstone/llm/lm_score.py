@@ -182,6 +182,14 @@ class Mixer:
         x = signed(self.stretch, slots, bits)
         return np.vstack([x, sum(row * self.weights[:, i].take(gates) for i, row in enumerate(x))]), sizes
 
+    @staticmethod
+    def by_bit(x: np.ndarray) -> np.ndarray:
+        """bits x (ORDERS + 1): the inputs inside the word, an empty place for that across words, and the gated sum."""
+        out = np.zeros((x.shape[1], ORDERS + 1), dtype=np.float32)
+        out[:, : ORDERS - 1] = x[:-1].T
+        out[:, ORDERS] = x[-1]
+        return out
+
     def joined(self, joints: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of transitions, the same gated, bits of each."""
         slots, bits, gates, sizes = joint_bits(joints, self.code, self.table)
@@ -247,11 +255,12 @@ class Mixer:
             yield x, gates[source]
 
     def score(self, units: list[bytes], docs: list[np.ndarray], joints: list[bytes], marks: list[np.ndarray], known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """docs: indices into known units, if any, and then units; marks: indices into joints, one for each word.
+        """docs: indices into known units (by_bit, and bits of each), if any, and then units; marks: indices into joints, one for each word.
         log10 probability of each doc."""
         x, sizes = self.prepared(units)
         if known is not None:
-            x, sizes = np.concatenate((known[0], x), axis=1), np.concatenate((known[1], sizes))
+            sizes = np.concatenate((known[1], sizes))
+        x = self.by_bit(x) if known is None else np.concatenate((known[0], self.by_bit(x)))
         joint = self.joined(joints)
         out = np.zeros(len(docs))
         short = [i for i, d in enumerate(docs) if len(d) <= PIECE_WORDS]
@@ -266,41 +275,39 @@ class Mixer:
     def _walk(self, x: np.ndarray, sizes: np.ndarray, joints: tuple, docs: list[np.ndarray], marks: list[np.ndarray], moved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each doc, and the corrections where they end, from those given."""
         if not docs:
-            return np.zeros(0), np.zeros((ORDERS, 0), dtype=np.float32)
+            return np.zeros(0), np.zeros((0, ORDERS), dtype=np.float32)
         joint, joint_gated, joint_sizes = joints
         flat = np.concatenate(docs)
         source, places, theirs = laid_out(flat, np.concatenate(marks), sizes, joint_sizes)
-        across, gated = np.zeros(len(source), dtype=np.float32), x[-1].take(source)
-        across[places] = joint[theirs]
-        gated[places] += joint_gated[theirs]
         doc_bits = np.add.reduceat(sizes[flat], np.cumsum([0] + [len(d) for d in docs[:-1]]))
-        starts = np.cumsum(doc_bits) - doc_bits
-        order = np.argsort(-doc_bits, kind="stable")  # documents that have a k-th block come first
-        starts, left = starts[order], doc_bits[order]
-        total = np.zeros(len(docs))
-        begun = moved is not None
-        moved = moved if begun else np.zeros((ORDERS, len(docs)), dtype=np.float32)
-        for k in range(int(-(-left[0] // BLOCK_BITS))):
-            n = int(np.searchsorted(-left, -k * BLOCK_BITS, side="left"))
-            lengths = np.minimum(left[:n] - k * BLOCK_BITS, BLOCK_BITS)
-            if n == 1:
-                at = slice(int(starts[0]) + k * BLOCK_BITS, int(starts[0] + k * BLOCK_BITS + lengths[0]))
-            else:
-                at = ranges(starts[:n] + k * BLOCK_BITS, lengths)
-            bit, z, begins = source[at], gated[at].copy(), np.cumsum(lengths) - lengths
-            xs = [row.take(bit) for row in x[: ORDERS - 1]]
-            xs.append(across[at])
-            if k or begun:
-                for v, w in zip(xs, moved, strict=True):
-                    z += v * np.repeat(w[:n], lengths)
+        starts, blocks = np.cumsum(doc_bits) - doc_bits, -(-doc_bits // BLOCK_BITS)
+        first = np.cumsum(blocks) - blocks
+        # Each text's bits begin a block; the zeros after its last one move nothing and count one half each.
+        rows = np.zeros((int(blocks.sum()) * BLOCK_BITS, ORDERS + 1), dtype=np.float32)
+        for a, n, to in zip(starts.tolist(), doc_bits.tolist(), (first * BLOCK_BITS).tolist(), strict=True):
+            rows[to : to + n] = x.take(source[a : a + n], axis=0)
+        del source
+        places += np.repeat(first * BLOCK_BITS - starts, np.diff(np.append(np.searchsorted(places, starts), len(places))))
+        rows[places, ORDERS - 1] = joint[theirs]
+        rows[places, ORDERS] += joint_gated[theirs]
+        rows = rows.reshape(-1, BLOCK_BITS, ORDERS + 1)
+        order = np.argsort(-blocks, kind="stable")  # documents that have a k-th block come first
+        total, left = (blocks * BLOCK_BITS - doc_bits) * float(np.log(np.float32(2))), blocks[order]
+        weights = np.ones((len(docs), ORDERS + 1, 1), dtype=np.float32)  # the corrections, and the gated sum as it is
+        weights[:, :ORDERS, 0] = 0 if moved is None else moved
+        for k in range(int(left[0])):
+            n = int(np.searchsorted(-left, -k, side="left"))
+            part = rows[first[order[:n]] + k]
+            z = np.matmul(part, weights[:n])[:, :, 0]
             np.clip(z, -30, 30, out=z)
             np.exp(z, out=z)
             inverse = z + np.float32(1)  # of the bit's probability
             z /= inverse
-            total[order[:n]] -= np.add.reduceat(np.log(inverse), begins, dtype=np.float64)
-            for v, w in zip(xs, moved, strict=True):
-                w[:n] -= np.float32(RATE) * np.add.reduceat(v * z, begins)
-        return total / math.log(10), moved
+            total[order[:n]] -= np.log(inverse).sum(axis=1, dtype=np.float64)
+            weights[:n, :ORDERS, 0] -= np.float32(RATE) * np.matmul(z[:, None, :], part)[:, 0, :ORDERS]
+        back = np.empty((len(docs), ORDERS), dtype=np.float32)
+        back[order] = weights[:, :ORDERS, 0]
+        return total / math.log(10), back
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -510,7 +517,8 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
         head, mixer = shared.value
         get = head.get
         common = [b"", *sorted((w for w in head if w), key=lambda w: (-head[w], w))[:PREPARED]]
-        known, ready = {w: i for i, w in enumerate(common)}, mixer.prepared(unit_bytes(common))
+        known, (inputs, each) = {w: i for i, w in enumerate(common)}, mixer.prepared(unit_bytes(common))
+        ready = mixer.by_bit(inputs), each
         for batch in slices((b.set_column(b.schema.get_field_index(raw_text), raw_text, b.column(raw_text).cast(pa.binary())) for b in batches), raw_text, BATCH_BYTES):
             new, docs, joints, marks = split_units([x or b"" for x in batch.column(raw_text).to_pylist()], known)
             words = common + new
