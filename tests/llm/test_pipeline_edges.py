@@ -36,3 +36,21 @@ def test_stages(spark, tmp_path, empty):
     assert five["text"].endswith("<SECRET>") and five["n_chars"] == len(five["text"]) and (five["kept"], five["row"]) == ("e", 5)
     assert next(r for r in left["secret_scan"] if r["doc_id"] == 1)["n_chars"] == 5
     assert {r["doc_id"] for r in pieces} == {1, 4, 5}
+
+
+def test_decontamination_is_fitted_on_every_row(spark, tmp_path, monkeypatch):
+    """1200 texts, more than a sample held before."""
+    import corpus_pipeline
+    from siltstone.llm import decontaminate
+
+    spark.createDataFrame([(1, "the long stone lies under nine small ferns today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, f"stone {i} ferns under the {i % 7}") for i in range(1200)], "doc_id long, text string")
+    real, fitted = decontaminate.fit, []
+
+    def watched(index, rows, *rest, **more):
+        fitted.append(rows.count())
+        real(index, rows, *rest, **more)
+
+    monkeypatch.setattr(decontaminate, "fit", watched)
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == 1200
+    assert fitted == [1200]
