@@ -15,8 +15,9 @@ follows from its transition, of all others from the word, so sums over the two t
 rows. Bits that look alike to the mixer are counted together once, and the steps are taken with these counts. The gated
 weights are refined adaptively: to them is added a correction that starts at zero with a text and runs through all of
 it, moving along the coding gradient after every `BLOCK_BITS` bits (counted anew after `PIECE_WORDS` words, which bounds
-what is in memory). The sum of log10 over bits is the score; the bits
-per coded byte follow from it.
+what is in memory). The sum of log10 over bits is the score; the bits per coded byte follow from it. What the predictors say
+of a text is laid out from the bits of its transitions and words, which a worker prepares once for each that it meets
+(it starts anew after `HELD_BITS` bits); the corrections walk through `LANES` texts side by side.
 
 Base counts come from the same table of words. Its most frequent words (at most `HEAD`, each at least 1/`HEAD` of
 all tokens) are broadcast; the rest are joined by word.
@@ -31,8 +32,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.scratch import fresh
-from siltstone.llm.common import ranges, slices, stored, tidy, utf8
+from siltstone.llm.common import ranges, slices, stored, tidy
 
 ORDERS, JOINT = 5, 3  # the last predictor crosses words
 SMALL_BITS, LEAST_BITS, MOST_BITS = (14, 17, 19), 18, 22
 END = b"\xff"
 HEAD, FLUSH_WORDS, BATCH_BYTES, BLOCK_BITS, PREPARED, PIECE_WORDS = 1_000_000, 300_000, 1 << 19, 256, 20_000, 200_000
+SCORE_BYTES, HELD_BITS, NEW_UNITS, LANES, WIDE, LOOKUP_BITS = 1 << 20, 12_000_000, 4096, 64, 8, 18
 ROUNDS, ALIKE = 6, 2_000_000
 RATE, CLIP, STEPS_OF_LOGIT, GATES, CHUNK = 0.006, 7.9375, 16, 16, 1 << 16
 _P, _SPREAD = np.uint64(0x9E3779B97F4A7C15), 0x85EBCA6B
@@ -121,9 +123,9 @@ def back(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def unit_bits(units: list[bytes], code: Code, table: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of units (a word with its space, or the end symbol): slots of the contexts inside the word (ORDERS - 1 x bits),
-    bits, gates, and bits per unit."""
+def unit_bits(units: list[bytes], code: Code, table: Slots, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of units (a word with its space, or the end symbol): slots of the contexts inside the word (ORDERS - 1 x bits; where
+    the ends of the words before are given, those across words follow), bits, gates, and bits per unit."""
     data, place, first, sizes, per_byte, node, bit, gates, per_unit = coded(units, code)
     one = back(data, place, 1)
     two = one | back(data, place, 2) << np.uint64(9)
@@ -136,12 +138,24 @@ def unit_bits(units: list[bytes], code: Code, table: Slots) -> tuple[np.ndarray,
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
     start = np.repeat(first, sizes)
     whole = (sums[:-1] - sums[start]) * inverse[start] if len(data) else one
-    slots = np.empty((ORDERS - 1, len(node)), dtype=np.uint32)
-    for i, ctx in enumerate((one, two, three, whole)):
+    contexts = [one, two, three, whole]
+    if before is not None:
+        contexts.append(across(before, sizes, data, place))
+    slots = np.empty((len(contexts), len(node)), dtype=np.uint32)
+    for i, ctx in enumerate(contexts):
         slots[i] = table.place(i, np.repeat(ctx, per_byte), node)
     return slots, bit, gates, per_unit
 
 
+def across(before: np.ndarray, sizes: np.ndarray, data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.repeat(before, sizes) << np.uint64(20) | back(data, place, 1) << np.uint64(9) | back(data, place, 2)
+
+
+def ends_before(joints: list[bytes]) -> np.ndarray:
+    """The last bytes of the word before, and how many, as one number."""
+    return np.array([int.from_bytes(j[: j.index(b" ")], "little") * 3 + j.index(b" ") for j in joints], dtype=np.uint64)
+
+
 def joint_unit(joint: bytes) -> bytes:
     """The bytes that a transition (last two bytes of a word, a space, first bytes of the next) predicts."""
     after = joint[joint.index(b" ") + 1 :]
@@ -151,8 +165,7 @@ def joint_unit(joint: bytes) -> bytes:
 def joint_bits(joints: list[bytes], code: Code, table: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of transitions: slots, bits, gates, and bits of each."""
     data, place, _, sizes, per_byte, node, bit, gates, per_unit = coded([joint_unit(j) for j in joints], code)
-    before = np.array([int.from_bytes(j[: j.index(b" ")], "little") * 3 + j.index(b" ") for j in joints], dtype=np.uint64)
-    ctx = np.repeat(before, sizes) << np.uint64(20) | back(data, place, 1) << np.uint64(9) | back(data, place, 2)
+    ctx = across(ends_before(joints), sizes, data, place)
     return table.place(ORDERS - 1, np.repeat(ctx, per_byte), node), bit, gates, per_unit
 
 
@@ -169,6 +182,69 @@ def signed(stretch: np.ndarray, slots: np.ndarray, bits: np.ndarray) -> np.ndarr
     return x
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type, *wide: int, room: int = 1 << 12):
+        self.held, self.n = np.zeros((room, *wide), dtype=kind), 0  # memory is taken when written to
+
+    def add(self, part: np.ndarray) -> None:
+        need = self.n + len(part)
+        if need > len(self.held):
+            more = np.zeros((max(need, 2 * len(self.held)), *self.held.shape[1:]), dtype=self.held.dtype)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : need] = part
+        self.n = need
+
+
+class Rows:
+    """Bits of words (from the byte JOINT on) and of transitions (the bytes before), which together are those of a text:
+    each bit's logits against it in steps of 1/STEPS_OF_LOGIT, and their gated sum; where each word and transition begins
+    and how many bits it has. The first BLOCK_BITS bits are zeros."""
+
+    def __init__(self, mixer: Mixer, room: int = 1 << 12):
+        self.mixer, self.x, self.gated = mixer, Grown(np.int8, WIDE, room=room), Grown(np.float32, room=room)
+        self.words, self.joints = ((Grown(np.int64), Grown(np.int64)) for _ in range(2))
+        self.x.add(np.zeros((BLOCK_BITS, WIDE), dtype=np.int8))
+        self.gated.add(np.zeros(BLOCK_BITS, dtype=np.float32))
+
+    def add_words(self, units: list[bytes]) -> None:
+        """Of units (a word with its space, or the end symbol)."""
+        for a in range(0, len(units), NEW_UNITS):
+            some = units[a : a + NEW_UNITS]
+            sizes = np.zeros(len(some), dtype=np.int64)
+            long = [i for i, u in enumerate(some) if len(u) > JOINT]
+            if not long:
+                self._place(self.words, sizes)
+                continue
+            slots, bits, gates, per = unit_bits([some[i] for i in long], self.mixer.code, self.mixer.table)
+            keep = gates >= 4 * JOINT
+            sizes[long] = np.add.reduceat(keep.astype(np.int64), np.cumsum(per) - per)
+            keep = np.flatnonzero(keep)
+            self._add(self.words, sizes, (row.take(keep) for row in slots), bits.take(keep), gates.take(keep))
+
+    def add_joints(self, units: list[bytes], before: np.ndarray) -> None:
+        """Of transitions: what they predict, and the ends of the words before."""
+        for a in range(0, len(units), NEW_UNITS):
+            slots, bits, gates, sizes = unit_bits(units[a : a + NEW_UNITS], self.mixer.code, self.mixer.table, before[a : a + NEW_UNITS])
+            self._add(self.joints, sizes, slots, bits, gates)
+
+    def _add(self, kind: tuple[Grown, Grown], sizes: np.ndarray, slots: Iterable[np.ndarray], bits: np.ndarray, gates: np.ndarray) -> None:
+        self._place(kind, sizes)
+        sign, gated = np.array([1, -1], dtype=np.int8).take(bits), np.zeros(len(bits), dtype=np.float32)
+        x = np.zeros((len(bits), WIDE), dtype=np.int8)
+        for i, row in enumerate(slots):
+            x[:, i] = self.mixer.stretch.take(row) * sign
+            gated += x[:, i].astype(np.float32) * np.float32(1 / STEPS_OF_LOGIT) * self.mixer.weights[:, i].take(gates)
+        self.x.add(x)
+        self.gated.add(gated)
+
+    def _place(self, kind: tuple[Grown, Grown], sizes: np.ndarray) -> None:
+        kind[0].add(self.x.n + np.cumsum(sizes) - sizes)
+        kind[1].add(sizes)
+
+
 class Mixer:
     """Scores texts. weights: GATES x ORDERS, to which each text adds a correction of its own as it goes on."""
 
@@ -182,20 +258,6 @@ class Mixer:
         x = signed(self.stretch, slots, bits)
         return np.vstack([x, sum(row * self.weights[:, i].take(gates) for i, row in enumerate(x))]), sizes
 
-    @staticmethod
-    def by_bit(x: np.ndarray) -> np.ndarray:
-        """bits x (ORDERS + 1): the inputs inside the word, an empty place for that across words, and the gated sum."""
-        out = np.zeros((x.shape[1], ORDERS + 1), dtype=np.float32)
-        out[:, : ORDERS - 1] = x[:-1].T
-        out[:, ORDERS] = x[-1]
-        return out
-
-    def joined(self, joints: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs of transitions, the same gated, bits of each."""
-        slots, bits, gates, sizes = joint_bits(joints, self.code, self.table)
-        x = signed(self.stretch, slots, bits)
-        return x, x * self.weights[:, ORDERS - 1].take(gates), sizes
-
     def fit(self, texts: list[bytes], rounds: int = ROUNDS) -> None:
         """Each gate's weights by Newton steps on the bits of the texts; the texts are coded anew in each round."""
         for _ in range(rounds):
@@ -254,60 +316,73 @@ class Mixer:
             x[ORDERS - 1, places] = joint[theirs]
             yield x, gates[source]
 
-    def score(self, units: list[bytes], docs: list[np.ndarray], joints: list[bytes], marks: list[np.ndarray], known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """docs: indices into known units (by_bit, and bits of each), if any, and then units; marks: indices into joints, one for each word.
-        log10 probability of each doc."""
-        x, sizes = self.prepared(units)
-        if known is not None:
-            sizes = np.concatenate((known[1], sizes))
-        x = self.by_bit(x) if known is None else np.concatenate((known[0], self.by_bit(x)))
-        joint = self.joined(joints)
-        out = np.zeros(len(docs))
-        short = [i for i, d in enumerate(docs) if len(d) <= PIECE_WORDS]
-        out[short], _ = self._walk(x, sizes, joint, [docs[i] for i in short], [marks[i] for i in short])
-        for i, d in enumerate(docs):
-            moved = None
-            for a in range(0, len(d) if len(d) > PIECE_WORDS else 0, PIECE_WORDS):
-                part, moved = self._walk(x, sizes, joint, [d[a : a + PIECE_WORDS]], [marks[i][a : a + PIECE_WORDS]], moved)
-                out[i] += part[0]
-        return out
-
-    def _walk(self, x: np.ndarray, sizes: np.ndarray, joints: tuple, docs: list[np.ndarray], marks: list[np.ndarray], moved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each doc, and the corrections where they end, from those given."""
-        if not docs:
-            return np.zeros(0), np.zeros((0, ORDERS), dtype=np.float32)
-        joint, joint_gated, joint_sizes = joints
-        flat = np.concatenate(docs)
-        source, places, theirs = laid_out(flat, np.concatenate(marks), sizes, joint_sizes)
-        doc_bits = np.add.reduceat(sizes[flat], np.cumsum([0] + [len(d) for d in docs[:-1]]))
-        starts, blocks = np.cumsum(doc_bits) - doc_bits, -(-doc_bits // BLOCK_BITS)
-        first = np.cumsum(blocks) - blocks
+    def score(self, units: list[bytes], docs: list[np.ndarray], joints: list[bytes], marks: list[np.ndarray]) -> np.ndarray:
+        """docs: indices into units; marks: indices into joints, one for each word. log10 probability of each doc."""
+        rows = Rows(self)
+        rows.add_words(units)
+        rows.add_joints([joint_unit(j) for j in joints], ends_before(joints))
+        return self.score_rows(rows, np.concatenate(docs), np.concatenate(marks), np.array([len(d) for d in docs]))
+
+    def score_rows(self, rows: Rows, flat: np.ndarray, marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """flat, marks: numbers of the words and transitions of all docs in turn; sizes: words of each. log10 probabilities."""
+        out, begin = np.zeros(len(sizes)), np.cumsum(sizes) - sizes
+        weights = np.zeros((len(sizes), WIDE, 1), dtype=np.float32)  # the corrections
+        for start in range(0, int(sizes.max()), PIECE_WORDS):
+            live = np.flatnonzero(sizes > start)
+            n = np.minimum(sizes[live] - start, PIECE_WORDS)
+            at = ranges(begin[live] + start, n)
+            total, weights[live] = self._walk(rows, flat[at], marks[at], n, weights[live])
+            out[live] += total
+        return out / math.log(10)
+
+    def _walk(self, rows: Rows, words: np.ndarray, joints: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each doc, and the corrections where they end, from those given."""
+        at = 2 * np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
+        firsts, each = (np.zeros(2 * len(words) + len(sizes), dtype=np.int64) for _ in range(2))
+        for to, kind, number in ((0, rows.joints, joints), (1, rows.words, words)):
+            firsts[at + to], each[at + to] = kind[0].held[number], kind[1].held[number]
         # Each text's bits begin a block; the zeros after its last one move nothing and count one half each.
-        rows = np.zeros((int(blocks.sum()) * BLOCK_BITS, ORDERS + 1), dtype=np.float32)
-        for a, n, to in zip(starts.tolist(), doc_bits.tolist(), (first * BLOCK_BITS).tolist(), strict=True):
-            rows[to : to + n] = x.take(source[a : a + n], axis=0)
-        del source
-        places += np.repeat(first * BLOCK_BITS - starts, np.diff(np.append(np.searchsorted(places, starts), len(places))))
-        rows[places, ORDERS - 1] = joint[theirs]
-        rows[places, ORDERS] += joint_gated[theirs]
-        rows = rows.reshape(-1, BLOCK_BITS, ORDERS + 1)
-        order = np.argsort(-blocks, kind="stable")  # documents that have a k-th block come first
-        total, left = (blocks * BLOCK_BITS - doc_bits) * float(np.log(np.float32(2))), blocks[order]
-        weights = np.ones((len(docs), ORDERS + 1, 1), dtype=np.float32)  # the corrections, and the gated sum as it is
-        weights[:, :ORDERS, 0] = 0 if moved is None else moved
-        for k in range(int(left[0])):
-            n = int(np.searchsorted(-left, -k, side="left"))
-            part = rows[first[order[:n]] + k]
-            z = np.matmul(part, weights[:n])[:, :, 0]
-            np.clip(z, -30, 30, out=z)
+        ends = 2 * np.cumsum(sizes) + np.arange(len(sizes))
+        bits = np.add.reduceat(each, ends - 2 * sizes)
+        blocks = -(-bits // BLOCK_BITS)
+        each[ends] = blocks * BLOCK_BITS - bits
+        index, first = ranges(firsts, each).reshape(-1, BLOCK_BITS), np.cumsum(blocks) - blocks
+        total, order = each[ends] * float(np.log(np.float32(2))), np.argsort(-blocks, kind="stable")
+        for a in range(0, len(order), LANES):
+            some = order[a : a + LANES]
+            gained, weights[some] = self._step(rows, index, first[some], blocks[some], weights[some])
+            total[some] += gained
+        return total, weights
+
+    @staticmethod
+    def _step(rows: Rows, index: np.ndarray, first: np.ndarray, blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Block by block through docs side by side, those of most blocks first; arrays are used again from block to block."""
+        n, half = len(blocks), BLOCK_BITS // 2
+        lines, gated = rows.x.held.view(np.int64)[:, 0], rows.gated.held
+        at, raw = (np.empty((n, BLOCK_BITS), dtype=np.int64) for _ in range(2))
+        x, slope = np.empty((n, BLOCK_BITS, WIDE), dtype=np.float32), np.empty((n, 1, WIDE), dtype=np.float32)
+        z, inverse, pairs = (np.empty((n, k), dtype=np.float32) for k in (BLOCK_BITS, BLOCK_BITS, half))
+        total, weights = np.zeros(n), weights * np.float32(1 / STEPS_OF_LOGIT)
+        for k, m in enumerate(np.searchsorted(-blocks, -np.arange(blocks[0]), side="left").tolist()):
+            if m < n:  # shorter docs are done
+                n, at, raw, x, slope, z, inverse, pairs = m, at[:m], raw[:m], x[:m], slope[:m], z[:m], inverse[:m], pairs[:m]
+            index.take(first[:n] + k, axis=0, out=at, mode="clip")
+            lines.take(at, out=raw, mode="clip")
+            x[...] = raw.view(np.int8).reshape(n, BLOCK_BITS, WIDE)
+            np.matmul(x, weights[:n], out=z[:, :, None])
+            gated.take(at, out=inverse, mode="clip")
+            z += inverse
+            np.minimum(z, np.float32(30), out=z)
             np.exp(z, out=z)
-            inverse = z + np.float32(1)  # of the bit's probability
+            np.add(z, np.float32(1), out=inverse)  # of the bit's probability
             z /= inverse
-            total[order[:n]] -= np.log(inverse).sum(axis=1, dtype=np.float64)
-            weights[:n, :ORDERS, 0] -= np.float32(RATE) * np.matmul(z[:, None, :], part)[:, 0, :ORDERS]
-        back = np.empty((len(docs), ORDERS), dtype=np.float32)
-        back[order] = weights[:, :ORDERS, 0]
-        return total / math.log(10), back
+            np.multiply(inverse[:, :half], inverse[:, half:], out=pairs)
+            np.log(pairs, out=pairs)
+            total[:n] -= np.add.reduce(pairs, axis=1, dtype=np.float64)
+            np.matmul(z[:, None, :], x, out=slope)
+            slope *= np.float32(RATE / STEPS_OF_LOGIT**2)
+            weights[:n] -= slope.transpose(0, 2, 1)
+        return total, weights * np.float32(STEPS_OF_LOGIT)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,16 +421,98 @@ def transitions(words: list[bytes]) -> list[bytes]:
     return [a[-2:] + b" " + b[:JOINT] for a, b in zip([b"", *words], words, strict=False)]
 
 
-def split_units(raws: list[bytes], known: dict[bytes, int] | None = None) -> tuple[list[bytes], list[np.ndarray], list[bytes], list[np.ndarray]]:
-    """Distinct words beside the known (without any, 0 is the end), and each text's words as indices, the end last;
-    distinct transitions, and each text's as indices."""
-    ids, joints, docs, marks = Numbered(known or {b"": 0}), Numbered(), [], []
+def split_units(raws: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[bytes], list[np.ndarray]]:
+    """Distinct words, 0 the end, and each text's words as indices, the end last; distinct transitions, and each text's
+    as indices."""
+    ids, joints, docs, marks = Numbered({b"": 0}), Numbered(), [], []
     for raw in raws:
         words = raw.lower().split()
         words.append(b"")
         docs.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
         marks.append(np.fromiter(map(joints.__getitem__, transitions(words)), dtype=np.int64, count=len(words)))
-    return list(ids)[len(known or ()) :], docs, list(joints), marks
+    return list(ids), docs, list(joints), marks
+
+
+class Vocabulary:
+    """Words by number, as they are met. A transition's key is exact: the last two bytes of the word before, the first JOINT
+    of the word, and how many there are of each."""
+
+    def __init__(self):
+        self.ids, self.words, self.heads, self.tails = Numbered(), [], Grown(np.int64), Grown(np.int64)
+
+    def split(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words; new ones take the next."""
+        flat = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self.ids) > len(self.words):
+            self.meet(list(islice(reversed(self.ids), len(self.ids) - len(self.words)))[::-1])
+        return flat
+
+    def meet(self, new: list[bytes]) -> None:
+        self.words += new
+        sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        head, tail = (np.array(x, dtype=kind).view(number).astype(np.int64) for x, kind, number in (([w[:JOINT] for w in new], "S4", "<u4"), ([w[-2:] for w in new], "S2", "<u2")))
+        self.heads.add(head | np.minimum(sizes, JOINT) << 24)
+        self.tails.add((tail | np.minimum(sizes, 2) << 16) << 26)
+
+    def keys(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of the transition to each word of texts, which start at `starts`."""
+        key = self.heads.held[flat]
+        before = self.tails.held[flat[:-1]]
+        before[starts[1:] - 1] = 0
+        key[1:] |= before
+        return key
+
+
+def key_joint(key: int) -> bytes:
+    before, after = key >> 26, key & (1 << 26) - 1
+    return (before & 0xFFFF).to_bytes(2, "little")[: before >> 16] + b" " + (after & 0xFFFFFF).to_bytes(3, "little")[: after >> 24]
+
+
+def split_texts(raws: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts in turn, each text's end last, and how many are each text's."""
+    words, sizes = [], []
+    for raw in raws:
+        mine = (raw or b"").lower().split()
+        mine.append(b"")
+        words += mine
+        sizes.append(len(mine))
+    return words, np.array(sizes, dtype=np.int64)
+
+
+class Lexicon(Vocabulary):
+    """Words and transitions met so far with their bits; starts with common words, the end first."""
+
+    def __init__(self, mixer: Mixer, common: list[bytes]):
+        super().__init__()
+        self.rows, self.joints = Rows(mixer, HELD_BITS + HELD_BITS // 4), {}
+        self.slots, self.numbers = np.full(1 << LOOKUP_BITS, -1, dtype=np.int64), np.zeros(1 << LOOKUP_BITS, dtype=np.int64)
+        self.split(common)
+
+    def meet(self, new: list[bytes]) -> None:
+        super().meet(new)
+        self.rows.add_words(unit_bytes(new))
+
+    def marks(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers of the transitions; those met last in each slot are found without the dictionary."""
+        key = self.keys(flat, starts)
+        at = (key.view(np.uint64) * _P >> np.uint64(64 - LOOKUP_BITS)).view(np.int64)
+        out, missed = self.numbers[at], np.flatnonzero(self.slots[at] != key)
+        if len(missed):
+            got, back = np.unique(key[missed], return_inverse=True)
+            new = [k for k in got.tolist() if k not in self.joints]
+            self.joints.update(zip(new, range(len(self.joints), len(self.joints) + len(new)), strict=True))
+            before = np.array(new, dtype=np.uint64) >> np.uint64(26)
+            self.rows.add_joints([self._unit(k) for k in new], (before & np.uint64(0xFFFF)) * np.uint64(3) + (before >> np.uint64(16)))
+            out[missed] = np.fromiter(map(self.joints.__getitem__, got.tolist()), dtype=np.int64, count=len(got))[back]
+            self.numbers[at[missed]] = out[missed]
+            self.slots[at[missed]] = key[missed]
+        return out
+
+    @staticmethod
+    def _unit(key: int) -> bytes:
+        """joint_unit of a key."""
+        size = key >> 24 & 3
+        return END if not size else (key & 0xFFFFFF).to_bytes(3, "little") if size == JOINT else (key & 0xFFFFFF).to_bytes(3, "little")[:size] + b" "
 
 
 def unit_bytes(words: list[bytes]) -> list[bytes]:
@@ -366,23 +523,35 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     """w, joint, n: tokens of all rows (the empty word is the end token), and, where joint, their transitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def rows():
-            for joint, some in enumerate(held):
-                keys = list(some)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([bool(joint)] * len(keys), pa.bool_()), pa.array(list(some.values()), pa.int64())], names=["w", "joint", "n"])
-                some.clear()
-
-        for batch in batches:
-            for raw in utf8(batch, text):
-                words = (raw or b"").lower().split()
-                words.append(b"")
-                held[0].update(words)
-                held[1].update(transitions(words))
-                if len(held[0]) + len(held[1]) > FLUSH_WORDS:
-                    yield from rows()
-        yield from rows()
+        def part(keys: list[bytes], joint: bool, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([joint] * len(keys), pa.bool_()), pa.array(n, pa.int64())], names=["w", "joint", "n"])
+
+        met, times, joints, tokens = Vocabulary(), np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+
+        def gathered() -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate(tokens or [np.zeros(0, np.int64)])
+            return summed(np.concatenate((joints[0], keys)), np.concatenate((joints[1], np.ones(len(keys), np.int64))))
+
+        for whole in batches:
+            for batch in slices([whole.set_column(0, text, whole.column(0).cast(pa.binary()))], text, SCORE_BYTES):
+                words, sizes = split_texts(batch.column(0).to_pylist())
+                flat = met.split(words)
+                more = np.bincount(flat, minlength=len(met.words))
+                more[: len(times)] += times
+                times = more
+                tokens.append(met.keys(flat, np.cumsum(sizes) - sizes))
+                if sum(map(len, tokens)) > FLUSH_WORDS:
+                    joints = gathered()
+                    tokens.clear()
+                if len(times) + len(joints[0]) > FLUSH_WORDS:
+                    joints = gathered()
+                    tokens.clear()
+                    yield part(met.words, False, times)
+                    yield part([key_joint(k) for k in joints[0].tolist()], True, joints[1])
+                    met, times, joints = Vocabulary(), np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        joints = gathered()
+        yield part(met.words, False, times)
+        yield part([key_joint(k) for k in joints[0].tolist()], True, joints[1])
 
     return df.select(text).mapInArrow(tidy(run), "w binary, joint boolean, n long").groupBy("joint", "w").agg(F.sum("n").alias("n"))
 
@@ -517,24 +686,28 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
         head, mixer = shared.value
         get = head.get
         common = [b"", *sorted((w for w in head if w), key=lambda w: (-head[w], w))[:PREPARED]]
-        known, (inputs, each) = {w: i for i, w in enumerate(common)}, mixer.prepared(unit_bytes(common))
-        ready = mixer.by_bit(inputs), each
-        for batch in slices((b.set_column(b.schema.get_field_index(raw_text), raw_text, b.column(raw_text).cast(pa.binary())) for b in batches), raw_text, BATCH_BYTES):
-            new, docs, joints, marks = split_units([x or b"" for x in batch.column(raw_text).to_pylist()], known)
-            words = common + new
-            counts = np.array([get(w, 0) for w in words], dtype=np.float64)
-            value = np.where(counts > 0, np.log10(np.maximum(counts, 1) + 0.5) - math.log10(total), 0.0)
-            flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+        lexicon = facts = None
+        for batch in slices((b.set_column(b.schema.get_field_index(raw_text), raw_text, b.column(raw_text).cast(pa.binary())) for b in batches), raw_text, SCORE_BYTES):
+            if lexicon is None or lexicon.rows.x.n > HELD_BITS:
+                lexicon, facts = Lexicon(mixer, common), (Grown(np.float64), Grown(np.float64), Grown(np.int64))
+            tokens, sizes = split_texts(batch.column(raw_text).to_pylist())
+            flat, words = lexicon.split(tokens), lexicon.words
+            del tokens
             starts = np.cumsum(sizes) - sizes
+            new = words[facts[0].n :]
+            counts = np.array([get(w, 0) for w in new], dtype=np.float64)
+            value = np.where(counts > 0, np.log10(np.maximum(counts, 1) + 0.5) - math.log10(total), 0.0)
+            for kind, part in zip(facts, (counts, value, np.array([len(w) + 1 for w in new], dtype=np.int64)), strict=True):
+                kind.add(part)
+            counts, value, lengths = (x.held for x in facts)
             found = np.add.reduceat((counts > 0).astype(np.int64)[flat], starts)
             base = np.add.reduceat(value[flat], starts)
-            scores = mixer.score(unit_bytes(new), docs, joints, marks, ready)
-            lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+            scores = mixer.score_rows(lexicon.rows, flat, lexicon.marks(flat, starts), sizes)
             n_bytes = np.add.reduceat(lengths[flat], starts)
             rare = np.flatnonzero(counts[flat] == 0)
-            pair, n = np.unique(np.repeat(np.arange(len(docs)), sizes)[rare] * len(words) + flat[rare], return_counts=True)
+            pair, n = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rare] * len(words) + flat[rare], return_counts=True)
             at, word = np.divmod(pair, max(1, len(words)))
-            offsets = np.searchsorted(at, np.arange(len(docs) + 1)).astype(np.int32)
+            offsets = np.searchsorted(at, np.arange(len(sizes) + 1)).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array([words[k] for k in word.tolist()], pa.binary()), pa.array(n.astype(np.int64))], names=["w", "k"])
             arrays = [batch.column(row), pa.array(sizes), pa.array(found), pa.array(base), pa.array(scores), pa.array(n_bytes), pa.ListArray.from_arrays(pa.array(offsets), items)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *arrays], names=schema.names)

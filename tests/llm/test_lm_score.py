@@ -179,3 +179,53 @@ def test_weights_come_from_every_training_row(spark, corpus):
     whole = lm_score.Mixer(got.code, got.table, got.stretch)
     whole.fit([t.encode() for t in texts])
     assert np.abs(got.weights - whole.weights).max() < 1e-3
+
+
+def test_words_and_transitions_are_prepared_once(corpus):
+    """A lexicon adds bits for what it meets first only; later batches, in any order, score as texts on their own do."""
+    texts = [t for _, t in corpus] + ["a\x00 \x00a a", "x", "stone\x00 a"]
+    model = mixer(texts)
+    lexicon = lm_score.Lexicon(model, [b"", b"stone"])
+
+    def score(some):
+        words, sizes = lm_score.split_texts([t.encode() for t in some])
+        flat = lexicon.split(words)
+        return model.score_rows(lexicon.rows, flat, lexicon.marks(flat, np.cumsum(sizes) - sizes), sizes)
+
+    first, held = score(texts), lexicon.rows.x.n
+    again = score(texts[::-1])[::-1]
+    assert lexicon.rows.x.n == held and lexicon.rows.joints[0].n == len(lexicon.joints)
+    assert first == pytest.approx(scores(model, texts), rel=1e-5) and again == pytest.approx(first, rel=1e-5)
+
+
+def test_a_full_lexicon_starts_anew(spark, corpus, monkeypatch):
+    """Small batches with a lexicon that is full after each: the same scores and counts."""
+    df = spark.createDataFrame([*corpus, (None, None)], "doc_id long, text string").repartition(2)
+    model = lm_score.learn(df)
+    whole = {r["doc_id"]: r for r in lm_score.score_texts(df, model, ["doc_id"]).collect()}
+    monkeypatch.setattr(lm_score, "HELD_BITS", 1)
+    monkeypatch.setattr(lm_score, "SCORE_BYTES", 64)
+    small = {r["doc_id"]: r for r in lm_score.score_texts(df, model, ["doc_id"]).collect()}
+    assert whole.keys() == small.keys() == {None, *(i for i, _ in corpus)}
+    for i, r in whole.items():
+        assert (small[i]["n_tokens"], small[i]["n_known"]) == (r["n_tokens"], r["n_known"])
+        assert [small[i][k] for k in ("base_score", "score", "bits_per_byte")] == pytest.approx([r[k] for k in ("base_score", "score", "bits_per_byte")], rel=1e-5)
+
+
+@pytest.mark.parametrize("flush", [3, 300_000])
+def test_counts_of_words_and_transitions(spark, corpus, monkeypatch, flush):
+    """All rows, against plain counters, however often the counts are handed on."""
+    from collections import Counter
+
+    texts = [t for _, t in corpus] + [None, "a\x00 \x00a a", "zz\x00"] * 3
+    words, joints = Counter(), Counter()
+    for t in texts:
+        mine = [*(t or "").encode().lower().split(), b""]
+        words.update(mine)
+        joints.update(lm_score.transitions(mine))
+    monkeypatch.setattr(lm_score, "FLUSH_WORDS", flush)
+    monkeypatch.setattr(lm_score, "SCORE_BYTES", 64)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {(bytes(r["w"]), r["joint"]): r["n"] for r in lm_score.text_counts(df, "text").collect()}
+    assert got == {(w, False): n for w, n in words.items()} | {(j, True): n for j, n in joints.items()}
+    assert lm_score.text_counts(df.where("false"), "text").count() == 0
