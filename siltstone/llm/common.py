@@ -39,7 +39,11 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about max_bytes of the column (a longer row stands alone)."""
     for batch in batches:
-        sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
+        lengths = pc.binary_length(batch.column(column))
+        if batch.num_rows and (pc.sum(lengths).as_py() or 0) <= max_bytes:
+            yield batch
+            continue
+        sizes = [x or 0 for x in lengths.to_pylist()]
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > max_bytes:

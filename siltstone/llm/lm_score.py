@@ -32,8 +32,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ SMALL_BITS, LEAST_BITS, MOST_BITS = (14, 17, 19), 18, 22
 END = b"\xff"
 HEAD, FLUSH_WORDS, BATCH_BYTES, BLOCK_BITS, PREPARED, PIECE_WORDS = 1_000_000, 300_000, 1 << 19, 256, 20_000, 200_000
 SCORE_BYTES, HELD_BITS, NEW_UNITS, LANES, WIDE, LOOKUP_BITS = 1 << 20, 12_000_000, 4096, 64, 8, 18
-ROUNDS, ALIKE = 6, 2_000_000
+ROUNDS, ALIKE, LOW_BITS = 6, 2_000_000, 19
 RATE, CLIP, STEPS_OF_LOGIT, GATES, CHUNK = 0.006, 7.9375, 16, 16, 1 << 16
 _P, _SPREAD = np.uint64(0x9E3779B97F4A7C15), 0x85EBCA6B
 _PRIME = 1_000_003
@@ -65,9 +66,10 @@ class Slots:
         self.starts = tuple(sum(1 << b for b in self.bits[:i]) for i in range(ORDERS))
         self.total = sum(1 << b for b in self.bits)
 
-    def place(self, order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Slots from 64-bit contexts and 32-bit nodes."""
-        out = (context * _P >> np.uint64(32)).astype(np.uint32) + node
+    def place(self, order: int, context: np.ndarray, source: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Slots of bits from 64-bit contexts of bytes, each bit's byte, and 32-bit nodes."""
+        out = (context * _P >> np.uint64(32)).astype(np.uint32).take(source)
+        out += node
         out >>= np.uint32(32 - self.bits[order])
         out += np.uint32(self.starts[order])
         return out
@@ -101,17 +103,23 @@ class Code:
         self.depth = np.array([min(i, 3) for p in paths for i in range(len(p))], dtype=np.int8)
 
 
-def coded(units: list[bytes], code: Code):
-    """Bytes, their places in the unit, each unit's first byte; for each bit its byte, node, value, gate; bits per unit."""
+def coded(units: list[bytes], code: Code, least: int = 0):
+    """Bytes, their places in the unit, each unit's first byte and size; for each bit of the bytes from the place `least` on
+    its byte, node, value, gate; these bits per unit."""
     data = np.frombuffer(b"".join(units), dtype=np.uint8)
     sizes = np.array([len(u) for u in units], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(data), dtype=np.int64) - np.repeat(first, sizes)
-    per_byte = code.length[data]
-    at = ranges(code.start[data], per_byte)
-    gates = np.repeat((np.minimum(place, 3) * 4).astype(np.int8), per_byte) + code.depth[at]
+    per_byte = code.length.take(data)
+    if least:
+        per_byte[place < least] = 0
     ends = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(per_byte)))
-    return data, place, first, sizes, per_byte, code.node[at], code.bit[at], gates, ends[first + sizes] - ends[first]
+    source = np.repeat(np.arange(len(data), dtype=np.int64), per_byte)
+    at = (code.start.take(data) - ends[:-1]).take(source)
+    at += np.arange(len(at), dtype=np.int64)
+    gates = (np.minimum(place, 3) * 4).astype(np.int8).take(source)
+    gates += code.depth.take(at)
+    return data, place, first, sizes, source, code.node.take(at), code.bit.take(at), gates, ends[first + sizes] - ends[first]
 
 
 def back(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
@@ -123,10 +131,11 @@ def back(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def unit_bits(units: list[bytes], code: Code, table: Slots, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of units (a word with its space, or the end symbol): slots of the contexts inside the word (ORDERS - 1 x bits; where
-    the ends of the words before are given, those across words follow), bits, gates, and bits per unit."""
-    data, place, first, sizes, per_byte, node, bit, gates, per_unit = coded(units, code)
+def unit_bits(units: list[bytes], code: Code, table: Slots, before: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of units (a word with its space, or the end symbol), from their byte `least` on: slots of the contexts inside the word
+    (ORDERS - 1 x bits; where the ends of the words before are given, those across words follow), bits, gates, and bits per
+    unit."""
+    data, place, first, sizes, source, node, bit, gates, per_unit = coded(units, code, least)
     one = back(data, place, 1)
     two = one | back(data, place, 2) << np.uint64(9)
     three = two | back(data, place, 3) << np.uint64(18)
@@ -143,7 +152,7 @@ def unit_bits(units: list[bytes], code: Code, table: Slots, before: np.ndarray |
         contexts.append(across(before, sizes, data, place))
     slots = np.empty((len(contexts), len(node)), dtype=np.uint32)
     for i, ctx in enumerate(contexts):
-        slots[i] = table.place(i, np.repeat(ctx, per_byte), node)
+        slots[i] = table.place(i, ctx, source, node)
     return slots, bit, gates, per_unit
 
 
@@ -164,9 +173,9 @@ def joint_unit(joint: bytes) -> bytes:
 
 def joint_bits(joints: list[bytes], code: Code, table: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of transitions: slots, bits, gates, and bits of each."""
-    data, place, _, sizes, per_byte, node, bit, gates, per_unit = coded([joint_unit(j) for j in joints], code)
+    data, place, _, sizes, source, node, bit, gates, per_unit = coded([joint_unit(j) for j in joints], code)
     ctx = across(ends_before(joints), sizes, data, place)
-    return table.place(ORDERS - 1, np.repeat(ctx, per_byte), node), bit, gates, per_unit
+    return table.place(ORDERS - 1, ctx, source, node), bit, gates, per_unit
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
@@ -218,11 +227,8 @@ class Rows:
             if not long:
                 self._place(self.words, sizes)
                 continue
-            slots, bits, gates, per = unit_bits([some[i] for i in long], self.mixer.code, self.mixer.table)
-            keep = gates >= 4 * JOINT
-            sizes[long] = np.add.reduceat(keep.astype(np.int64), np.cumsum(per) - per)
-            keep = np.flatnonzero(keep)
-            self._add(self.words, sizes, (row.take(keep) for row in slots), bits.take(keep), gates.take(keep))
+            slots, bits, gates, sizes[long] = unit_bits([some[i] for i in long], self.mixer.code, self.mixer.table, least=JOINT)
+            self._add(self.words, sizes, slots, bits, gates)
 
     def add_joints(self, units: list[bytes], before: np.ndarray) -> None:
         """Of transitions: what they predict, and the ends of the words before."""
@@ -235,8 +241,12 @@ class Rows:
         sign, gated = np.array([1, -1], dtype=np.int8).take(bits), np.zeros(len(bits), dtype=np.float32)
         x = np.zeros((len(bits), WIDE), dtype=np.int8)
         for i, row in enumerate(slots):
-            x[:, i] = self.mixer.stretch.take(row) * sign
-            gated += x[:, i].astype(np.float32) * np.float32(1 / STEPS_OF_LOGIT) * self.mixer.weights[:, i].take(gates)
+            value = self.mixer.stretch.take(row)
+            value *= sign
+            x[:, i] = value
+            part = (self.mixer.weights[:, i] * np.float32(1 / STEPS_OF_LOGIT)).take(gates)
+            part *= value
+            gated += part
         self.x.add(x)
         self.gated.add(gated)
 
@@ -287,20 +297,17 @@ class Mixer:
         the bit, a byte each) and how often each occurs."""
         keys, counts = [], []
         long = [i for i, w in enumerate(words) if len(w) >= JOINT]
-        for across, some, n in ((False, [words[i] + b" " for i in long], times[long]), (True, [joint_unit(j) for j in joints], joint_times)):
+        for before, some, n in ((None, [words[i] + b" " for i in long], times[long]), (ends_before(joints), [joint_unit(j) for j in joints], joint_times)):
             if not some:
                 continue
-            slots, bits, gates, sizes = unit_bits(some, self.code, self.table)
+            slots, bits, gates, sizes = unit_bits(some, self.code, self.table, before, JOINT if before is None else 0)
             sign = np.array([1, -1], dtype=np.int8).take(bits)
-            x = [self.stretch.take(row) * sign for row in slots]
-            x.append(self.stretch.take(joint_bits(joints, self.code, self.table)[0]) * sign if across else np.zeros(len(bits), dtype=np.int8))
             key = gates.astype(np.int64)
-            for row in x:
+            for row in slots:
                 key <<= 8
-                key |= row.view(np.uint8)
-            keep = gates < 4 * JOINT if across else gates >= 4 * JOINT
-            keys.append(key[keep])
-            counts.append(np.repeat(n, sizes)[keep])
+                key |= (self.stretch.take(row) * sign).view(np.uint8)
+            keys.append(key << 8 if before is None else key)  # silent across words
+            counts.append(np.repeat(n, sizes))
         return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def inputs(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -386,11 +393,16 @@ class Mixer:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    """Distinct keys (of at most 63 - LOW_BITS bits) and the sums of their counts: keys are sorted with the low bits of their
+    counts behind them, which is faster than an order; what is above these bits is added to the key's sum."""
+    low = (1 << LOW_BITS) - 1
+    packed = np.sort(keys << LOW_BITS | counts & low)
+    high = np.flatnonzero(counts > low)
+    merged, packed = packed >> LOW_BITS, packed & low
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(merged)), dtype=bool), merged[1:] != merged[:-1])))
+    merged, n = merged[first], np.add.reduceat(packed, first) if len(first) else packed
+    np.add.at(n, np.searchsorted(merged, keys[high]), counts[high] & ~low)
+    return merged, n
 
 
 def apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,12 +420,11 @@ def laid_out(flat: np.ndarray, marks: np.ndarray, sizes: np.ndarray, joint_sizes
     return ranges(firsts[flat], each), ranges(begin, joint_each), ranges(joint_firsts[marks], joint_each)
 
 
-class Numbered(dict):
+def numbered(*known: bytes) -> defaultdict[bytes, int]:
     """Words by number; a new word takes the next."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    out = defaultdict(count(len(known)).__next__)
+    out.update(zip(known, range(len(known)), strict=True))
+    return out
 
 
 def transitions(words: list[bytes]) -> list[bytes]:
@@ -424,7 +435,7 @@ def transitions(words: list[bytes]) -> list[bytes]:
 def split_units(raws: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[bytes], list[np.ndarray]]:
     """Distinct words, 0 the end, and each text's words as indices, the end last; distinct transitions, and each text's
     as indices."""
-    ids, joints, docs, marks = Numbered({b"": 0}), Numbered(), [], []
+    ids, joints, docs, marks = numbered(b""), numbered(), [], []
     for raw in raws:
         words = raw.lower().split()
         words.append(b"")
@@ -438,7 +449,7 @@ class Vocabulary:
     of the word, and how many there are of each."""
 
     def __init__(self):
-        self.ids, self.words, self.heads, self.tails = Numbered(), [], Grown(np.int64), Grown(np.int64)
+        self.ids, self.words, self.heads, self.tails = numbered(), [], Grown(np.int64), Grown(np.int64)
 
     def split(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words; new ones take the next."""
@@ -463,9 +474,16 @@ class Vocabulary:
         return key
 
 
-def key_joint(key: int) -> bytes:
-    before, after = key >> 26, key & (1 << 26) - 1
-    return (before & 0xFFFF).to_bytes(2, "little")[: before >> 16] + b" " + (after & 0xFFFFFF).to_bytes(3, "little")[: after >> 24]
+def key_joints(keys: np.ndarray) -> pa.Array:
+    """The transitions of keys."""
+    before, after = keys >> 26, keys & (1 << 26) - 1
+    whole, held = np.empty((len(keys), 3 + JOINT), dtype=np.uint8), np.ones((len(keys), 3 + JOINT), dtype=bool)
+    whole[:, 2] = ord(" ")
+    for value, size, places in ((before & 0xFFFF, before >> 16, (0, 1)), (after & 0xFFFFFF, after >> 24, range(3, 3 + JOINT))):
+        for k, at in enumerate(places):
+            whole[:, at], held[:, at] = value >> 8 * k & 255, size > k
+    ends = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(held.sum(axis=1), dtype=np.int32)))
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(whole[held])])
 
 
 def split_texts(raws: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
@@ -523,8 +541,8 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     """w, joint, n: tokens of all rows (the empty word is the end token), and, where joint, their transitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def part(keys: list[bytes], joint: bool, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([joint] * len(keys), pa.bool_()), pa.array(n, pa.int64())], names=["w", "joint", "n"])
+        def part(keys: pa.Array, joint: bool, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, pa.array([joint] * len(keys), pa.bool_()), pa.array(n, pa.int64())], names=["w", "joint", "n"])
 
         met, times, joints, tokens = Vocabulary(), np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
 
@@ -546,12 +564,12 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
                 if len(times) + len(joints[0]) > FLUSH_WORDS:
                     joints = gathered()
                     tokens.clear()
-                    yield part(met.words, False, times)
-                    yield part([key_joint(k) for k in joints[0].tolist()], True, joints[1])
+                    yield part(pa.array(met.words, pa.binary()), False, times)
+                    yield part(key_joints(joints[0]), True, joints[1])
                     met, times, joints = Vocabulary(), np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         joints = gathered()
-        yield part(met.words, False, times)
-        yield part([key_joint(k) for k in joints[0].tolist()], True, joints[1])
+        yield part(pa.array(met.words, pa.binary()), False, times)
+        yield part(key_joints(joints[0]), True, joints[1])
 
     return df.select(text).mapInArrow(tidy(run), "w binary, joint boolean, n long").groupBy("joint", "w").agg(F.sum("n").alias("n"))
 
@@ -559,7 +577,7 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
 def train_counts(counted: DataFrame, code: Code, table: Slots) -> np.ndarray:
     """Logits of all counters, from bit counts over all training tokens; summed chunk by chunk, one byte each collected."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(table.total * 2, dtype=np.float32)
+        out = np.zeros(table.total * 2)
         for whole in batches:
             for batch in slices([whole], "w", BATCH_BYTES):
                 joint = batch.column("joint").to_numpy(zero_copy_only=False)
@@ -571,20 +589,23 @@ def train_counts(counted: DataFrame, code: Code, table: Slots) -> np.ndarray:
                     mine = [keys[i] for i in some.tolist()]
                     slots, bits, _, sizes = joint_bits(mine, code, table) if kind else unit_bits(unit_bytes(mine), code, table)
                     weight = np.repeat(n[some], sizes)
-                    for order, row in zip([ORDERS - 1] if kind else range(ORDERS - 1), np.atleast_2d(slots), strict=True):
-                        start, size = 2 * table.starts[order], 2 << table.bits[order]
-                        out[start : start + size] += np.bincount(row.astype(np.int64) * 2 + bits - start, weights=weight, minlength=size)
+                    for row in np.atleast_2d(slots):
+                        at = row.astype(np.int64)
+                        at *= 2
+                        at += bits
+                        np.add.at(out, at, weight)  # the tables, far larger than a batch, are not gone through for each
         for k in range(0, len(out), CHUNK):
             part = out[k : k + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+            if most := part.max():
+                kind = np.min_scalar_type(int(most))  # counts are whole; most need a byte or two
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([kind.str]), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["at", "kind", "part"])
 
     def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in part.column("part").to_pylist())
+        total = sum(np.frombuffer(x, dtype=kind).astype(np.float64) for kind, x in zip(part.column("kind").to_pylist(), part.column("part").to_pylist(), strict=True))
         return pa.table({"at": part.column("at").slice(0, 1), "part": pa.array([logits(total.reshape(-1, 2)).tobytes()], pa.binary())})
 
     out = np.zeros(table.total, dtype=np.int8)
-    for r in counted.mapInArrow(tidy(run), "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect():
+    for r in counted.mapInArrow(tidy(run), "at long, kind string, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect():
         out[r["at"] // 2 : (r["at"] + CHUNK) // 2] = np.frombuffer(r["part"], dtype=np.int8)
     return out
 

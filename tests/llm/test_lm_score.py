@@ -229,3 +229,54 @@ def test_counts_of_words_and_transitions(spark, corpus, monkeypatch, flush):
     got = {(bytes(r["w"]), r["joint"]): r["n"] for r in lm_score.text_counts(df, "text").collect()}
     assert got == {(w, False): n for w, n in words.items()} | {(j, True): n for j, n in joints.items()}
     assert lm_score.text_counts(df.where("false"), "text").count() == 0
+
+
+def test_sums_of_counts_of_any_size():
+    """Keys of 44 bits, counts on both sides of the bits that are sorted with the keys."""
+    from collections import Counter
+
+    rng = np.random.default_rng(19)
+    keys = np.concatenate((rng.integers(0, 50, 400), (1 << 44) - 1 - rng.integers(0, 50, 400)))
+    counts = rng.choice([0, 1, 7, (1 << 19) - 1, 1 << 19, (1 << 19) + 1, 1 << 50], 800)
+    want = Counter()
+    for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        want[k] += n
+    got = lm_score.summed(keys, counts)
+    assert dict(zip(*(x.tolist() for x in got), strict=True)) == dict(want) and (np.diff(got[0]) > 0).all()
+    assert [len(x) for x in lm_score.summed(keys[:0], counts[:0])] == [0, 0]
+
+
+def test_bits_from_a_place_on(corpus):
+    """Bits of words from the byte JOINT on are those of whole words without the bytes before, and no others are made."""
+    model = mixer([t for _, t in corpus])
+    units = lm_score.unit_bytes([b"", b"a", b"abc", b"stoneing", "wörd".encode(), b"fern1"])
+    slots, bits, gates, sizes = lm_score.unit_bits(units, model.code, model.table)
+    late = lm_score.unit_bits(units, model.code, model.table, least=lm_score.JOINT)
+    keep = gates >= 4 * lm_score.JOINT
+    assert all((a == b).all() for a, b in zip(late, (slots[:, keep], bits[keep], gates[keep]), strict=False))
+    assert late[3].tolist() == [int(keep[e - n : e].sum()) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+
+
+def test_counters_beyond_single_precision(spark, corpus):
+    """Counts of ones are not lost beside one of 2^25 in the same counter, wherever they stand in a batch."""
+    from pyspark.sql import functions as F
+
+    words = [(b"ab", 1 << 25)] + [(b"ab%d" % k, 8) for k in range(1 << 15)]
+    counted = spark.createDataFrame(words, "w binary, n long").select("w", F.lit(False).alias("joint"), "n").coalesce(1)
+    code, table = lm_score.Code(np.ones(256)), lm_score.Slots(1)
+    got = lm_score.train_counts(counted, code, table)
+    counts = np.zeros((table.total, 2))
+    for w, n in words:
+        slots, bits, _, _ = lm_score.unit_bits([w + b" "], code, table)
+        for row in slots:
+            np.add.at(counts, (row, bits), n)
+    assert (got == lm_score.logits(counts)).all()
+
+
+def test_transitions_of_keys():
+    """Built at once for all keys: whatever bytes they hold, and fewer than they may."""
+    words = [b"", b"a", b"stone\x00", b"\x00", b"x\x00", b"\xc3\xa9", b"fern", b""]
+    met = lm_score.Vocabulary()
+    keys = met.keys(met.split(words), np.array([0]))
+    assert lm_score.key_joints(keys).to_pylist() == lm_score.transitions(words)
+    assert lm_score.key_joints(keys[:0]).to_pylist() == []
