@@ -17,7 +17,8 @@ weights are refined adaptively: to them is added a correction that starts at zer
 it, moving along the coding gradient after every `BLOCK_BITS` bits (counted anew after `PIECE_WORDS` words, which bounds
 what is in memory). The sum of log10 over bits is the score; the bits per coded byte follow from it. What the predictors say
 of a text is laid out from the bits of its transitions and words, which a worker prepares once for each that it meets
-(it starts anew after `HELD_BITS` bits); the corrections walk through `LANES` texts side by side.
+(it starts anew after `HELD_BITS` bits); the corrections walk through `LANES` texts side by side, dealt from batches of
+`WALK_BITS` bits together, since a long text holds up its lane only.
 
 Base counts come from the same table of words. Its most frequent words (at most `HEAD`, each at least 1/`HEAD` of
 all tokens) are broadcast; the rest are joined by word.
@@ -34,7 +35,7 @@ import heapq
 import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count, islice
+from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,14 @@ SMALL_BITS, LEAST_BITS, MOST_BITS = (14, 17, 19), 18, 22
 END = b"\xff"
 HEAD, FLUSH_WORDS, BATCH_BYTES, BLOCK_BITS, PREPARED, PIECE_WORDS = 1_000_000, 300_000, 1 << 19, 256, 20_000, 200_000
 SCORE_BYTES, HELD_BITS, NEW_UNITS, LANES, WIDE, LOOKUP_BITS = 1 << 20, 12_000_000, 4096, 64, 8, 18
+WALK_BITS, RUNS = 1 << 24, 1 << 14
 ROUNDS, ALIKE, LOW_BITS = 6, 2_000_000, 19
 RATE, CLIP, STEPS_OF_LOGIT, GATES, CHUNK = 0.006, 7.9375, 16, 16, 1 << 16
 _P, _SPREAD = np.uint64(0x9E3779B97F4A7C15), 0x85EBCA6B
 _PRIME = 1_000_003
 _INVERSE = pow(_PRIME, -1, 1 << 64)
+SHORT, SOLID = 15, np.array([not bytes([b]).isspace() for b in range(256)])
+KEPT_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # the lowest k bytes
 
 
 class Slots:
@@ -107,7 +111,7 @@ def coded(units: list[bytes], code: Code, least: int = 0):
     """Bytes, their places in the unit, each unit's first byte and size; for each bit of the bytes from the place `least` on
     its byte, node, value, gate; these bits per unit."""
     data = np.frombuffer(b"".join(units), dtype=np.uint8)
-    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(data), dtype=np.int64) - np.repeat(first, sizes)
     per_byte = code.length.take(data)
@@ -223,11 +227,11 @@ class Rows:
         for a in range(0, len(units), NEW_UNITS):
             some = units[a : a + NEW_UNITS]
             sizes = np.zeros(len(some), dtype=np.int64)
-            long = [i for i, u in enumerate(some) if len(u) > JOINT]
-            if not long:
+            long = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) > JOINT
+            if not long.any():
                 self._place(self.words, sizes)
                 continue
-            slots, bits, gates, sizes[long] = unit_bits([some[i] for i in long], self.mixer.code, self.mixer.table, least=JOINT)
+            slots, bits, gates, sizes[long] = unit_bits(list(compress(some, long.tolist())), self.mixer.code, self.mixer.table, least=JOINT)
             self._add(self.words, sizes, slots, bits, gates)
 
     def add_joints(self, units: list[bytes], before: np.ndarray) -> None:
@@ -238,6 +242,7 @@ class Rows:
 
     def _add(self, kind: tuple[Grown, Grown], sizes: np.ndarray, slots: Iterable[np.ndarray], bits: np.ndarray, gates: np.ndarray) -> None:
         self._place(kind, sizes)
+        gates = gates.astype(np.intp)
         sign, gated = np.array([1, -1], dtype=np.int8).take(bits), np.zeros(len(bits), dtype=np.float32)
         x = np.zeros((len(bits), WIDE), dtype=np.int8)
         for i, row in enumerate(slots):
@@ -353,30 +358,37 @@ class Mixer:
         bits = np.add.reduceat(each, ends - 2 * sizes)
         blocks = -(-bits // BLOCK_BITS)
         each[ends] = blocks * BLOCK_BITS - bits
-        index, first = ranges(firsts, each).reshape(-1, BLOCK_BITS), np.cumsum(blocks) - blocks
-        total, order = each[ends] * float(np.log(np.float32(2))), np.argsort(-blocks, kind="stable")
-        for a in range(0, len(order), LANES):
-            some = order[a : a + LANES]
-            gained, weights[some] = self._step(rows, index, first[some], blocks[some], weights[some])
-            total[some] += gained
-        return total, weights
+        gained, weights = self._step(rows, short_ranges(firsts, each, rows.x.n).reshape(-1, BLOCK_BITS), blocks, weights)
+        return gained + each[ends] * float(np.log(np.float32(2))), weights
 
     @staticmethod
-    def _step(rows: Rows, index: np.ndarray, first: np.ndarray, blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Block by block through docs side by side, those of most blocks first; arrays are used again from block to block."""
-        n, half = len(blocks), BLOCK_BITS // 2
-        lines, gated = rows.x.held.view(np.int64)[:, 0], rows.gated.held
-        at, raw = (np.empty((n, BLOCK_BITS), dtype=np.int64) for _ in range(2))
+    def _step(rows: Rows, index: np.ndarray, blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Block by block through docs side by side; a lane whose doc ends takes up its next one. Arrays are used again from
+        block to block."""
+        lanes, first, half = dealt(blocks, LANES), np.cumsum(blocks) - blocks, BLOCK_BITS // 2
+        loads = np.array([blocks[mine].sum() for mine in lanes])
+        plan, turns = np.zeros((loads[0], len(lanes)), dtype=np.int64), defaultdict(list)  # blocks by turn and lane
+        for i, mine in enumerate(lanes):
+            plan[: loads[i], i] = ranges(first[mine], blocks[mine])
+            for k, doc in zip(np.cumsum(blocks[mine]).tolist(), mine[1:], strict=False):
+                turns[k].append((i, doc))
+        n, lines, gated = len(lanes), rows.x.held.view(np.int64)[:, 0], rows.gated.held
+        places, at, raw = (np.empty((n, BLOCK_BITS), dtype=kind) for kind in (index.dtype, np.int64, np.int64))
         x, slope = np.empty((n, BLOCK_BITS, WIDE), dtype=np.float32), np.empty((n, 1, WIDE), dtype=np.float32)
         z, inverse, pairs = (np.empty((n, k), dtype=np.float32) for k in (BLOCK_BITS, BLOCK_BITS, half))
-        total, weights = np.zeros(n), weights * np.float32(1 / STEPS_OF_LOGIT)
-        for k, m in enumerate(np.searchsorted(-blocks, -np.arange(blocks[0]), side="left").tolist()):
-            if m < n:  # shorter docs are done
-                n, at, raw, x, slope, z, inverse, pairs = m, at[:m], raw[:m], x[:m], slope[:m], z[:m], inverse[:m], pairs[:m]
-            index.take(first[:n] + k, axis=0, out=at, mode="clip")
+        gained, weights, docs = np.zeros(plan.shape), weights * np.float32(1 / STEPS_OF_LOGIT), np.array([mine[0] for mine in lanes])
+        own = weights[docs]
+        for k, m in enumerate(np.searchsorted(-loads, -np.arange(loads[0]), side="left").tolist()):
+            if m < n:  # shorter lanes are done
+                n, places, at, raw, x, slope, z, inverse, pairs = m, places[:m], at[:m], raw[:m], x[:m], slope[:m], z[:m], inverse[:m], pairs[:m]
+            if k in turns:
+                i, new = np.array(turns[k]).T
+                weights[docs[i]], docs[i], own[i] = own[i], new, weights[new]
+            index.take(plan[k, :n], axis=0, out=places, mode="clip")
+            at[...] = places
             lines.take(at, out=raw, mode="clip")
             x[...] = raw.view(np.int8).reshape(n, BLOCK_BITS, WIDE)
-            np.matmul(x, weights[:n], out=z[:, :, None])
+            np.matmul(x, own[:n], out=z[:, :, None])
             gated.take(at, out=inverse, mode="clip")
             z += inverse
             np.minimum(z, np.float32(30), out=z)
@@ -385,11 +397,37 @@ class Mixer:
             z /= inverse
             np.multiply(inverse[:, :half], inverse[:, half:], out=pairs)
             np.log(pairs, out=pairs)
-            total[:n] -= np.add.reduce(pairs, axis=1, dtype=np.float64)
+            np.add.reduce(pairs, axis=1, dtype=np.float64, out=gained[k, :n])
             np.matmul(z[:, None, :], x, out=slope)
             slope *= np.float32(RATE / STEPS_OF_LOGIT**2)
-            weights[:n] -= slope.transpose(0, 2, 1)
-        return total, weights * np.float32(STEPS_OF_LOGIT)
+            own[:n] -= slope.transpose(0, 2, 1)
+        weights[docs] = own
+        by_block, used = np.empty(len(index)), np.arange(len(plan))[:, None] < loads
+        by_block[plan[used]] = gained[used]
+        return -np.add.reduceat(by_block, first), weights * np.float32(STEPS_OF_LOGIT)
+
+
+def dealt(blocks: np.ndarray, lanes: int) -> list[list[int]]:
+    """Docs of each lane, those of most blocks first, each to the lane with the fewest so far; lanes of most blocks first."""
+    held = [(0, i) for i in range(min(lanes, len(blocks)))]
+    out: list[list[int]] = [[] for _ in held]
+    for doc in np.argsort(-blocks, kind="stable").tolist():
+        load, i = held[0]
+        out[i].append(doc)
+        heapq.heapreplace(held, (load + int(blocks[doc]), i))
+    return [out[i] for _, i in sorted(held, reverse=True)]
+
+
+def short_ranges(starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+    """ranges() of numbers up to `most`, four bytes each where that is enough."""
+    ends = np.cumsum(lengths)
+    out = np.empty(int(ends[-1]), dtype=np.int32 if most < 1 << 31 else np.int64)
+    at = 0
+    for a in range(0, len(starts), RUNS):
+        part = ranges(starts[a : a + RUNS], lengths[a : a + RUNS])
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,6 +488,40 @@ class Vocabulary:
 
     def __init__(self):
         self.ids, self.words, self.heads, self.tails = numbered(), [], Grown(np.int64), Grown(np.int64)
+        self.seen, self.seen_numbers = np.zeros((1 << LOOKUP_BITS, 2), dtype=np.uint64), np.zeros(1 << LOOKUP_BITS, dtype=np.int64)
+
+    def read(self, raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """split_texts, with numbers for the words. Words of at most SHORT bytes are told by two numbers that hold their bytes
+        and size; those met last in each slot are found without the dictionary, and only others become Python's bytes."""
+        raw = b" ".join([x or b"" for x in raws]).lower() + b" " * 16
+        lengths = np.fromiter((len(x or b"") for x in raws), dtype=np.int64, count=len(raws))
+        solid = SOLID.take(np.frombuffer(raw, dtype=np.uint8))
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        starts, ends = (edges[1::2], edges[2::2]) if solid[0] else (edges[::2], edges[1::2])
+        if solid[0]:
+            starts, ends = np.concatenate((np.zeros(1, dtype=np.int64), starts)), edges[::2]
+        sizes = ends - starts
+        eight = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))
+        first = eight[starts] & KEPT_BYTES.take(np.minimum(sizes, 8))
+        second = eight[np.minimum(starts + 8, len(eight) - 1)] & KEPT_BYTES.take(np.clip(sizes - 8, 0, 7))
+        second |= np.minimum(sizes, SHORT).astype(np.uint64) << np.uint64(56)
+        slot = ((first * _P ^ second) * _P >> np.uint64(64 - LOOKUP_BITS)).view(np.int64)
+        seen, numbers = self.seen.take(slot, axis=0), self.seen_numbers.take(slot)
+        missed = np.flatnonzero((seen[:, 0] != first) | (seen[:, 1] != second) | (sizes > SHORT))
+        if len(missed):
+            numbers[missed] = self.split([raw[a:b] for a, b in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)])
+            short = missed[sizes[missed] <= SHORT]
+            # Of several in one slot one is kept whole: numbers, then keys, come from the same word.
+            self.seen_numbers[slot[short]] = short
+            last = self.seen_numbers[slot[short]]
+            self.seen[slot[short], 0], self.seen[slot[short], 1], self.seen_numbers[slot[short]] = first[last], second[last], numbers[last]
+        end = self.split([b""])[0]
+        after = np.searchsorted(starts, np.cumsum(lengths + 1))  # words up to each text's end
+        flat = np.full(len(starts) + len(raws), end, dtype=np.int64)
+        own = np.ones(len(flat), dtype=bool)
+        own[after + np.arange(len(raws))] = False
+        flat[own] = numbers
+        return flat, np.diff(after, prepend=0) + 1
 
     def split(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words; new ones take the next."""
@@ -461,7 +533,11 @@ class Vocabulary:
     def meet(self, new: list[bytes]) -> None:
         self.words += new
         sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-        head, tail = (np.array(x, dtype=kind).view(number).astype(np.int64) for x, kind, number in (([w[:JOINT] for w in new], "S4", "<u4"), ([w[-2:] for w in new], "S2", "<u2")))
+        ends = np.cumsum(sizes)
+        raw = b"\x00\x00" + b"".join(new) + b"\x00" * 4
+        four, two = (np.ndarray(len(raw) - k + 1, dtype=f"<u{k}", buffer=raw, strides=(1,)) for k in (4, 2))
+        head = four[ends - sizes + 2].astype(np.int64) & KEPT_BYTES.view(np.int64).take(np.minimum(sizes, JOINT))
+        tail = two[ends].astype(np.int64) >> 8 * (2 - np.minimum(sizes, 2))
         self.heads.add(head | np.minimum(sizes, JOINT) << 24)
         self.tails.add((tail | np.minimum(sizes, 2) << 16) << 26)
 
@@ -552,8 +628,7 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
 
         for whole in batches:
             for batch in slices([whole.set_column(0, text, whole.column(0).cast(pa.binary()))], text, SCORE_BYTES):
-                words, sizes = split_texts(batch.column(0).to_pylist())
-                flat = met.split(words)
+                flat, sizes = met.read(batch.column(0).to_pylist())
                 more = np.bincount(flat, minlength=len(met.words))
                 more[: len(times)] += times
                 times = more
@@ -696,7 +771,8 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
     raw_text, row, tail_name = fresh(keep, "text", "row", "tail")
     total = model.tokens + 0.5 * (model.distinct + 1)
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((model.head, model.mixer))
+    common = [b"", *sorted((w for w in model.head if w), key=lambda w: (-model.head[w], w))[:PREPARED]]
+    shared = sc.broadcast((model.head, common, model.mixer))
     out = fresh([*keep, raw_text, row, tail_name], "n_tokens", "head_known", "head_base", "score", "n_bytes")
     kinds = [(row, T.LongType()), *zip(out, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))
@@ -704,16 +780,25 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
     schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(n, t) for n, t in kinds), T.StructField(tail_name, tail)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mixer = shared.value
+        head, common, mixer = shared.value
         get = head.get
-        common = [b"", *sorted((w for w in head if w), key=lambda w: (-head[w], w))[:PREPARED]]
         lexicon = facts = None
+        waiting: list[tuple[list[pa.Array], pa.Array, np.ndarray, np.ndarray, np.ndarray, int]] = []
+
+        def walked() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                flat, marks, sizes = (np.concatenate(x) for x in list(zip(*waiting, strict=True))[2:5])
+                scores = np.split(mixer.score_rows(lexicon.rows, flat, marks, sizes), np.cumsum([len(x[4]) for x in waiting])[:-1])
+                for (arrays, last, *_), part in zip(waiting, scores, strict=True):
+                    yield pa.RecordBatch.from_arrays([*arrays[:-1], pa.array(part), arrays[-1], last], names=schema.names)
+                waiting.clear()
+
         for batch in slices((b.set_column(b.schema.get_field_index(raw_text), raw_text, b.column(raw_text).cast(pa.binary())) for b in batches), raw_text, SCORE_BYTES):
             if lexicon is None or lexicon.rows.x.n > HELD_BITS:
+                yield from walked()
                 lexicon, facts = Lexicon(mixer, common), (Grown(np.float64), Grown(np.float64), Grown(np.int64))
-            tokens, sizes = split_texts(batch.column(raw_text).to_pylist())
-            flat, words = lexicon.split(tokens), lexicon.words
-            del tokens
+            flat, sizes = lexicon.read(batch.column(raw_text).to_pylist())
+            words = lexicon.words
             starts = np.cumsum(sizes) - sizes
             new = words[facts[0].n :]
             counts = np.array([get(w, 0) for w in new], dtype=np.float64)
@@ -723,15 +808,19 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
             counts, value, lengths = (x.held for x in facts)
             found = np.add.reduceat((counts > 0).astype(np.int64)[flat], starts)
             base = np.add.reduceat(value[flat], starts)
-            scores = mixer.score_rows(lexicon.rows, flat, lexicon.marks(flat, starts), sizes)
             n_bytes = np.add.reduceat(lengths[flat], starts)
             rare = np.flatnonzero(counts[flat] == 0)
             pair, n = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rare] * len(words) + flat[rare], return_counts=True)
             at, word = np.divmod(pair, max(1, len(words)))
             offsets = np.searchsorted(at, np.arange(len(sizes) + 1)).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array([words[k] for k in word.tolist()], pa.binary()), pa.array(n.astype(np.int64))], names=["w", "k"])
-            arrays = [batch.column(row), pa.array(sizes), pa.array(found), pa.array(base), pa.array(scores), pa.array(n_bytes), pa.ListArray.from_arrays(pa.array(offsets), items)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *arrays], names=schema.names)
+            arrays = [*(batch.column(k) for k in keep), batch.column(row), pa.array(sizes), pa.array(found), pa.array(base), pa.array(n_bytes)]
+            marks = lexicon.marks(flat, starts)
+            bits = int(lexicon.rows.words[1].held[flat].sum() + lexicon.rows.joints[1].held[marks].sum())
+            if bits + sum(x[5] for x in waiting) > WALK_BITS:
+                yield from walked()
+            waiting.append((arrays, pa.ListArray.from_arrays(pa.array(offsets), items), flat, marks, sizes, bits))
+        yield from walked()
 
     scored = stored(rows.mapInArrow(tidy(run), schema), "scored")
     n_tokens, head_known, head_base, total_score, n_bytes = out

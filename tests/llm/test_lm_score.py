@@ -280,3 +280,51 @@ def test_transitions_of_keys():
     keys = met.keys(met.split(words), np.array([0]))
     assert lm_score.key_joints(keys).to_pylist() == lm_score.transitions(words)
     assert lm_score.key_joints(keys[:0]).to_pylist() == []
+
+
+@pytest.mark.parametrize("slots", [1, 18])
+def test_words_read_as_they_split(monkeypatch, slots):
+    """Numbers of words found without Python's bytes are those of split texts: any white space, NULs, sizes about SHORT."""
+    monkeypatch.setattr(lm_score, "LOOKUP_BITS", slots)
+    long = [b"x" * n + tail for n in (7, 8, 9, 14, 15, 16, 17) for tail in (b"", b"\x00", b"y", b"Y\x00")]
+    spaces = b" \t\n\r\x0b\x0c"
+    texts = [None, b"", b"  ", spaces, b"a", b" a", b"a ", b"A\x1ca\x00 \x00A \x00 a\x00\x00", "\u00c9 \u00e9\u0085\u00a0x".encode(), b"zz\x00"]
+    texts += [b" ".join(long), b"".join(w + spaces[i % 6 : i % 6 + 1] for i, w in enumerate(long)), b"last"]
+    for some in (texts, texts[::-1], [b""], [None], texts[4:5], [b"a b"]):
+        met = lm_score.Vocabulary()
+        for _ in range(3):  # met, found again
+            flat, sizes = met.read(some)
+            words, want = lm_score.split_texts(some)
+            assert [met.words[i] for i in flat] == words and sizes.tolist() == want.tolist()
+        assert len(set(met.words)) == len(met.words) == len(set(words))
+        assert lm_score.key_joints(met.keys(flat, np.cumsum(sizes) - sizes)).to_pylist() == [j for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True) for j in lm_score.transitions(words[a:b])]
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 64])
+def test_lanes_take_up_the_next_text(corpus, monkeypatch, lanes):
+    """Whatever lane and turn a text has, its score is the one it has alone; no lane idles while texts wait."""
+    texts = [t for _, t in corpus] + [" ".join(t for _, t in corpus[:k]) for k in (30, 3, 12, 20)]
+    model = mixer(texts)
+    alone = [scores(model, [t])[0] for t in texts]
+    monkeypatch.setattr(lm_score, "LANES", lanes)
+    assert scores(model, texts) == pytest.approx(alone, rel=1e-5)
+    blocks = np.array([40, 1, 7, 7, 3, 1, 1, 20])
+    got = lm_score.dealt(blocks, lanes)
+    loads = [int(blocks[mine].sum()) for mine in got]
+    assert sorted(d for mine in got for d in mine) == list(range(8)) and loads == sorted(loads, reverse=True)
+    assert loads[0] == max(40, -(-80 // lanes)) and len(got) == min(lanes, 8)
+
+
+def test_batches_walk_together(spark, corpus, monkeypatch):
+    """Each text once, with its own columns, whether batches wait for each other or not."""
+    df = spark.createDataFrame([*corpus, (None, None)], "doc_id long, text string").repartition(2)
+    model = lm_score.learn(df)
+    monkeypatch.setattr(lm_score, "SCORE_BYTES", 64)
+    found = []
+    for most in (1, 2000, 1 << 24):
+        monkeypatch.setattr(lm_score, "WALK_BITS", most)
+        found.append({r["doc_id"]: r for r in lm_score.score_texts(df, model, ["doc_id"]).collect()})
+    assert found[0].keys() == {None, *(i for i, _ in corpus)}
+    for i, r in found[0].items():
+        for other in found[1:]:
+            assert other[i][:4] == r[:4] and list(other[i][4:]) == pytest.approx(list(r[4:]), rel=1e-5)
