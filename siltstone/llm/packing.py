@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from operator import attrgetter
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import stored, tidy, utf8
 
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 100_000
+WINDOW, END_ID, CACHE_WORDS, PIECE_CHARS = 4096, 2, 100_000, 8
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -54,7 +55,8 @@ class WordTokenizer:
     White space ends every pre-token of this tokenizer and is dropped, so the ids of a text are those of its
     words in turn. Words are looked up in a cache of two generations: when the younger is full it becomes the
     elder, so frequent words stay. A longer run of letters in a word is a word of the cache itself, so that a word costs
-    the model once, whatever punctuation stands at it. Words of Latin-1 letters, digits and ASCII punctuation (no apostrophe) are cut
+    the model once, whatever punctuation stands at it; short runs of punctuation are kept likewise. Words of Latin-1
+    letters, digits and ASCII punctuation (no apostrophe) are cut
     into the pre-tokenizer's pieces here and go to the BPE model directly; all others go through the whole tokenizer.
     The tokenizer's special strings are cut out of the raw text first, since it finds them before it normalises; a
     word that only looks like one in lower case is ordinary text.
@@ -63,6 +65,8 @@ class WordTokenizer:
     PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[0-9]|[!-&(-/:-@\[-`{-~])+")
     PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
+    TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
     STOPS = frozenset((b".", b",", b"?", b":", b";"))
 
     def __init__(self, path: str):
@@ -77,9 +81,11 @@ class WordTokenizer:
         self.special = {t.content.encode(): struct.pack("<H", i) for i, t in self.model.get_added_tokens_decoder().items()}
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.bpe = self.model.model
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(0xC0, 0x100)]
-        self.bytes_as_letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        level, letters = ByteLevel(add_prefix_space=False, use_regex=False), list(map(chr, range(256)))
+        for c in map(chr, range(0xC0, 0x100)):
+            for byte, letter in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
+                letters[byte] = letter
+        self.bytes_as_letters = "".join(letters)  # of the bytes of ASCII and Latin-1 letters
         self.cache = WordCache(self.word, {})
         self.pieces: dict[str, bytes] = {}
         self.number, self.packs = attrgetter("id"), [struct.Struct(f"<{n}H").pack for n in range(64)]
@@ -92,15 +98,19 @@ class WordTokenizer:
         n = len(ids)
         return self.packs[n](*ids) if n < len(self.packs) else struct.pack(f"<{n}H", *ids)
 
+    def _letters(self, raw: bytes) -> str:
+        """The model's letters for bytes, one each."""
+        return charmap_decode(raw, "strict", self.bytes_as_letters)[0]
+
     def _piece(self, piece: str) -> bytes:
         if len(piece) > 3 and piece[0].isalpha():
             word = piece.encode()
             ids = self.cache.get(word) or self.cache.elder.get(word)
             if ids is None:
-                self.cache[word] = ids = self._pack(piece if piece.isascii() else piece.translate(self.bytes_as_letters))
+                self.cache[word] = ids = self._pack(piece if piece.isascii() else self._letters(word))
             return ids
-        ids = self._pack(piece if piece.isascii() else piece.translate(self.bytes_as_letters))
-        if len(piece) <= 3:
+        ids = self._pack(piece if piece.isascii() else self._letters(piece.encode()))
+        if len(piece) <= PIECE_CHARS:
             if len(self.pieces) > CACHE_WORDS:
                 self.pieces.clear()
             self.pieces[piece] = ids
@@ -117,6 +127,13 @@ class WordTokenizer:
             stop = w[-1:].decode()
             return ids + (self.pieces.get(stop) or self._piece(stop))
         text = w.decode()
+        if tailed := self.TAILED.fullmatch(text):
+            stem, stop = tailed.groups()
+            low = stem.lower()
+            if not stop and low == stem:
+                return self._pack(self._letters(w))
+            ids = (len(low) <= 3 and self.pieces.get(low)) or self._piece(low)
+            return ids + (self.pieces.get(stop) or self._piece(stop)) if stop else ids
         if self.PLAIN.fullmatch(text):
             known = self.pieces.get
             return b"".join([known(x) or self._piece(x) for x in self.PIECES.findall(text.lower())])

@@ -440,3 +440,29 @@ def test_words_meet_the_model_once_whatever_their_punctuation():
     (got,) = tok.encode([text.encode()])
     assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
     assert asked.count("stoneword") == 1
+
+
+def test_tails_of_words_meet_the_model_once():
+    """Words of Latin-1 letters with punctuation behind them: the tokenizer's own ids; a tail costs the model once, and a word
+    of other than ASCII letters is one call."""
+    from tokenizers import Tokenizer
+
+    tok, plain = packing.WordTokenizer(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    model, asked = tok.bpe, []
+
+    class Counting:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    tok.bpe = Counting()
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]]  # with × and ÷, which are none
+    rng = np.random.default_rng(23)
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) + str(rng.choice(["", ".", "!", "$$$.", ".%%%&&#", "((((((((((", "7", "'s", "-é"])) for _ in range(3000)]
+    for text in (" ".join(words), " ".join(words[::-1]), *words[:300]):
+        (got,) = tok.encode([text.encode()])
+        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert asked.count("$$$.") == asked.count(".%%%&&#") == 1
+    asked.clear()
+    (got,) = tok.encode(["straßenôôôn".encode()])
+    assert len(asked) == 1 and np.frombuffer(got, "<u2").tolist() == plain.encode("straßenôôôn", add_special_tokens=False).ids
