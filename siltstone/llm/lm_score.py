@@ -20,8 +20,8 @@ of a text is laid out from the bits of its transitions and words, which a worker
 (it starts anew after `HELD_BITS` bits); the corrections walk through `LANES` texts side by side, dealt from batches of
 `WALK_BITS` bits together, since a long text holds up its lane only.
 
-Base counts come from the same table of words. Its most frequent words (at most `HEAD`, each at least 1/`HEAD` of
-all tokens) are broadcast; the rest are joined by word.
+Base counts come from the same table of words. Its `HEAD` most frequent words (fewer where counts tie) are broadcast, as
+numbers rather than Python's bytes; the rest are joined by word.
 
 Edge cases: null text counts as empty and is one end token; without training rows every count is zero and the score
 is that of the untrained mixer; repeated rows are scored alike; very long texts stand in a batch of their own and adapt
@@ -49,9 +49,9 @@ from siltstone.llm.common import ranges, slices, stored, tidy
 ORDERS, JOINT = 5, 3  # the last predictor crosses words
 SMALL_BITS, LEAST_BITS, MOST_BITS = (14, 17, 19), 18, 22
 END = b"\xff"
-HEAD, FLUSH_WORDS, BATCH_BYTES, BLOCK_BITS, PREPARED, PIECE_WORDS = 1_000_000, 300_000, 1 << 19, 256, 20_000, 200_000
-SCORE_BYTES, HELD_BITS, NEW_UNITS, LANES, WIDE, LOOKUP_BITS = 1 << 20, 12_000_000, 4096, 64, 8, 18
-WALK_BITS, RUNS = 1 << 24, 1 << 14
+HEAD, FLUSH_WORDS, BATCH_BYTES, BLOCK_BITS, PREPARED, PIECE_WORDS = 500_000, 600_000, 1 << 19, 256, 20_000, 200_000
+SCORE_BYTES, HELD_BITS, NEW_UNITS, LANES, WIDE, LOOKUP_BITS, JOINT_BITS = 1 << 20, 12_000_000, 4096, 64, 8, 19, 18
+WALK_BITS, RUN, FINE = 1 << 23, 1 << 16, 24  # a line's last four bytes count 2^-FINE
 ROUNDS, ALIKE, LOW_BITS = 6, 2_000_000, 19
 RATE, CLIP, STEPS_OF_LOGIT, GATES, CHUNK = 0.006, 7.9375, 16, 16, 1 << 16
 _P, _SPREAD = np.uint64(0x9E3779B97F4A7C15), 0x85EBCA6B
@@ -212,15 +212,15 @@ class Grown:
 
 
 class Rows:
-    """Bits of words (from the byte JOINT on) and of transitions (the bytes before), which together are those of a text:
-    each bit's logits against it in steps of 1/STEPS_OF_LOGIT, and their gated sum; where each word and transition begins
-    and how many bits it has. The first BLOCK_BITS bits are zeros."""
+    """Bits of words (from the byte JOINT on) and of transitions (the bytes before), which together are those of a text: a
+    line of eight bytes for each bit, its logits against it in steps of 1/STEPS_OF_LOGIT, then their gated sum in three bytes
+    (read with the last logit as one number of four bytes, it is right to 2^(8 - FINE) / 2); where each word and transition
+    begins and how many bits it has. The first BLOCK_BITS bits are zeros."""
 
     def __init__(self, mixer: Mixer, room: int = 1 << 12):
-        self.mixer, self.x, self.gated = mixer, Grown(np.int8, WIDE, room=room), Grown(np.float32, room=room)
+        self.mixer, self.x = mixer, Grown(np.int8, WIDE, room=room)
         self.words, self.joints = ((Grown(np.int64), Grown(np.int64)) for _ in range(2))
         self.x.add(np.zeros((BLOCK_BITS, WIDE), dtype=np.int8))
-        self.gated.add(np.zeros(BLOCK_BITS, dtype=np.float32))
 
     def add_words(self, units: list[bytes]) -> None:
         """Of units (a word with its space, or the end symbol)."""
@@ -252,8 +252,12 @@ class Rows:
             part = (self.mixer.weights[:, i] * np.float32(1 / STEPS_OF_LOGIT)).take(gates)
             part *= value
             gated += part
+        gated *= np.float32(1 << FINE)
+        line = x.view(np.int32)[:, 1]
+        gated -= line
+        gated *= np.float32(1 / 256)
+        line += np.rint(gated, out=gated).astype(np.int32) << 8
         self.x.add(x)
-        self.gated.add(gated)
 
     def _place(self, kind: tuple[Grown, Grown], sizes: np.ndarray) -> None:
         kind[0].add(self.x.n + np.cumsum(sizes) - sizes)
@@ -283,7 +287,7 @@ class Mixer:
 
     def slopes(self, x: np.ndarray, gates: np.ndarray, times: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> None:
         """Adds to each gate's derivatives what bits (ORDERS x bits, each so many times) give."""
-        order = np.argsort(gates, kind="stable")
+        order = np.argsort(gates.astype(np.int8), kind="stable")  # small kinds are sorted by counting
         x, times, cuts = x[:, order], times[order], np.searchsorted(gates[order], np.arange(GATES + 1))
         for g in range(GATES):
             xs, n = x[:, cuts[g] : cuts[g + 1]].astype(np.float64), times[cuts[g] : cuts[g + 1]]
@@ -372,7 +376,7 @@ class Mixer:
             plan[: loads[i], i] = ranges(first[mine], blocks[mine])
             for k, doc in zip(np.cumsum(blocks[mine]).tolist(), mine[1:], strict=False):
                 turns[k].append((i, doc))
-        n, lines, gated = len(lanes), rows.x.held.view(np.int64)[:, 0], rows.gated.held
+        n, lines = len(lanes), rows.x.held.view(np.int64)[:, 0]
         places, at, raw = (np.empty((n, BLOCK_BITS), dtype=kind) for kind in (index.dtype, np.int64, np.int64))
         x, slope = np.empty((n, BLOCK_BITS, WIDE), dtype=np.float32), np.empty((n, 1, WIDE), dtype=np.float32)
         z, inverse, pairs = (np.empty((n, k), dtype=np.float32) for k in (BLOCK_BITS, BLOCK_BITS, half))
@@ -389,7 +393,8 @@ class Mixer:
             lines.take(at, out=raw, mode="clip")
             x[...] = raw.view(np.int8).reshape(n, BLOCK_BITS, WIDE)
             np.matmul(x, own[:n], out=z[:, :, None])
-            gated.take(at, out=inverse, mode="clip")
+            inverse[...] = raw.view(np.int32)[:, 1::2]
+            inverse *= np.float32(1 / (1 << FINE))
             z += inverse
             np.minimum(z, np.float32(30), out=z)
             np.exp(z, out=z)
@@ -400,6 +405,7 @@ class Mixer:
             np.add.reduce(pairs, axis=1, dtype=np.float64, out=gained[k, :n])
             np.matmul(z[:, None, :], x, out=slope)
             slope *= np.float32(RATE / STEPS_OF_LOGIT**2)
+            slope[:, :, ORDERS:] = 0  # the gated sum's bytes are no logits
             own[:n] -= slope.transpose(0, 2, 1)
         weights[docs] = own
         by_block, used = np.empty(len(index)), np.arange(len(plan))[:, None] < loads
@@ -421,12 +427,13 @@ def dealt(blocks: np.ndarray, lanes: int) -> list[list[int]]:
 def short_ranges(starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
     """ranges() of numbers up to `most`, four bytes each where that is enough."""
     ends = np.cumsum(lengths)
-    out = np.empty(int(ends[-1]), dtype=np.int32 if most < 1 << 31 else np.int64)
-    at = 0
-    for a in range(0, len(starts), RUNS):
-        part = ranges(starts[a : a + RUNS], lengths[a : a + RUNS])
-        out[at : at + len(part)] = part
-        at += len(part)
+    kind = np.int32 if max(most, int(ends[-1])) < 1 << 31 else np.int64
+    out = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    steps = np.arange(min(RUN, len(out)), dtype=kind)
+    for a in range(0, len(out), RUN):
+        part = out[a : a + RUN]
+        part += steps[: len(part)]
+        part += kind(a)
     return out
 
 
@@ -482,6 +489,53 @@ def split_units(raws: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[
     return list(ids), docs, list(joints), marks
 
 
+def short_keys(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two numbers that hold the bytes and size of each word of at most SHORT bytes, and a mix of both; 16 more bytes follow
+    the words."""
+    eight = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))
+    first = eight[starts] & KEPT_BYTES.take(np.minimum(sizes, 8))
+    second = eight[np.minimum(starts + 8, len(eight) - 1)] & KEPT_BYTES.take(np.clip(sizes - 8, 0, 7))
+    second |= np.minimum(sizes, SHORT).astype(np.uint64) << np.uint64(56)
+    return first, second, (first * _P ^ second) * _P
+
+
+class Head:
+    """Counts of frequent words: those of at most SHORT bytes by their `short_keys`, in order of the mix; longer ones, and those
+    whose mix another has, in a dictionary. common: the first PREPARED of them, the end first."""
+
+    def __init__(self, words: list[bytes], n: np.ndarray):
+        first, second, mixed, sizes = self._keys(words)
+        short = np.flatnonzero(sizes <= SHORT)
+        self.mixed, at = np.unique(mixed[short], return_index=True)
+        at = short[at]
+        self.first, self.second, self.n = first[at], second[at], n[at]
+        apart = np.ones(len(words), dtype=bool)
+        apart[at] = False
+        self.rest = {words[i]: int(n[i]) for i in np.flatnonzero(apart).tolist()}
+        least = np.sort(n)[-PREPARED - 1 :][:1]
+        often = [(-int(n[i]), words[i]) for i in np.flatnonzero(n >= least).tolist() if words[i]] if len(n) else []
+        self.common = [b"", *(w for _, w in sorted(often)[:PREPARED])]
+
+    @staticmethod
+    def _keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        return *short_keys(b"".join(words) + b" " * 16, np.cumsum(sizes) - sizes, sizes), sizes
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Of each word; 0 where it is not among these."""
+        first, second, mixed, sizes = self._keys(words)
+        out = np.zeros(len(words), dtype=np.float64)
+        apart = sizes > SHORT
+        if len(self.mixed):
+            at = np.minimum(np.searchsorted(self.mixed, mixed), len(self.mixed) - 1)
+            same = (self.first[at] == first) & (self.second[at] == second) & ~apart
+            out[same] = self.n[at[same]]
+            apart |= (self.mixed[at] == mixed) & ~same
+        for i in np.flatnonzero(apart).tolist():
+            out[i] = self.rest.get(words[i], 0)
+        return out
+
+
 class Vocabulary:
     """Words by number, as they are met. A transition's key is exact: the last two bytes of the word before, the first JOINT
     of the word, and how many there are of each."""
@@ -501,11 +555,8 @@ class Vocabulary:
         if solid[0]:
             starts, ends = np.concatenate((np.zeros(1, dtype=np.int64), starts)), edges[::2]
         sizes = ends - starts
-        eight = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))
-        first = eight[starts] & KEPT_BYTES.take(np.minimum(sizes, 8))
-        second = eight[np.minimum(starts + 8, len(eight) - 1)] & KEPT_BYTES.take(np.clip(sizes - 8, 0, 7))
-        second |= np.minimum(sizes, SHORT).astype(np.uint64) << np.uint64(56)
-        slot = ((first * _P ^ second) * _P >> np.uint64(64 - LOOKUP_BITS)).view(np.int64)
+        first, second, mixed = short_keys(raw, starts, sizes)
+        slot = (mixed >> np.uint64(64 - LOOKUP_BITS)).view(np.int64)
         seen, numbers = self.seen.take(slot, axis=0), self.seen_numbers.take(slot)
         missed = np.flatnonzero((seen[:, 0] != first) | (seen[:, 1] != second) | (sizes > SHORT))
         if len(missed):
@@ -579,7 +630,7 @@ class Lexicon(Vocabulary):
     def __init__(self, mixer: Mixer, common: list[bytes]):
         super().__init__()
         self.rows, self.joints = Rows(mixer, HELD_BITS + HELD_BITS // 4), {}
-        self.slots, self.numbers = np.full(1 << LOOKUP_BITS, -1, dtype=np.int64), np.zeros(1 << LOOKUP_BITS, dtype=np.int64)
+        self.slots, self.numbers = np.full(1 << JOINT_BITS, -1, dtype=np.int64), np.zeros(1 << JOINT_BITS, dtype=np.int64)
         self.split(common)
 
     def meet(self, new: list[bytes]) -> None:
@@ -589,7 +640,7 @@ class Lexicon(Vocabulary):
     def marks(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Numbers of the transitions; those met last in each slot are found without the dictionary."""
         key = self.keys(flat, starts)
-        at = (key.view(np.uint64) * _P >> np.uint64(64 - LOOKUP_BITS)).view(np.int64)
+        at = (key.view(np.uint64) * _P >> np.uint64(64 - JOINT_BITS)).view(np.int64)
         out, missed = self.numbers[at], np.flatnonzero(self.slots[at] != key)
         if len(missed):
             got, back = np.unique(key[missed], return_inverse=True)
@@ -749,7 +800,7 @@ def fit_weights(counted: DataFrame, mixer: Mixer) -> None:
 class Model:
     """Word table (a stored DataFrame), totals, frequent words, and the mixer."""
 
-    def __init__(self, words: DataFrame, tokens: int, distinct: int, head: dict[bytes, int], mixer: Mixer):
+    def __init__(self, words: DataFrame, tokens: int, distinct: int, head: Head, mixer: Mixer):
         self.words, self.tokens, self.distinct, self.head, self.mixer = words, tokens, distinct, head, mixer
 
 
@@ -757,9 +808,13 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     """From every row of df."""
     counted = stored(text_counts(df, text), "counts")
     words = counted.where("not joint").select("w", "n")
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = total["n"] or 0, total["v"]
-    head = {bytes(r["w"]): r["n"] for r in words.where(F.col("n") * HEAD >= tokens).collect()}
+    tokens = distinct = 0
+    least = None  # of a word in the head
+    for r in sorted(words.groupBy("n").agg(F.count("*").alias("v")).collect(), reverse=True):
+        tokens, distinct = tokens + r["n"] * r["v"], distinct + r["v"]
+        least = r["n"] if distinct <= HEAD else least
+    most = words.where("false" if least is None else F.col("n") >= least).toArrow()
+    head = Head(most.column("w").to_pylist(), most.column("n").to_numpy())
     code, table = Code(byte_counts(words)), Slots(distinct)
     mixer = Mixer(code, table, train_counts(counted, code, table))
     fit_weights(counted, mixer)
@@ -771,8 +826,7 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
     raw_text, row, tail_name = fresh(keep, "text", "row", "tail")
     total = model.tokens + 0.5 * (model.distinct + 1)
     sc = df.sparkSession.sparkContext
-    common = [b"", *sorted((w for w in model.head if w), key=lambda w: (-model.head[w], w))[:PREPARED]]
-    shared = sc.broadcast((model.head, common, model.mixer))
+    shared = sc.broadcast((model.head, model.mixer))
     out = fresh([*keep, raw_text, row, tail_name], "n_tokens", "head_known", "head_base", "score", "n_bytes")
     kinds = [(row, T.LongType()), *zip(out, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))
@@ -780,8 +834,7 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
     schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(n, t) for n, t in kinds), T.StructField(tail_name, tail)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, common, mixer = shared.value
-        get = head.get
+        head, mixer = shared.value
         lexicon = facts = None
         waiting: list[tuple[list[pa.Array], pa.Array, np.ndarray, np.ndarray, np.ndarray, int]] = []
 
@@ -796,12 +849,12 @@ def score_texts(df: DataFrame, model: Model, keep: list[str], text: str = "text"
         for batch in slices((b.set_column(b.schema.get_field_index(raw_text), raw_text, b.column(raw_text).cast(pa.binary())) for b in batches), raw_text, SCORE_BYTES):
             if lexicon is None or lexicon.rows.x.n > HELD_BITS:
                 yield from walked()
-                lexicon, facts = Lexicon(mixer, common), (Grown(np.float64), Grown(np.float64), Grown(np.int64))
+                lexicon, facts = Lexicon(mixer, head.common), (Grown(np.float64), Grown(np.float64), Grown(np.int64))
             flat, sizes = lexicon.read(batch.column(raw_text).to_pylist())
             words = lexicon.words
             starts = np.cumsum(sizes) - sizes
             new = words[facts[0].n :]
-            counts = np.array([get(w, 0) for w in new], dtype=np.float64)
+            counts = head.counts(new)
             value = np.where(counts > 0, np.log10(np.maximum(counts, 1) + 0.5) - math.log10(total), 0.0)
             for kind, part in zip(facts, (counts, value, np.array([len(w) + 1 for w in new], dtype=np.int64)), strict=True):
                 kind.add(part)

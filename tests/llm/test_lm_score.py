@@ -328,3 +328,54 @@ def test_batches_walk_together(spark, corpus, monkeypatch):
     for i, r in found[0].items():
         for other in found[1:]:
             assert other[i][:4] == r[:4] and list(other[i][4:]) == pytest.approx(list(r[4:]), rel=1e-5)
+
+
+def test_lines_hold_the_gated_sum(corpus):
+    """The last four bytes of a bit's line are its gated sum, the first five its logits, for words and transitions."""
+    model = mixer([t for _, t in corpus])
+    model.weights = np.random.default_rng(21).uniform(-1, 2, model.weights.shape).astype(np.float32)
+    words, _, joints, _ = lm_score.split_units([t.encode() for _, t in corpus])
+    rows = lm_score.Rows(model)
+    rows.add_words(lm_score.unit_bytes(words))
+    rows.add_joints([lm_score.joint_unit(j) for j in joints], lm_score.ends_before(joints))
+    some = [w for w in lm_score.unit_bytes(words) if len(w) > lm_score.JOINT]
+    gates = np.concatenate((lm_score.unit_bits(some, model.code, model.table, least=lm_score.JOINT)[2], lm_score.joint_bits(joints, model.code, model.table)[2]))
+    lines = rows.x.held[BLOCK_BITS : rows.x.n]
+    want = (lines[:, :ORDERS] / 16 * model.weights[gates].astype(np.float64)).sum(axis=1)
+    got = np.ascontiguousarray(lines).view(np.int32)[:, 1] / (1 << lm_score.FINE)
+    assert len(got) == len(gates) and np.abs(got - want).max() < 2e-5 and np.abs(want).max() > 10
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 10**6])
+def test_frequent_words_are_those_of_most_tokens(spark, corpus, monkeypatch, most):
+    """However many are in the head, the rest are joined: the counts and base scores of a plain counter."""
+    from collections import Counter
+
+    long = ["x" * 15, "x" * 16, "x" * 15 + "y", "a\x00", "a"]
+    texts = [t for _, t in corpus] + [" ".join(long[: k % 6]) for k in range(12)]
+    split = [[*t.encode().lower().split(), b""] for t in texts]
+    n = Counter(w for k, mine in enumerate(split) if k % 4 for w in mine)
+    monkeypatch.setattr(lm_score, "HEAD", most)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm_score.learn(df.where("doc_id % 4 != 0"))
+    held = {w: int(c) for w, c in zip(n, model.head.counts(list(n)), strict=True) if c}
+    assert held.items() <= n.items() and len(held) <= most and all(n[w] < min(held.values(), default=n.total() + 1) for w in n.keys() - held.keys())
+    assert len(held) + Counter(n.values())[max((n[w] for w in n.keys() - held.keys()), default=0)] > min(most, len(n) - 1)
+    total = math.log10(n.total() + 0.5 * (len(n) + 1))
+    for r in lm_score.score_texts(df, model, ["doc_id"]).collect():
+        mine = split[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(mine), sum(w in n for w in mine), n.total())
+        assert r["base_score"] == pytest.approx(sum(math.log10(n[w] + 0.5) - total for w in mine), rel=1e-9)
+
+
+def test_words_of_one_mix_are_told_apart(monkeypatch):
+    """Words whose keys mix alike, and those too long for keys, keep their own counts; absent ones have none."""
+    words = [b"", b"a", b"a\x00", b"stone", b"x" * 15, b"x" * 16, b"x" * 17]
+    absent = [b"\x00", b"b", b"x" * 14, b"x" * 18, b"stones"]
+    keys = lm_score.short_keys
+    for mix in (lambda m: m, np.zeros_like):
+        monkeypatch.setattr(lm_score, "short_keys", lambda *x, mix=mix: (*keys(*x)[:2], mix(keys(*x)[2])))
+        head = lm_score.Head(words, np.arange(1, 8))
+        assert head.counts(words + absent).tolist() == [*range(1, 8), *[0] * 5] and head.counts([]).tolist() == []
+        assert head.common == [b"", *words[:0:-1]]
+    assert lm_score.Head([], np.zeros(0, np.int64)).counts(words).tolist() == [0] * 7
